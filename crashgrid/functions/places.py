@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crashgrid import fixed_values as fv
 from crashgrid.functions.bands import blank_to_null, trimmed
+from crashgrid.functions.stations import let
 from crashgrid.operators.filters import inside_box, placeholder_coordinates
 
 
@@ -42,12 +43,15 @@ def gazetteer_match(text: Column) -> Column:
     The names are ordered by length once, so the first hit is the answer and the
     whole lookup is one CASE expression without a join.
     """
-    lowered = F.lower(text)
-    out = F
-    for name, lat, lng in sorted(fv.GAZETTEER, key=lambda g: -len(g[0])):
-        out = out.when(lowered.contains(name), F.struct(
-            F.lit(name).alias("name"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng")))
-    return out
+
+    def first_name(lowered):
+        out = F
+        for name, lat, lng in sorted(fv.GAZETTEER, key=lambda g: -len(g[0])):
+            out = out.when(lowered.contains(name), F.struct(
+                F.lit(name).alias("name"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng")))
+        return out
+
+    return let(F.lower(text), first_name)
 
 
 def match_area(df: DataFrame, column: str) -> DataFrame:

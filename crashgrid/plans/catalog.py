@@ -3,3 +3,4 @@
 from crashgrid.plans.registry import ORACLES, QUERIES  # noqa: F401
 from crashgrid.plans import incident_queries  # noqa: F401,E402
 from crashgrid.plans import text_queries  # noqa: F401,E402
+from crashgrid.plans import source_queries  # noqa: F401,E402
