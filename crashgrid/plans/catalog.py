@@ -5,3 +5,4 @@ from crashgrid.plans import incident_queries  # noqa: F401,E402
 from crashgrid.plans import text_queries  # noqa: F401,E402
 from crashgrid.plans import source_queries  # noqa: F401,E402
 from crashgrid.plans import profile_queries  # noqa: F401,E402
+from crashgrid.plans import graph_queries  # noqa: F401,E402
