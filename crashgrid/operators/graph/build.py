@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crashgrid import fixed_values as fv
-from crashgrid.functions.bands import blank_to_null, trimmed
+from crashgrid.functions.bands import trimmed
 from crashgrid.functions.codes import content_id, crime_type
 from crashgrid.operators.ranking import keep_last
 
@@ -17,18 +17,15 @@ VERTEX_COLUMNS = {
 }
 
 
-def _vertices(df: DataFrame, node_type: str, **columns: Column) -> DataFrame:
-    given = {"node_type": F.lit(node_type), **columns}
-    return df.select(*[
-        given.get(n, F.lit(None)).cast(t).alias(n) for n, t in VERTEX_COLUMNS.items()
-    ])
+def _vertices(df: DataFrame, node_type: str, **columns: str) -> DataFrame:
+    """Vertex rows; ``columns`` are SQL expressions, absent columns become null."""
+    given = {"node_type": f"'{node_type}'", **columns}
+    return df.selectExpr(*[f"CAST({given.get(n, 'NULL')} AS {t}) AS {n}" for n, t in VERTEX_COLUMNS.items()])
 
 
-def _edges(df: DataFrame, src: str, dst: Column, rel: str, role: str | None = None) -> DataFrame:
-    return df.select(
-        F.col(src).alias("src"), dst.alias("dst"), F.lit(rel).alias("rel_type"),
-        F.lit(role).cast("string").alias("role"), F.lit(1.0).alias("weight"),
-    )
+def _edges(df: DataFrame, src: str, dst: str, rel: str, role: str = "NULL") -> DataFrame:
+    return df.selectExpr(
+        f"{src} AS src", f"{dst} AS dst", f"'{rel}' AS rel_type", f"CAST({role} AS string) AS role", "1.0D AS weight")
 
 
 def _union(frames) -> DataFrame:
@@ -50,56 +47,49 @@ def graph_from_tables(acc: DataFrame, loc: DataFrame, vic: DataFrame, veh: DataF
     Reports sharing a number are one vertex with the attributes of the last record;
     locations sharing a normalised area are one vertex with the attributes of the first.
     """
-    report = F.coalesce(blank_to_null(F.col("fir_number")), F.concat(F.lit("FIR_"), F.col("id")))
-    base = acc.select("id", "incident_date", "cause", "severity", "confidence_score", report.alias("fir_id"))
-    last = keep_last(base, "fir_id", "id")
+    base = acc.selectExpr(
+        "id", "incident_date", "cause", "severity", "confidence_score",
+        "coalesce(nullif(fir_number, ''), concat('FIR_', id)) AS fir_id")
     firs = _vertices(
-        last, "FIR", id=F.col("fir_id"), severity=F.coalesce("severity", F.lit("Unknown")), cause=F.col("cause"),
-        confidence=F.coalesce("confidence_score", F.lit(0.0)),
-        incident_date=F.coalesce(F.date_format("incident_date", "yyyy-MM-dd HH:mm:ss"), F.lit("")),
-        postgres_id=F.col("id"),
+        keep_last(base, "fir_id", "id"), "FIR", id="fir_id", severity="coalesce(severity, 'Unknown')", cause="cause",
+        confidence="coalesce(confidence_score, 0)", postgres_id="id",
+        incident_date="coalesce(date_format(incident_date, 'yyyy-MM-dd HH:mm:ss'), '')",
     )
-    numbers = base.select(F.col("id").alias("accident_id"), "fir_id")
+    numbers = base.selectExpr("id AS accident_id", "fir_id")
 
-    label = F.coalesce(blank_to_null(F.col("area")), blank_to_null(F.col("address")), F.lit(fv.UNKNOWN_AREA))
-    places = loc.select(
-        "id", "accident_id", label.alias("label"), "city", "latitude", "longitude",
-        F.upper(trimmed(label)).alias("loc_key"),
-    ).join(numbers, "accident_id")
+    places = loc.selectExpr(
+        "id", "accident_id", f"coalesce(nullif(area, ''), nullif(address, ''), '{fv.UNKNOWN_AREA}') AS label",
+        "city", "latitude", "longitude",
+    ).withColumn("loc_key", F.upper(trimmed(F.col("label")))).join(numbers, "accident_id")
     first = places.groupBy("loc_key").agg(
         F.min("id").alias("first_id"), F.min_by(F.struct("label", "city", "latitude", "longitude"), "id").alias("r"))
-    loc_id = F.concat(F.lit("LOC_"), F.col("first_id"))
+    loc_id = "concat('LOC_', first_id)"
     locations = _vertices(
-        first, "Location", id=loc_id, area=F.col("r.label"),
-        city=F.coalesce(blank_to_null(F.col("r.city")), F.lit("Vijayawada")),
-        lat=F.when(F.col("r.latitude") != 0, F.col("r.latitude")),
-        lng=F.when(F.col("r.longitude") != 0, F.col("r.longitude")),
+        first, "Location", id=loc_id, area="r.label", city="coalesce(nullif(r.city, ''), 'Vijayawada')",
+        lat="nullif(r.latitude, 0)", lng="nullif(r.longitude, 0)",
     )
     occurred = _edges(places.join(first.select("loc_key", "first_id"), "loc_key"), "fir_id", loc_id, "OCCURRED_AT")
 
     victims = vic.select("id", "accident_id", "victim_name", "age", "gender").join(numbers, "accident_id")
-    person = F.concat(F.lit("P_"), F.col("id"))
     persons = _vertices(
-        victims, "Person", id=person, age=F.col("age"), gender=F.col("gender"), role=F.lit("Victim"),
-        name=F.coalesce(blank_to_null(F.col("victim_name")), F.concat(F.lit("Person "), F.col("id"))),
+        victims, "Person", id="concat('P_', id)", age="age", gender="gender", role="'Victim'",
+        name="coalesce(nullif(victim_name, ''), concat('Person ', id))",
     )
     vehicles = veh.select("id", "accident_id", "vehicle_type", "vehicle_number", "driver_name").join(numbers, "accident_id")
-    vehicle = F.concat(F.lit("V_"), F.col("id"))
-    cars = _vertices(vehicles, "Vehicle", id=vehicle, vehicle_type=F.col("vehicle_type"), vehicle_number=F.col("vehicle_number"))
+    cars = _vertices(vehicles, "Vehicle", id="concat('V_', id)", vehicle_type="vehicle_type", vehicle_number="vehicle_number")
     driven = vehicles.filter("driver_name <> '' AND driver_name <> 'Unknown'")
-    driver = F.concat(F.lit("P_DRV_"), F.col("id"))
-    drivers = _vertices(driven, "Person", id=driver, name=F.col("driver_name"), role=F.lit("Driver"))
+    drivers = _vertices(driven, "Person", id="concat('P_DRV_', id)", name="driver_name", role="'Driver'")
 
     classified = base.select("fir_id", crime_key(F.col("cause")).alias("crime")).filter("crime IS NOT NULL")
-    crimes = _vertices(classified.select("crime").distinct(), "CrimeType", id=F.col("crime"))
+    crimes = _vertices(classified.select("crime").distinct(), "CrimeType", id="crime")
 
     vertices = _union([firs, locations, persons, cars, drivers, crimes])
     edges = _union([
         occurred,
-        _edges(victims, "fir_id", person, "INVOLVES_PERSON", "Victim"),
-        _edges(vehicles, "fir_id", vehicle, "INVOLVES_VEHICLE"),
-        _edges(driven, "fir_id", driver, "INVOLVES_PERSON", "Driver"),
-        _edges(classified, "fir_id", F.col("crime"), "CLASSIFIED_AS"),
+        _edges(victims, "fir_id", "concat('P_', id)", "INVOLVES_PERSON", "'Victim'"),
+        _edges(vehicles, "fir_id", "concat('V_', id)", "INVOLVES_VEHICLE"),
+        _edges(driven, "fir_id", "concat('P_DRV_', id)", "INVOLVES_PERSON", "'Driver'"),
+        _edges(classified, "fir_id", "crime", "CLASSIFIED_AS"),
     ])
     return vertices, edges
 
@@ -117,38 +107,37 @@ def graph_from_records(extracted: DataFrame, seq: str):
     )
     firs = _vertices(
         keep_last(r.select("_seq", "fir_id", "cause", "severity", "confidence_score", "date_time"), "fir_id", "_seq"),
-        "FIR", id=F.col("fir_id"), severity=F.coalesce("severity", F.lit("Unknown")), cause=F.col("cause"),
-        confidence=F.coalesce("confidence_score", F.lit(0.0)), incident_date=F.col("date_time"),
+        "FIR", id="fir_id", severity="coalesce(severity, 'Unknown')", cause="cause",
+        confidence="coalesce(confidence_score, 0)", incident_date="date_time",
     )
     located = r.filter("location IS NOT NULL").select("_seq", "fir_id", "location.*").withColumn(
         "nid", content_id(F.col("address"), F.col("area"), F.coalesce("city", F.lit("Vijayawada"))))
     locations = _vertices(
-        keep_last(located.drop("fir_id"), "nid", "_seq"), "Location", id=F.col("nid"), area=F.col("area"),
-        city=F.coalesce("city", F.lit("Vijayawada")), lat=F.when(F.col("lat") != 0, F.col("lat")),
-        lng=F.when(F.col("lng") != 0, F.col("lng")),
+        keep_last(located.drop("fir_id"), "nid", "_seq"), "Location", id="nid", area="area",
+        city="coalesce(city, 'Vijayawada')", lat="nullif(lat, 0)", lng="nullif(lng, 0)",
     )
     v = r.select("_seq", "fir_id", "severity", F.posexplode("victims").alias("_i", "v")).withColumn(
         "nid", content_id(F.col("fir_id"), F.lit("victim"), F.col("_i"), F.col("v.name"), F.col("v.age")))
     persons = _vertices(
-        keep_last(v, "nid", "_seq"), "Person", id=F.col("nid"), name=F.coalesce("v.name", F.lit("Unknown")),
-        age=F.col("v.age"), gender=F.col("v.gender"), role=F.lit("Victim"),
+        keep_last(v, "nid", "_seq"), "Person", id="nid", name="coalesce(v.name, 'Unknown')", age="v.age",
+        gender="v.gender", role="'Victim'",
     )
     w = r.select("_seq", "fir_id", F.posexplode("vehicles").alias("_i", "w")).withColumn(
         "nid", content_id(F.col("w.number"), F.col("w.type"), F.col("fir_id"), F.col("_i")))
     cars = _vertices(
-        keep_last(w, "nid", "_seq"), "Vehicle", id=F.col("nid"), vehicle_number=F.col("w.number"),
-        vehicle_type=F.coalesce("w.type", F.lit("Unknown")),
+        keep_last(w, "nid", "_seq"), "Vehicle", id="nid", vehicle_number="w.number",
+        vehicle_type="coalesce(w.type, 'Unknown')",
     )
     c = r.select("fir_id", crime_type(F.col("cause")).alias("nid"))
-    crimes = _vertices(c.select("nid").distinct(), "CrimeType", id=F.col("nid"))
-    back = v.select(
-        F.col("nid").alias("src"), F.col("fir_id").alias("dst"), F.lit("INJURED_IN").alias("rel_type"),
-        F.when(F.col("severity") == "Fatal", "fatality").alias("role"), F.lit(1.0).alias("weight"))
+    crimes = _vertices(c.select("nid").distinct(), "CrimeType", id="nid")
+    back = v.selectExpr(
+        "nid AS src", "fir_id AS dst", "'INJURED_IN' AS rel_type",
+        "CASE WHEN severity = 'Fatal' THEN 'fatality' END AS role", "1.0D AS weight")
     edges = _union([
-        _edges(located, "fir_id", F.col("nid"), "OCCURRED_AT"),
-        _edges(v, "fir_id", F.col("nid"), "INVOLVES_PERSON", "victim"), back,
-        _edges(w, "fir_id", F.col("nid"), "INVOLVES_VEHICLE"),
-        _edges(c, "fir_id", F.col("nid"), "CLASSIFIED_AS"),
+        _edges(located, "fir_id", "nid", "OCCURRED_AT"),
+        _edges(v, "fir_id", "nid", "INVOLVES_PERSON", "'victim'"), back,
+        _edges(w, "fir_id", "nid", "INVOLVES_VEHICLE"),
+        _edges(c, "fir_id", "nid", "CLASSIFIED_AS"),
     ]).groupBy("src", "rel_type", "dst").agg(F.max("role").alias("role"), F.max("weight").alias("weight"))
     return _union([firs, locations, persons, cars, crimes]), edges.select("src", "dst", "rel_type", "role", "weight")
 

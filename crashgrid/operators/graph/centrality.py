@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from crashgrid.operators.graph.build import with_attrs
 from crashgrid.operators.graph.components import components, undirected
-from crashgrid.session import cut, join_tagged, tag_hot
+from crashgrid.session import cut, hot_keys, join_tagged
 
 
 def degree(vertices: DataFrame, edges: DataFrame, incoming_only: bool = False) -> DataFrame:
@@ -26,9 +26,11 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha=0.85, max_iter=200, to
     One job per round: contributions are summed map-side per target, so hub targets do
     not skew; hub sources are met by a broadcast of their few ranks.
     """
-    weights = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
+    weights = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")))
     out = weights.groupBy("src").agg(F.sum("w").alias("out"))
-    links = cut(tag_hot(weights.join(out, "src").select(F.col("src").alias("id"), "dst", (F.col("w") / F.col("out")).alias("p")), "id"))
+    shares = weights.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p"))
+    links = cut(shares.join(F.broadcast(hot_keys(weights, "src").withColumn("_mark", F.lit(True))), "src", "left").select(
+        F.col("src").alias("id"), "dst", "p", F.col("_mark").isNotNull().alias("_hot")))
     nodes = vertices.select("id").distinct()
     n = nodes.count()
     if n == 0:

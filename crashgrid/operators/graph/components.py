@@ -16,23 +16,22 @@ def undirected(edges: DataFrame) -> DataFrame:
 def components(vertices: DataFrame, edges: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(id, component): the smallest vertex id of each connected component.
 
-    Every round each vertex takes the smallest label among its neighbours and then the
-    label of that label, so label chains halve.  Messages are minimised map-side; the
-    labels of hub vertices travel by broadcast.
+    Every round each vertex takes the smallest of its own label, its neighbours' labels
+    and the label of its label, so label chains shorten quickly.  Messages are minimised
+    map-side; the labels of hub vertices travel by broadcast.
     """
-    tagged = cut(tag_hot(links if links is not None else undirected(edges), "a"))
+    tagged = cut(tag_hot(links if links is not None else cut(undirected(edges)), "a"))
     labels = cut(vertices.select("id", F.col("id").alias("component")).distinct())
     while True:
         sent = join_tagged(tagged, labels.select(F.col("id").alias("a"), "component"), "a")
         low = sent.groupBy(F.col("b").alias("id")).agg(F.min("component").alias("_low"))
-        step = labels.join(low, "id", "left").select(
-            "id", F.col("component").alias("_old"), F.least("component", "_low").alias("component"))
+        # labels that have a smaller label themselves; one row per such label
+        moved = labels.filter("component <> id").select(F.col("id").alias("component"), F.col("component").alias("_next"))
+        step = labels.join(low, "id", "left").join(moved, "component", "left").select(
+            "id", F.col("component").alias("_old"), F.least("component", "_low", "_next").alias("component"))
         step = cut(step)
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("_next"))
-        new = cut(join_tagged(tag_hot(step, "component"), jump, "component").select("id", "_old", F.least("component", "_next").alias("component")))
-        changed = new.filter("component <> _old").limit(1).count()
-        labels = new.select("id", "component")
-        if not changed:
+        labels = step.select("id", "component")
+        if step.filter("component <> _old").isEmpty():
             return labels
 
 

@@ -14,6 +14,7 @@ from crashgrid.operators.graph import paths as pt
 from crashgrid.operators.graph import relations as rl
 from crashgrid.plans.registry import query
 from crashgrid.plans.text_queries import FIELDS
+from crashgrid.session import cut
 
 _LABEL = "CASE WHEN coalesce(area,'') <> '' THEN area WHEN coalesce(address,'') <> '' THEN address ELSE 'Unknown Area' END"
 GRAPH = (
@@ -40,6 +41,12 @@ def graph(t):
     return gb.graph_from_tables(t.acc, t.loc, t.vic, t.veh)
 
 
+def stored(t):
+    """The graph written once, as iterative analyses read it."""
+    v, e = graph(t)
+    return cut(v), cut(e)
+
+
 @query("g_01_vertices", "SELECT id, node_type FROM nodes", ctes=GRAPH)
 def _(t):
     return graph(t)[0].select("id", "node_type")
@@ -178,22 +185,22 @@ PAGERANK = GRAPH + ", " + _pagerank_sql(5) + ", " + _PR
 
 @query("g_04_pagerank", "SELECT id, round(s, 9) AS score FROM pr", ctes=PAGERANK)
 def _(t):
-    return ce.pagerank(*graph(t)).withColumn("score", F.round("score", 9))
+    return ce.pagerank(*stored(t)).withColumn("score", F.round("score", 9))
 
 
 @query("g_05_betweenness")
 def _(t):
-    return ce.betweenness(*graph(t)).withColumn("score", F.round("score", 9))
+    return ce.betweenness(*stored(t)).withColumn("score", F.round("score", 9))
 
 
 @query("g_06_centrality_report")
 def _(t):
-    return ce.centrality_report(*graph(t))
+    return ce.centrality_report(*stored(t))
 
 
 @query("g_07_community_report")
 def _(t):
-    return cm.community_report(*graph(t))
+    return cm.community_report(*stored(t))
 
 
 _PREFIX_PART = "substr(id, 1, 5)"
@@ -223,7 +230,7 @@ HUBS = GRAPH + (
 
 @query("g_09_component_sizes", "SELECT size, count(*) AS components FROM comp GROUP BY 1", ctes=HUBS)
 def _(t):
-    sizes = cp.components(*graph(t)).groupBy("component").agg(F.count("*").alias("size"))
+    sizes = cp.components(*stored(t)).groupBy("component").agg(F.count("*").alias("size"))
     return sizes.groupBy("size").agg(F.count("*").alias("components"))
 
 
@@ -232,7 +239,7 @@ def _(t):
        ") AS max_node_degree, round(m / (n * (n - 1.0)), 6) AS density, c AS num_connected_components, c = 1 AS is_connected"
        " FROM (SELECT count(*) AS n FROM nodes), (SELECT count(*) AS m FROM edges), (SELECT count(*) AS c FROM comp)", ctes=HUBS)
 def _(t):
-    s = cp.graph_summary(*graph(t))
+    s = cp.graph_summary(*stored(t))
     return s.drop("node_type_counts", "relationship_type_counts")
 
 
@@ -247,19 +254,19 @@ def _ends(v):
        ctes=GRAPH + ", sym AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),"
        " walk AS (SELECT min(id) AS id, 0 AS depth FROM firs UNION SELECT b, depth + 1 FROM walk JOIN sym ON a = id WHERE depth < 8)")
 def _(t):
-    v, e = graph(t)
+    v, e = stored(t)
     return pt.connection_report(v, e, *_ends(v)).drop("path")
 
 
 @query("g_12_simple_paths")
 def _(t):
-    v, e = graph(t)
+    v, e = stored(t)
     return pt.simple_paths(v, e, *_ends(v))
 
 
 @query("g_13_enriched_path")
 def _(t):
-    v, e = graph(t)
+    v, e = stored(t)
     return pt.enrich_path(pt.connection_report(v, e, *_ends(v)).select("node_a", "node_b", "path"), v)
 
 
@@ -284,7 +291,7 @@ def _(t):
 
 @query("g_15_viewer_nodes")
 def _(t):
-    return hs.viewer_extract(*graph(t))[0]
+    return hs.viewer_extract(*stored(t))[0]
 
 
 @query("ord_08_edge_sample", "SELECT src, dst, rel_type FROM edges ORDER BY src, dst, rel_type LIMIT 500", ctes=GRAPH)
@@ -341,4 +348,4 @@ def _(t):
        " CASE rel_type WHEN 'OCCURRED_AT' THEN 'SAME_LOCATION' WHEN 'CLASSIFIED_AS' THEN 'SAME_CRIME_TYPE' WHEN 'INVOLVES_VEHICLE' THEN 'SAME_VEHICLE' ELSE 'SAME_PERSON' END AS kind"
        " FROM edges e LEFT JOIN car_rows c ON 'V_' || c.id = e.dst), own AS MATERIALIZED (SELECT src, list(DISTINCT entity) AS own FROM ents GROUP BY 1)")
 def _(t):
-    return rl.related_reports(*graph(t))
+    return rl.related_reports(*stored(t))

@@ -31,24 +31,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage and drop its lineage."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a table in the shared folder and read it back without lineage.
+
+    A table survives lost executors like a checkpoint does; besides, later plans know
+    its size (small ones are broadcast, large ones are not) and read single columns.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys holding more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE rows by construction."""
+    total = df.count()
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return (
-        counts.join(F.broadcast(total))
-        .filter(F.col("_n") * HOT_SHARE > F.col("_total"))
-        .select(key)
-    )
+    return counts.filter(F.col("_n") * HOT_SHARE > total).select(key)
 
 
 def tag_hot(df: DataFrame, key: str) -> DataFrame:
-    """Add ``_hot``: whether the row's key is a hot one (see :func:`hot_keys`)."""
+    """Add ``_hot``: whether the row's key is a hot one.  ``df`` should be materialised."""
     marks = F.broadcast(hot_keys(df, key).withColumn("_mark", F.lit(True)))
     return df.join(marks, key, "left").withColumn("_hot", F.col("_mark").isNotNull()).drop("_mark")
 

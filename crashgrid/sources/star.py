@@ -6,6 +6,8 @@ needs three columns reads only the parquet columns behind those three.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _STATION = (
@@ -119,12 +121,30 @@ VEHICLES = {
 }
 
 
+# Known layouts of the input tables: with them a read needs no footer-reading job.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    return df.select(*[F.expr(e).alias(n) for n, e in columns.items()])
+    return df.selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 
 class Star:
@@ -136,23 +156,23 @@ class Star:
     def raw(self, name: str) -> DataFrame:
         return _read(self.spark, self.sf_dir, name)
 
-    @property
+    @cached_property
     def acc(self) -> DataFrame:
         return _project(self.raw("orders"), ACCIDENTS)
 
-    @property
+    @cached_property
     def loc(self) -> DataFrame:
         joined = self.raw("orders").join(
             self.raw("customer"), F.expr("o_custkey = c_custkey")
         ).join(self.raw("nation"), F.expr("c_nationkey = n_nationkey"))
         return _project(joined, LOCATIONS)
 
-    @property
+    @cached_property
     def vic(self) -> DataFrame:
         lines = self.raw("lineitem").filter("l_linenumber <= 3")
         return _project(lines.join(self.raw("orders"), F.expr("l_orderkey = o_orderkey")), VICTIMS)
 
-    @property
+    @cached_property
     def veh(self) -> DataFrame:
         lines = self.raw("lineitem").filter("l_linenumber >= 6")
         joined = lines.join(self.raw("part"), F.expr("l_partkey = p_partkey")).join(
@@ -160,7 +180,7 @@ class Star:
         )
         return _project(joined, VEHICLES)
 
-    @property
+    @cached_property
     def events(self) -> DataFrame:
         return self.raw("events")
 
