@@ -7,3 +7,4 @@ from crashgrid.plans import source_queries  # noqa: F401,E402
 from crashgrid.plans import profile_queries  # noqa: F401,E402
 from crashgrid.plans import graph_queries  # noqa: F401,E402
 from crashgrid.plans import model_queries  # noqa: F401,E402
+from crashgrid.plans import stream_queries  # noqa: F401,E402
