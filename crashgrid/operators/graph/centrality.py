@@ -152,6 +152,9 @@ def _class_dependencies(core_links: DataFrame, nodes: DataFrame, num_pivots: int
     credit = None
     for dist in range(len(levels) - 1, 0, -1):
         lev = levels[dist]
+        if dist == 1 and rest is not None:
+            owed = rest.select("s", "v", (F.col("target") / F.col("paths")).alias("share"))
+            credit = owed if credit is None else credit.unionByName(owed)
         if credit is None:
             dep = lev.withColumn("dep", F.lit(0.0))
         else:
@@ -160,8 +163,6 @@ def _class_dependencies(core_links: DataFrame, nodes: DataFrame, num_pivots: int
         dep = cut(dep.select("s", "v", "paths", "m", "dep"))
         parts.append(dep.select("s", "v", "dep"))
         credit = dep.join(weight, "v").select("s", "v", ((F.col("target") + F.col("m") * F.col("dep")) / F.col("paths")).alias("share"))
-        if dist == 2 and rest is not None:
-            credit = credit.unionByName(rest.select("s", "v", (F.col("target") / F.col("paths")).alias("share")))
     if not parts:
         return members.select("id", F.lit(0.0).alias("core"))
     every = parts[0]
