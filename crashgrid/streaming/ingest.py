@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from crashgrid.sources.documents import ingest_batch
-from crashgrid.streaming.sinks import has_batches, read_batches, run_available, run_continuous, write_batch
+from crashgrid.streaming.sinks import (
+    has_batches, read_batches, run_available, run_continuous, run_name, write_batch,
+)
+
+
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def document_stream(spark: SparkSession, path: str, max_files: int = 50) -> DataFrame:
     """Stream of (key, text) from document files, at most ``max_files`` (up to 1000) per batch."""
     files = (
-        spark.readStream.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]")
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.[pP][dD][fF]")
         .option("recursiveFileLookup", True).option("maxFilesPerTrigger", min(max_files, 1000)).load(path)
     )
     return files.select(F.col("path").alias("key"), F.decode("content", "UTF-8").alias("text"))
@@ -28,15 +33,16 @@ def stream_ingest(documents: DataFrame, out: str, checkpoint: str, continuous: b
     A failed document becomes a row with status 'failed', so it never stops the stream.
     """
     spark = documents.sparkSession
-    schema = ingest_schema(spark)
+    schema, run = ingest_schema(spark), run_name(checkpoint)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         fresh = batch.dropDuplicates(["key"])
         if has_batches(session, out):
-            done = read_batches(session, out, schema).filter(F.col("batch") < batch_id).select("key")
+            # a retried batch must not see its own earlier output
+            done = read_batches(session, out, schema).filter((F.col("run") != run) | (F.col("batch") < batch_id)).select("key")
             fresh = fresh.join(done, "key", "left_anti")
-        write_batch(ingest_batch(fresh), batch_id, out)
+        write_batch(ingest_batch(fresh), batch_id, out, run)
 
     if continuous:
         return run_continuous(documents, on_batch, checkpoint, every)

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def run_name(checkpoint: str) -> str:
+    """Short stable name of a progress folder; batch numbers are only unique within one."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
+
+def write_batch(df: DataFrame, batch_id: int, path: str, run: str = "0") -> None:
+    df.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
-    """All batches written so far, with their ``batch`` number."""
-    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*").withColumn(
-        "batch", F.col("batch").cast("long"))
+    """All batches written so far, with their ``run`` and ``batch``."""
+    df = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/run=*/batch=*")
+    return df.withColumns({"run": F.col("run").cast("string"), "batch": F.col("batch").cast("long")})
 
 
 def has_batches(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/run=*/batch=*/_SUCCESS")
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
     return found is not None and len(found) > 0
 
