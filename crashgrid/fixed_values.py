@@ -50,8 +50,8 @@ DATE_TOKEN_PATTERNS = [
     r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})",
 ]
 PLACE_PATTERN = r"(?i)(?:Location|Place|Address|Near|At)\s*[:\-]?\s*(.+?)(?:\n|$)"
-FATAL_PATTERN = r"(?i)death|dead|fatal|killed|died|expire|deceased"
-GRIEVOUS_PATTERN = r"(?i)grievous|serious|critical|severe|fracture"
+FATAL_WORDS = ["death", "dead", "fatal", "killed", "died", "expire", "deceased"]
+GRIEVOUS_WORDS = ["grievous", "serious", "critical", "severe", "fracture"]
 CAUSE_PATTERNS = [
     r"(?i)(?:cause|reason)\s*[:\-]?\s*(.+?)(?:\n|\.)",
     r"(?i)(over\s*speed(?:ing)?|rash\s*driv(?:ing)?|drunk\s*driv(?:ing)?|negligent)",

@@ -60,13 +60,31 @@ def danger_level(score: Column) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``."""
+    return F.transform(F.array(value), body)[0]
 
 
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def found(c: Column) -> Column:
+    """Same as :func:`blank_to_null` for costly expressions: evaluated once."""
+    return let(c, blank_to_null)
+
+
+def contains_any(c: Column, words) -> Column:
+    """Whether a lower-cased text contains one of the words; much cheaper than a pattern."""
+    out = F.lit(False)
+    for w in words:
+        out = out | c.contains(w)
+    return out
+
+
 def initial_caps(c: Column) -> Column:
     """Upper-case the first letter of every alphanumeric run, lower-case the rest."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crashgrid import fixed_values as fv
-from crashgrid.functions.bands import blank_to_null, trimmed
-from crashgrid.functions.stations import let
+from crashgrid.functions.bands import blank_to_null, let, trimmed
 from crashgrid.operators.filters import inside_box, placeholder_coordinates
 
 

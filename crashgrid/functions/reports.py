@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crashgrid import fixed_values as fv
-from crashgrid.functions.bands import blank_to_null, trimmed
+from crashgrid.functions.bands import blank_to_null, contains_any, found, let, trimmed
 
 
 def _any_of(phrases) -> str:
@@ -19,7 +19,7 @@ LONG_FORM_PHRASE = _any_of([p for p in fv.FORM_PHRASES if len(p) > 5])
 
 
 def _first_match(text: Column, patterns) -> Column:
-    return F.coalesce(*[blank_to_null(F.regexp_extract(text, p, 1)) for p in patterns])
+    return F.coalesce(*[found(F.regexp_extract(text, p, 1)) for p in patterns])
 
 
 def report_number(text: Column) -> Column:
@@ -30,24 +30,27 @@ def date_token(text: Column) -> Column:
     return F.coalesce(_first_match(text, fv.DATE_TOKEN_PATTERNS), F.lit("UNKNOWN"))
 
 
+def _unless_form(text: Column, pattern: str, form: str) -> Column:
+    """First match of the pattern, trimmed; null if empty or a phrase of the printed form."""
+    match = trimmed(F.regexp_extract(text, pattern, 1))
+    return let(match, lambda m: F.when((m != "") & ~F.lower(m).rlike(form), m))
+
+
 def place(text: Column) -> Column:
-    found = trimmed(F.regexp_extract(text, fv.PLACE_PATTERN, 1))
-    usable = F.when(~F.lower(found).rlike(LONG_FORM_PHRASE), F.substring(found, 1, 200))
-    return F.coalesce(blank_to_null(usable), F.lit("Vijayawada"))
+    return F.coalesce(F.substring(_unless_form(text, fv.PLACE_PATTERN, LONG_FORM_PHRASE), 1, 200), F.lit("Vijayawada"))
 
 
 def severity_from_text(text: Column) -> Column:
-    return (
-        F.when(text.rlike(fv.FATAL_PATTERN), "Fatal")
-        .when(text.rlike(fv.GRIEVOUS_PATTERN), "Grievous").otherwise("Non-Fatal")
-    )
+    return let(F.lower(text), lambda t: F.when(contains_any(t, fv.FATAL_WORDS), "Fatal").when(
+        contains_any(t, fv.GRIEVOUS_WORDS), "Grievous").otherwise("Non-Fatal"))
 
 
 def cause_from_text(text: Column) -> Column:
-    tries = []
-    for pattern in fv.CAUSE_PATTERNS:
-        found = trimmed(F.regexp_extract(text, pattern, 1))
-        tries.append(blank_to_null(F.when(~F.lower(found).rlike(FORM_PHRASE), found)))
+    """First usable cause; a pattern only runs on texts holding one of its words."""
+    tries = [
+        F.when(contains_any(F.lower(text), words), _unless_form(text, pattern, FORM_PHRASE))
+        for pattern, words in zip(fv.CAUSE_PATTERNS, (["cause", "reason"], ["over", "rash", "drunk", "negligent"]))
+    ]
     return F.coalesce(*tries, F.lit(fv.CAUSE_PLACEHOLDER))
 
 
@@ -73,12 +76,8 @@ def plates_from_text(text: Column) -> Column:
 
 def document_gate(text: Column) -> Column:
     """'EMPTY' for fewer than 10 characters, 'HTML' for a web page, else 'OK'."""
-    lowered = F.lower(text)
-    return (
-        F.when(F.length(trimmed(F.coalesce(text, F.lit("")))) < 10, "EMPTY")
-        .when(lowered.contains("<!doctype html") | lowered.contains("<html"), "HTML")
-        .otherwise("OK")
-    )
+    return F.when(F.length(trimmed(F.coalesce(text, F.lit("")))) < 10, "EMPTY").when(
+        contains_any(F.lower(text), ["<!doctype html", "<html"]), "HTML").otherwise("OK")
 
 
 def form_label_count(text: Column) -> Column:
@@ -183,14 +182,12 @@ def confidence(number, date, severity, cause, victims, vehicles, address) -> Col
 def extract_report(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """Nested extraction record of every text; unreadable texts give marker records.
 
-    Two projections: the fields, then the confidence over them, so each pattern runs
-    once per text.
+    Three projections - gate, fields, confidence - so each pattern runs once per text.
     """
-    t = F.col(text)
-    gate = document_gate(t)
+    t, gate = F.col("_text"), F.col("_gate")
+    df = df.select(*keep, F.col(text).alias("_text"), document_gate(F.col(text)).alias("_gate"))
     good = gate == "OK"
     pick = lambda value, empty, html: F.when(good, value).when(gate == "EMPTY", empty).otherwise(html)
-    none = F.lit(None)
     vehicles = F.transform(
         plates_from_text(t),
         lambda p: F.struct(F.lit("Unknown").alias("type"), p.alias("number"), F.lit("Unknown").alias("driver_name")),

@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from crashgrid import fixed_values as fv
-from crashgrid.functions.bands import trimmed
-
-
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
+from crashgrid.functions.bands import let, trimmed
 
 
 def _clean(c: Column) -> Column:
@@ -21,7 +16,7 @@ def _clean(c: Column) -> Column:
 
 
 def _usable(c: Column) -> Column:
-    return F.when(F.length(c) >= 2, c)
+    return let(c, lambda v: F.when(F.length(v) >= 2, v))
 
 
 def extract_station(raw_text: Column) -> Column:

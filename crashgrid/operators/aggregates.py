@@ -198,16 +198,21 @@ def group_summary(acc: DataFrame, loc: DataFrame) -> DataFrame:
 
 
 def station_summary(acc: DataFrame, loc: DataFrame) -> DataFrame:
-    """Totals per canonical station, zero-filled over all stations."""
-    from crashgrid.functions.stations import canonical_station
+    """Totals per canonical station, zero-filled over all stations.
+
+    Records are counted by the station text first; the station rules then run once per
+    distinct text.
+    """
+    from crashgrid.functions.stations import extract_station, station_from_name
 
-    placed = acc.select("id", "severity", "raw_text").join(
+    placed = acc.select("id", "severity", extract_station(F.col("raw_text")).alias("_text")).join(
         loc.select(F.col("accident_id").alias("id")), "id", "left"
     )
-    name = F.coalesce(canonical_station(F.col("raw_text")), F.lit(fv.OTHER_STATIONS))
-    counted = placed.groupBy(name.alias("name")).agg(
+    by_text = placed.groupBy("_text").agg(
         F.count("*").alias("total"), F.count_if(F.col("severity") == "Fatal").alias("fatal")
     )
+    name = F.coalesce(station_from_name(F.col("_text")), F.lit(fv.OTHER_STATIONS))
+    counted = by_text.groupBy(name.alias("name")).agg(F.sum("total").alias("total"), F.sum("fatal").alias("fatal"))
     dim = acc.sparkSession.createDataFrame([(n,) for n in [*fv.STATIONS, fv.OTHER_STATIONS]], "name string")
     filled = zero_fill(counted, F.broadcast(dim), "name", "total", "fatal")
     return filled.withColumn("fatality_rate", percent(F.col("fatal"), F.col("total")))

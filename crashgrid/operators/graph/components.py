@@ -20,13 +20,30 @@ def components(vertices: DataFrame, edges: DataFrame, links: DataFrame | None =
     and the label of its label, so label chains shorten quickly.  Messages are minimised
     map-side; the labels of hub vertices travel by broadcast.
     """
-    tagged = cut(tag_hot(links if links is not None else cut(undirected(edges)), "a"))
-    labels = cut(vertices.select("id", F.col("id").alias("component")).distinct())
+    links = links if links is not None else cut(undirected(edges))
+    # vertices with one neighbour follow that neighbour, so the rounds run on the rest only
+    ends = cut(links.groupBy("a").agg(F.count("*").alias("d"), F.min("b").alias("b")))
+    core = ends.filter("d > 1").select("a")
+    tips = ends.filter("d = 1").select("a", "b").join(core.select(F.col("a").alias("b"), F.lit(True).alias("_core")), "b", "left")
+    tips = cut(tips)
+    smallest = tips.filter("_core").groupBy(F.col("b").alias("a")).agg(F.min("a").alias("_tip"))
+    inner = links.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
+    tagged = cut(tag_hot(cut(inner), "a"))
+    labels = cut(core.join(smallest, "a", "left").select(F.col("a").alias("id"), F.least("a", "_tip").alias("component")))
+    labels = _settle(tagged, labels)
+    hung = tips.filter("_core").join(labels.select(F.col("id").alias("b"), "component"), "b").select(F.col("a").alias("id"), "component")
+    pairs = tips.filter("_core IS NULL").select(F.col("a").alias("id"), F.least("a", "b").alias("component"))
+    known = labels.unionByName(hung).unionByName(pairs)
+    return cut(vertices.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+
+
+def _settle(tagged: DataFrame, labels: DataFrame) -> DataFrame:
+    """Spread the smallest label over the links until nothing changes."""
     while True:
         sent = join_tagged(tagged, labels.select(F.col("id").alias("a"), "component"), "a")
         low = sent.groupBy(F.col("b").alias("id")).agg(F.min("component").alias("_low"))
         # labels that have a smaller label themselves; one row per such label
-        moved = labels.filter("component <> id").select(F.col("id").alias("component"), F.col("component").alias("_next"))
+        moved = labels.filter("component < id").select(F.col("id").alias("component"), F.col("component").alias("_next"))
         step = labels.join(low, "id", "left").join(moved, "component", "left").select(
             "id", F.col("component").alias("_old"), F.least("component", "_low", "_next").alias("component"))
         step = cut(step)

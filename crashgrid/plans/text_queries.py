@@ -37,8 +37,8 @@ def _cause(text):
 
 
 def _severity(text):
-    return (f"CASE WHEN regexp_matches({text}, '{fv.FATAL_PATTERN}') THEN 'Fatal'"
-            f" WHEN regexp_matches({text}, '{fv.GRIEVOUS_PATTERN}') THEN 'Grievous' ELSE 'Non-Fatal' END")
+    return (f"CASE WHEN regexp_matches({text}, '(?i){'|'.join(fv.FATAL_WORDS)}') THEN 'Fatal'"
+            f" WHEN regexp_matches({text}, '(?i){'|'.join(fv.GRIEVOUS_WORDS)}') THEN 'Grievous' ELSE 'Non-Fatal' END")
 
 
 _AGES = f"regexp_extract_all(raw_text, '{fv.AGE_PATTERN}', 1)"
