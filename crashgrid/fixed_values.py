@@ -327,3 +327,46 @@ ADDRESS_PREFIX = (
     r"(?i)^(opp\.?|opposite|near|behind|beside|adj\.?|adjacent|out\s*skirts?\s*(of)?)\s+"
 )
 GENERIC_ADDRESS_PART = r"(?i)^(nh|national highway|railway|bridge|road)$"
+
+# ---------------------------------------------------------------- report texts
+# fixed values: sentences of the rule-based reports; %s takes a profile value
+GLOBAL_REPORT = {
+    "summary": 'Analysis of accident data from Vijayawada Commissionerate reveals that "%s" is the primary cause of accidents.'
+    " The age group %s is most affected, with a fatality rate of %s%%.",
+    "key_insights": [
+        "Peak accident time: %s", "Highest risk vehicle type: %s", "Hotspot location: %s", "Fatality percentage: %s%%",
+    ],
+    "policy_recommendations": [
+        "Increase patrolling during %s", "Deploy speed cameras near %s", "Target enforcement for %s violations",
+        "Conduct regular drunk driving checkpoints",
+    ],
+    "public_awareness_suggestions": [
+        "Awareness campaigns targeting %s age group", "Road safety signage near %s",
+        "Promote helmet and seatbelt usage through social media", "Community workshops on defensive driving",
+    ],
+}
+TREND_REPORT = {
+    "executive_summary": "Data indicates consistent accident patterns. Peak volume observed on %s.",
+    "seasonal_analysis": "Monthly variations follow standard traffic density patterns.",
+    "day_of_week_analysis": "Weekends show slightly higher incident rates.",
+    "operational_recommendations": ["Maintain standard patrolling schedules.", "Monitor peak hours closey."],
+}
+JURISDICTION_REPORT = {
+    "summary": "Analysis for %s indicates significant accident patterns, primarily late at night or early morning."
+    " Enforcement is required on key stretch roads.",
+    "key_insights": [
+        "The primary cause observed in this jurisdiction is %s.", "The most vulnerable demographic is the %s age group.",
+        "Accidents peak during %s.",
+    ],
+    "policy_recommendations": [
+        "Increase nighttime patrolling in %s.", "Engage local community leaders for awareness programs.",
+        "Identify and rectify blackspots causing frequent collisions.",
+    ],
+}
+# fixed values: texts that explain an unusual report, and the record line of a digest
+ANOMALY_REASONS = {
+    "victims": "Unusually high victims (%d)", "vehicles": "Unusually high vehicles (%d)",
+    "night": "Occurred at night (00:00–06:00 or 22:00+)", "confidence": "Low AI confidence (%.0f%%)",
+    "degree": "Unusually high graph connectivity", "other": "Unusual feature combination",
+}
+DIGEST_LINE = "- FIR %s (%s): %s accident at %s. Cause: %s"

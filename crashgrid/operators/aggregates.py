@@ -263,11 +263,9 @@ def pct_of_max(df: DataFrame, column: str) -> DataFrame:
 
 
 def _line(date: Column, place: Column) -> Column:
-    return F.concat(
-        F.lit("- FIR "), F.coalesce("fir_number", F.lit("null")), F.lit(" ("), date, F.lit("): "),
-        F.coalesce("severity", F.lit("null")), F.lit(" accident at "), place, F.lit(". Cause: "),
-        F.coalesce(F.when(F.col("cause") != "", F.col("cause")), F.lit("Unknown")),
-    )
+    cause = F.coalesce(F.when(F.col("cause") != "", F.col("cause")), F.lit("Unknown"))
+    return F.format_string(
+        fv.DIGEST_LINE, F.coalesce("fir_number", F.lit("null")), date, F.coalesce("severity", F.lit("null")), place, cause)
 
 
 def _day(ts: str, missing: str) -> Column:

@@ -76,7 +76,19 @@ def related_reports(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     chains = previous_in_key(links, "entity", "src").filter("previous IS NOT NULL")
     pairs = chains.groupBy("src", F.col("previous").alias("dst")).agg(
         F.array_join(F.array_sort(F.collect_set("relation_type")), ",").alias("relation_type"))
-    sets = cut(links.groupBy("src").agg(F.collect_set("entity").alias("own")))  # one report's entities
-    scored = pairs.join(sets, "src").join(sets.select(F.col("src").alias("dst"), F.col("own").alias("other")), "dst")
-    score = F.size(F.array_intersect("own", "other")) / F.size(F.array_union("own", "other"))
-    return scored.select("src", "dst", "relation_type", F.round(score, 4).alias("similarity_score"))
+    pairs = cut(pairs)
+    sizes = cut(links.groupBy("src").agg(F.count("*").alias("n")))
+    sized = pairs.join(sizes, "src").join(sizes.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
+    # the report with fewer entities is expanded and looked up in the other one's, so a
+    # report with very many entities is never gathered or multiplied
+    swap = F.col("n") > F.col("m")
+    ends = sized.select(
+        "src", "dst", F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("small"),
+        F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("big"))
+    common = (
+        ends.join(links.select(F.col("src").alias("small"), "entity"), "small")
+        .join(links.select(F.col("src").alias("big"), "entity"), ["big", "entity"], "left_semi")
+        .groupBy("src", "dst").agg(F.count("*").alias("both")))
+    score = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
+    return sized.join(common, ["src", "dst"]).select(
+        "src", "dst", "relation_type", F.round(score, 4).alias("similarity_score"))

@@ -18,7 +18,7 @@ from crashgrid.operators.filters import area_key, group_of
 from crashgrid.operators.joins import first_location
 
 # fixed values: how many rows of a kind a report shows
-SHOWN = {"cause": 10, "month": 12, "area": 10}
+SHOWN = {"cause": 10, "month": 12}
 
 
 def keys_all(acc: DataFrame) -> DataFrame:
@@ -73,20 +73,26 @@ def distributions(acc: DataFrame, vic: DataFrame, veh: DataFrame, keys: DataFram
     return from_acc.unionByName(from_vic).unionByName(from_veh)
 
 
+def _ranked(dist: DataFrame, order, *by: str) -> DataFrame:
+    """Number the rows of each kind; capped kinds are filtered by their rank right away,
+    which Spark applies before the shuffle, however many labels a kind has."""
+    def rank(rows):
+        return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by, "kind").orderBy(*order)))
+
+    out = rank(dist.filter(~F.col("kind").isin(list(SHOWN))))
+    for kind, n in SHOWN.items():
+        out = out.unionByName(rank(dist.filter(F.col("kind") == kind)).filter(F.col("position") <= n))
+    return out.withColumn("position", F.col("position").cast("long"))
+
+
 def shown_rows(dist: DataFrame, months: str = "first") -> DataFrame:
     """Ranked report rows: causes cut to 10, months to the first (or latest) 12."""
-    by_count = [-F.col("count")]
     month = F.when(F.col("kind") == "month", F.col("label"))
-    order = [month.asc() if months == "first" else month.desc(), *by_count, F.col("label")]
-    ranked = dist.withColumn("position", F.row_number().over(Window.partitionBy("key", "kind").orderBy(*order)))
-    cap = F.lit(None).cast("int")
-    for kind, n in SHOWN.items():
-        cap = F.when(F.col("kind") == kind, F.lit(n)).otherwise(cap)
+    order = [month.asc() if months == "first" else month.desc(), F.desc("count"), F.col("label")]
     label = F.when(
         F.col("kind") == "month", F.date_format(F.to_date(F.concat("label", F.lit("-01"))), "MMM-yyyy")
     ).otherwise(F.col("label"))
-    kept = ranked.filter(cap.isNull() | (F.col("position") <= cap))
-    return kept.select("key", "kind", F.col("position").cast("long").alias("position"), label.alias("label"), "count")
+    return _ranked(dist, order, "key").select("key", "kind", "position", label.alias("label"), "count")
 
 
 def _top(kind: str, blacklist) -> Column:
@@ -157,5 +163,10 @@ def dashboard_sections(acc: DataFrame, vic: DataFrame, veh: DataFrame) -> DataFr
     dist = distributions(acc, vic, veh).filter("kind <> 'time_slot'")
     time_key = F.when(F.col("kind").isin("month", "hour"), F.lpad("label", 7, "0"))
     order = [time_key, F.desc("count"), F.col("label")]
-    ranked = dist.withColumn("position", F.row_number().over(Window.partitionBy("kind").orderBy(*order)).cast("long"))
-    return ranked.filter("kind <> 'cause' OR position <= 10").select("kind", "position", "label", "count")
+
+    def rank(rows):
+        return rows.withColumn("position", F.row_number().over(Window.partitionBy("kind").orderBy(*order)))
+
+    causes = rank(dist.filter("kind = 'cause'")).filter(F.col("position") <= SHOWN["cause"])
+    rows = rank(dist.filter("kind <> 'cause'")).unionByName(causes)
+    return rows.select("kind", F.col("position").cast("long").alias("position"), "label", "count")

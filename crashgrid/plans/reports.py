@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from crashgrid import fixed_values as fv
 from crashgrid.operators.aggregates import distribution
 
 
@@ -16,37 +17,27 @@ def _number(c: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(c), F.lit(0.0)).cast("string"), r"\.0$", "")
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+def _say(text: str, *values: Column) -> Column:
+    return F.format_string(text, *values) if values else F.lit(text)
+
+
+def _list(texts: list[str], *values: Column) -> Column:
+    """The sentences as an array; the first ones take one value each."""
+    return F.array(*[_say(t, *values[i:i + 1]) for i, t in enumerate(texts)])
 
 
 def global_report(profile: DataFrame) -> DataFrame:
     """Summary, four insights, four recommendations, four tips per profile row."""
-    pct = _number("fatality_percentage")
+    pct, place = _number("fatality_percentage"), "hotspot_location"
+    r = fv.GLOBAL_REPORT
     return profile.select(
-        _text(
-            'Analysis of accident data from Vijayawada Commissionerate reveals that "', _or("most_common_cause", "Unknown"),
-            '" is the primary cause of accidents. The age group ', _or("high_risk_age_group", "Unknown"),
-            " is most affected, with a fatality rate of ", pct, "%.",
-        ).alias("summary"),
-        F.array(
-            _text("Peak accident time: ", _or("peak_time", "Unknown")),
-            _text("Highest risk vehicle type: ", _or("most_risky_vehicle", "Unknown")),
-            _text("Hotspot location: ", _or("hotspot_location", "Unknown")),
-            _text("Fatality percentage: ", pct, "%"),
-        ).alias("key_insights"),
-        F.array(
-            _text("Increase patrolling during ", _or("peak_time", "peak hours")),
-            _text("Deploy speed cameras near ", _or("hotspot_location", "identified hotspots")),
-            _text("Target enforcement for ", _or("most_risky_vehicle", "high-risk vehicle"), " violations"),
-            F.lit("Conduct regular drunk driving checkpoints"),
-        ).alias("policy_recommendations"),
-        F.array(
-            _text("Awareness campaigns targeting ", _or("high_risk_age_group", "high-risk"), " age group"),
-            _text("Road safety signage near ", _or("hotspot_location", "hotspot areas")),
-            F.lit("Promote helmet and seatbelt usage through social media"),
-            F.lit("Community workshops on defensive driving"),
-        ).alias("public_awareness_suggestions"),
+        _say(r["summary"], _or("most_common_cause", "Unknown"), _or("high_risk_age_group", "Unknown"), pct).alias("summary"),
+        _list(r["key_insights"], _or("peak_time", "Unknown"), _or("most_risky_vehicle", "Unknown"), _or(place, "Unknown"), pct)
+        .alias("key_insights"),
+        _list(r["policy_recommendations"], _or("peak_time", "peak hours"), _or(place, "identified hotspots"),
+              _or("most_risky_vehicle", "high-risk vehicle")).alias("policy_recommendations"),
+        _list(r["public_awareness_suggestions"], _or("high_risk_age_group", "high-risk"), _or(place, "hotspot areas"))
+        .alias("public_awareness_suggestions"),
     )
 
 
@@ -63,30 +54,20 @@ def trend_report(acc: DataFrame) -> DataFrame:
     dated = acc.filter("incident_date IS NOT NULL")
     days = distribution(dated, F.date_format("incident_date", "EEEE"), "day_name")
     peak = days.agg(F.min_by("day_name", F.struct(-F.col("count"), F.col("day_name"))).alias("peak_day"))
+    r = fv.TREND_REPORT
     return peak.select(
-        _text("Data indicates consistent accident patterns. Peak volume observed on ", F.coalesce("peak_day", F.lit("Unknown")), ".")
-        .alias("executive_summary"),
-        F.lit("Monthly variations follow standard traffic density patterns.").alias("seasonal_analysis"),
-        F.lit("Weekends show slightly higher incident rates.").alias("day_of_week_analysis"),
-        F.array(F.lit("Maintain standard patrolling schedules."), F.lit("Monitor peak hours closey."))
-        .alias("operational_recommendations"),
+        _say(r["executive_summary"], F.coalesce("peak_day", F.lit("Unknown"))).alias("executive_summary"),
+        F.lit(r["seasonal_analysis"]).alias("seasonal_analysis"), F.lit(r["day_of_week_analysis"]).alias("day_of_week_analysis"),
+        _list(r["operational_recommendations"]).alias("operational_recommendations"),
     )
 
 
 def jurisdiction_report(profiles: DataFrame) -> DataFrame:
     """One report per jurisdiction profile row."""
+    r = fv.JURISDICTION_REPORT
     return profiles.select(
-        "key",
-        _text("Analysis for ", F.col("key"), " indicates significant accident patterns, primarily late at night or early"
-              " morning. Enforcement is required on key stretch roads.").alias("summary"),
-        F.array(
-            _text("The primary cause observed in this jurisdiction is ", _or("most_common_cause", "negligent driving"), "."),
-            _text("The most vulnerable demographic is the ", _or("high_risk_age_group", "18-25"), " age group."),
-            _text("Accidents peak during ", _or("peak_time", "night hours"), "."),
-        ).alias("key_insights"),
-        F.array(
-            _text("Increase nighttime patrolling in ", F.col("key"), "."),
-            F.lit("Engage local community leaders for awareness programs."),
-            F.lit("Identify and rectify blackspots causing frequent collisions."),
-        ).alias("policy_recommendations"),
+        "key", _say(r["summary"], F.col("key")).alias("summary"),
+        _list(r["key_insights"], _or("most_common_cause", "negligent driving"), _or("high_risk_age_group", "18-25"),
+              _or("peak_time", "night hours")).alias("key_insights"),
+        _list(r["policy_recommendations"], F.col("key")).alias("policy_recommendations"),
     )
