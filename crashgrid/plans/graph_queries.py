@@ -203,6 +203,12 @@ def _(t):
     return cm.community_report(*stored(t))
 
 
+@query("g_07_community_totals")
+def _(t):
+    v, e = stored(t)
+    return cm.community_totals(e, cm.communities(v, e))
+
+
 _PREFIX_PART = "substr(id, 1, 5)"
 
 
@@ -289,7 +295,11 @@ def _(t):
     return h.withColumn("fatal", F.coalesce(F.col("severity_breakdown")["Fatal"], F.lit(0))).drop("severity_breakdown")
 
 
-@query("g_15_viewer_nodes")
+@query("g_15_viewer_nodes",
+       "SELECT node, node_type, score FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY part) AS rn FROM ("
+       "SELECT * FROM (SELECT id AS node, round(s, 4) AS score, 0 AS part FROM pr ORDER BY round(s, 9) DESC, id LIMIT 100) UNION ALL"
+       " SELECT * FROM (SELECT id, round(d / (n - 1), 4), 1 FROM " + _DEG.format("UNION ALL SELECT src FROM edges") + ", size ORDER BY round(d / (n - 1), 9) DESC, id LIMIT 100)))"
+       " JOIN nodes ON id = node WHERE rn = 1", ctes=PAGERANK)
 def _(t):
     return hs.viewer_extract(*stored(t))[0]
 
