@@ -74,15 +74,17 @@ def distributions(acc: DataFrame, vic: DataFrame, veh: DataFrame, keys: DataFram
 
 
 def _ranked(dist: DataFrame, order, *by: str) -> DataFrame:
-    """Number the rows of each kind; capped kinds are filtered by their rank right away,
-    which Spark applies before the shuffle, however many labels a kind has."""
+    """Number the rows of each kind and cut the capped kinds.
+
+    Causes are free text, so their rank filter stands alone: Spark then applies it before
+    the shuffle.  The other kinds have few labels per key.
+    """
     def rank(rows):
         return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by, "kind").orderBy(*order)))
 
-    out = rank(dist.filter(~F.col("kind").isin(list(SHOWN))))
-    for kind, n in SHOWN.items():
-        out = out.unionByName(rank(dist.filter(F.col("kind") == kind)).filter(F.col("position") <= n))
-    return out.withColumn("position", F.col("position").cast("long"))
+    cause = rank(dist.filter("kind = 'cause'")).filter(F.col("position") <= SHOWN["cause"])
+    rest = rank(dist.filter("kind <> 'cause'")).filter((F.col("kind") != "month") | (F.col("position") <= SHOWN["month"]))
+    return rest.unionByName(cause).withColumn("position", F.col("position").cast("long"))
 
 
 def shown_rows(dist: DataFrame, months: str = "first") -> DataFrame:
