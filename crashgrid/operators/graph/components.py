@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from crashgrid.session import cut, join_tagged, tag_hot
+from crashgrid.session import cut, drop_cut
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -14,42 +14,39 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def components(vertices: DataFrame, edges: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(id, component): the smallest vertex id of each connected component.
+    """(id, component): the smallest vertex id of each connected component."""
+    known = linked_components(links if links is not None else edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    joined = vertices.select("id").distinct().join(known, "id", "left")
+    return cut(joined.select("id", F.coalesce("component", "id").alias("component")))
 
-    Every round each vertex takes the smallest of its own label, its neighbours' labels
-    and the label of its label, so label chains shorten quickly.  Messages are minimised
-    map-side; the labels of hub vertices travel by broadcast.
-    """
-    links = links if links is not None else cut(undirected(edges))
-    # vertices with one neighbour follow that neighbour, so the rounds run on the rest only
-    ends = cut(links.groupBy("a").agg(F.count("*").alias("d"), F.min("b").alias("b")))
-    core = ends.filter("d > 1").select("a")
-    tips = ends.filter("d = 1").select("a", "b").join(core.select(F.col("a").alias("b"), F.lit(True).alias("_core")), "b", "left")
-    tips = cut(tips)
-    smallest = tips.filter("_core").groupBy(F.col("b").alias("a")).agg(F.min("a").alias("_tip"))
-    inner = links.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
-    tagged = cut(tag_hot(cut(inner), "a"))
-    labels = cut(core.join(smallest, "a", "left").select(F.col("a").alias("id"), F.least("a", "_tip").alias("component")))
-    labels = _settle(tagged, labels)
-    hung = tips.filter("_core").join(labels.select(F.col("id").alias("b"), "component"), "b").select(F.col("a").alias("id"), "component")
-    pairs = tips.filter("_core IS NULL").select(F.col("a").alias("id"), F.least("a", "b").alias("component"))
-    known = labels.unionByName(hung).unionByName(pairs)
-    return cut(vertices.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
 
+def linked_components(links: DataFrame) -> DataFrame:
+    """(id, component) of every id in the links (a, b): the smallest id that it is connected with.
 
-def _settle(tagged: DataFrame, labels: DataFrame) -> DataFrame:
-    """Spread the smallest label over the links until nothing changes."""
+    Alternating stars: each round every larger end moves to the smallest neighbour of its smaller
+    end, then all smaller ends of an id move to the smallest of them, until only stars are left.
+    The links shrink from round to round, and the smallest neighbours are stored before they are
+    joined, so that both sides of the join are plain shuffles, which adaptive execution splits at
+    hot ids.  The tables of a round are deleted once the next one stands.
+    """
+    pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    stars = cut(pairs.distinct())
     while True:
-        sent = join_tagged(tagged, labels.select(F.col("id").alias("a"), "component"), "a")
-        low = sent.groupBy(F.col("b").alias("id")).agg(F.min("component").alias("_low"))
-        # labels that have a smaller label themselves; one row per such label
-        moved = labels.filter("component < id").select(F.col("id").alias("component"), F.col("component").alias("_next"))
-        step = labels.join(low, "id", "left").join(moved, "component", "left").select(
-            "id", F.col("component").alias("_old"), F.least("component", "_low", "_next").alias("component"))
-        step = cut(step)
-        labels = step.select("id", "component")
-        if step.filter("component <> _old").isEmpty():
-            return labels
+        ends = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
+            stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        moved = cut(ends.groupBy("u").agg(F.min("v").alias("m")).filter("m < u").select(F.col("u").alias("lo"), "m"))
+        large = cut(stars.join(moved, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct())
+        low = cut(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")))
+        # ids with one smaller end keep it; the others' ends are joined to their smallest
+        several = low.filter("n > 1").select("hi", "m")
+        joined = large.join(several, "hi").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        after = cut(low.select("hi", F.col("m").alias("lo")).unionByName(joined).distinct())
+        settled = joined.isEmpty() and after.join(after.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()
+        drop_cut(stars, moved, large, low)
+        stars = after
+        if settled:
+            heads = stars.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
+            return stars.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(heads)
 
 
 def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:

@@ -13,14 +13,22 @@ HOT_SHARE = 500
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder of the cluster; a local one only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder in ``spark.checkpoint.dir``; where unset, one below the default file system's home.
+
+    A local master may use a temporary folder.  A cluster whose default file system is local has no
+    place that all executors see, so that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    else:
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.getUri().getScheme() == "file":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{fs.getHomeDirectory()}/scratch-{uuid.uuid4().hex}"
     spark.sparkContext.setCheckpointDir(root)
     return root
 
@@ -39,7 +47,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``cut`` that no later plan reads (other frames are left alone)."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            jpath = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
