@@ -3,3 +3,4 @@
 from crashgrid.llm.registry import ORACLES, QUERIES  # noqa: F401
 from crashgrid.llm import exact_dedup  # noqa: F401,E402
 from crashgrid.llm import sharding  # noqa: F401,E402
+from crashgrid.llm import warc  # noqa: F401,E402
