@@ -5,3 +5,4 @@ from crashgrid.llm import exact_dedup  # noqa: F401,E402
 from crashgrid.llm import sharding  # noqa: F401,E402
 from crashgrid.llm import warc  # noqa: F401,E402
 from crashgrid.llm import topk  # noqa: F401,E402
+from crashgrid.llm import bpe  # noqa: F401,E402
