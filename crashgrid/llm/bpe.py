@@ -29,7 +29,7 @@ from crashgrid.llm.registry import query
 LEXICON_WORDS = 50_000
 # Words of more bytes are merged one by one with a heap, shorter ones many at a time.
 LONG_WORD = 48
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
 
