@@ -7,3 +7,4 @@ from crashgrid.llm import warc  # noqa: F401,E402
 from crashgrid.llm import topk  # noqa: F401,E402
 from crashgrid.llm import bpe  # noqa: F401,E402
 from crashgrid.llm import pii  # noqa: F401,E402
+from crashgrid.llm import toxicity  # noqa: F401,E402
