@@ -14,6 +14,7 @@ import os
 import struct
 import tempfile
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from crashgrid.llm.registry import query
+from crashgrid.session import cut, drop_cut
 
 LEXICON_WORDS = 50_000
 # Words of more bytes are merged one by one with a heap, shorter ones many at a time.
@@ -328,14 +330,22 @@ def read_tokenizer(path: str | None = None) -> bytes:
 def ship_lexicon(docs: DataFrame, content: bytes, words: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words of the documents; returns the file's name on all executors.
 
-    Only ``words`` rows come to the driver, a fixed bound.  Words of over LONG_WORD bytes and special
-    tokens stay out.
+    Words enter by steps of their count (eight for each doubling), as long as no more than ``words``
+    come to the driver.  Words met once, of over LONG_WORD bytes, and special tokens stay out.
     """
     spark, tokenizer = docs.sparkSession, _tokenizer(content)
     counts = word_counts(docs, content).filter((F.octet_length("word") <= LONG_WORD) & ~F.col("word").isin(list(tokenizer.special)))
-    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+    counts = cut(counts.filter("n > 1").withColumn("step", F.floor(8 * F.log2("n"))))
+    enough, total = None, 0
+    for step, n in sorted(((r[0], r[1]) for r in counts.groupBy("step").count().collect()), reverse=True):
+        total += n
+        if total > words:
+            break
+        enough = step
+    top = [r.word for r in counts.filter(F.col("step") >= enough).select("word").collect()] if enough is not None else []
+    drop_cut(counts)
     block = compile_lexicon(top, tokenizer.merge(top))
-    name = f"lexicon-{hashlib.sha256(block).hexdigest()[:32]}"
+    name = f"lexicon-{uuid.uuid4().hex}"
     folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     with open(os.path.join(folder, name), "wb") as f:
         f.write(block)
