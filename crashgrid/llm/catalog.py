@@ -9,3 +9,4 @@ from crashgrid.llm import bpe  # noqa: F401,E402
 from crashgrid.llm import pii  # noqa: F401,E402
 from crashgrid.llm import toxicity  # noqa: F401,E402
 from crashgrid.llm import minhash  # noqa: F401,E402
+from crashgrid.llm import mixing  # noqa: F401,E402
