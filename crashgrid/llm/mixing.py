@@ -136,8 +136,8 @@ def plan_mix(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, each as often as ``plan_mix`` deals it out."""
     stored = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plan = plan_mix(stored, **options).filter("copies <> 1").select("_row", "copies")
-    joined = stored.join(plan, "_row", "left").withColumn("_copies", F.coalesce("copies", F.lit(1)).cast("int"))
+    plan = plan_mix(stored, **options).filter("copies <> 1").select("_row", F.col("copies").alias("_copies"))
+    joined = stored.join(plan, "_row", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)).cast("int"))
     return joined.filter("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

@@ -88,6 +88,17 @@ def number_rows(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     return result, total
 
 
+def _placing(total: int, shards: int, seed: int):
+    order = Feistel(total, seed)
+
+    @F.pandas_udf("shard int, slot long")
+    def place(rows: pd.Series) -> pd.DataFrame:
+        at, slot = order.shard_slot(rows.to_numpy(), shards)
+        return pd.DataFrame({"shard": at.astype(np.int32), "slot": slot})
+
+    return place
+
+
 def shard(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """doc_id, size, text_crc32, row, shard and slot of every document.
 
@@ -99,33 +110,22 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     numbered, total = number_rows(slim, ["doc_id", "text_crc32", "size"])
-    order = Feistel(total, seed)
-
-    @F.pandas_udf("shard int, slot long")
-    def place(rows: pd.Series) -> pd.DataFrame:
-        at, slot = order.shard_slot(rows.to_numpy(), shards)
-        return pd.DataFrame({"shard": at.astype(np.int32), "slot": slot})
-
-    placed = numbered.withColumn("_place", place("_row"))
+    placed = numbered.withColumn("_place", _placing(total, shards, seed)("_row"))
     return placed.select("doc_id", "size", "text_crc32", F.col("_row").alias("row"), "_place.shard", "_place.slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 0) -> None:
     """Write the documents with shard and slot, one folder a shard, each in the order of its slots.
 
-    Rows find their place by (doc_id, text_crc32, size) and their number among equals.
+    The rows are numbered as in ``shard``, with all columns; own columns called shard or slot are
+    replaced.
     """
-    from pyspark.sql import Window
-
-    same = Window.partitionBy("doc_id", "text_crc32", "size").orderBy(F.lit(0))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
-    places = shard(docs, shards, seed).withColumn("_n", F.row_number().over(same))
-    keys = ["doc_id", "text_crc32", "size", "_n"]
-    keyed = keyed.withColumn("_n", F.row_number().over(same))
-    both = [keyed[k].eqNullSafe(places[k]) for k in keys]
-    joined = keyed.join(places, both).select(*[keyed[c] for c in docs.columns], places["shard"], places["slot"])
-    joined.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    keyed = docs.withColumns({"_id": F.col("doc_id"), "_crc": F.crc32(text.cast("binary")), "_size": F.octet_length(text)})
+    numbered, total = number_rows(keyed, ["_id", "_crc", "_size"])
+    placed = numbered.withColumn("_place", _placing(total, shards, seed)("_row"))
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    placed.select(*columns, "_place.shard", "_place.slot").repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 @query("op4_feistel_shards", "documents")
