@@ -23,9 +23,9 @@ from crashgrid.session import HOT_SHARE, cut, drop_cut
 
 WINDOW, GRAM = 200, 32
 PRIME, BASES = np.uint64(2**31 - 1), (1_299_709, 1_000_003_261)
-SEGMENT = 1 << 21  # bytes hashed at a time; longer texts overlap by a window
-LARGE_GROUP = 100_000  # occurrences of a gram up to which they are sorted in one task
-SORT_BYTES = 32 << 20
+SEGMENT = 1 << 18  # bytes hashed at a time; longer texts overlap by a window
+LARGE_GROUP = 20_000  # occurrences of a gram up to which they are sorted in one task
+SORT_BYTES = 3 << 20  # of contexts sorted at a time; hashes take some fifty times as much
 
 
 # -------------------------------------------------------------- prefix polynomial hashes
@@ -233,12 +233,13 @@ def _list_anchors(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known = {k: i for i, k in enumerate(zip(b.column("h").to_pylist(), b.column("n").to_pylist()))}
-            keys = [k for k in known if k[1] >= WINDOW]
-            text = b.column("text")
-            owner, position, _, _, gram = anchors([text[known[k]].as_py().encode() for k in keys])
-            cuts = np.searchsorted(owner, np.arange(len(keys) + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(v, t)) for v, t in ((gram, pa.int64()), (position, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), *lists], names=["h", "n", "grams", "places"])
+            every, text = [k for k in known if k[1] >= WINDOW], b.column("text")
+            for at in range(0, len(every), 200):
+                keys = every[at:at + 200]
+                owner, position, _, _, gram = anchors([text[known[k]].as_py().encode() for k in keys])
+                cuts = np.searchsorted(owner, np.arange(len(keys) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(v, t)) for v, t in ((gram, pa.int64()), (position, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), *lists], names=["h", "n", "grams", "places"])
 
     return texts.mapInArrow(run, "h long, n int, grams array<long>, places array<int>")
 
@@ -355,7 +356,7 @@ def repeated_texts(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame
     joined = touched.select("h", "n", "text", "copies").join(merged, ["h", "n"], "left").filter("copies > 1 OR spans IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             rows = []
             for text, copies, spans in zip(*(b.column(c).to_pylist() for c in ("text", "copies", "spans"))):
                 data = text.encode()
