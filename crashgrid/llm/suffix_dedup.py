@@ -25,7 +25,7 @@ WINDOW, GRAM = 200, 32
 PRIME, BASES = np.uint64(2**31 - 1), (1_299_709, 1_000_003_261)
 SEGMENT = 1 << 18  # bytes hashed at a time; longer texts overlap by a window
 LARGE_GROUP = 20_000  # occurrences of a gram up to which they are sorted in one task
-SORT_BYTES = 3 << 20  # of contexts sorted at a time; hashes take some fifty times as much
+SORT_BYTES = 3 << 20  # of contexts sorted at a time; hashes take some thirty times as much
 
 
 # -------------------------------------------------------------- prefix polynomial hashes
@@ -35,30 +35,40 @@ def _mod(x: np.ndarray) -> np.ndarray:
     return np.where(x >= PRIME, x - PRIME, x)
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, dtype=np.uint64)
-    step = base
-    while len(out) < n:
+@lru_cache(maxsize=8)
+def _powers(base: int, bits: int) -> np.ndarray:
+    """base ** 0, 1, ... modulo the prime, 2 ** bits of them."""
+    out, step = np.ones(1, dtype=np.uint64), base
+    for _ in range(bits):
         out = np.concatenate([out, _mod(out * np.uint64(step))])
         step = step * step % int(PRIME)
-    return out[:n]
+    return out.astype(np.uint32)
 
 
 class PrefixHashes:
-    """Hash of any substring of a buffer in constant time; equal bytes have equal hashes in any buffer."""
+    """Hash of any substring of a piece in constant time; equal bytes have equal hashes in any buffer.
 
-    def __init__(self, data: np.ndarray):
-        n = 1 << max(10, int(len(data)).bit_length())
-        self.sums, self.back = [], []
+    ``place`` is each byte's place in its piece; a power of the base for each place is all that is
+    tabulated, so pieces are short (SEGMENT) or very short (the bytes around an anchor).
+    """
+
+    def __init__(self, data: np.ndarray, place: np.ndarray):
+        bits = max(10, int(place.max(initial=0)).bit_length())
+        self.place, self.sums = place, []
+        self.back = [_powers(pow(base, -1, int(PRIME)), bits) for base in BASES]
         for base in BASES:
-            terms = _mod((data.astype(np.uint64) + np.uint64(1)) * _powers(base, n)[:len(data)])
-            self.sums.append(np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(terms)]))
-            self.back.append(_powers(pow(base, -1, int(PRIME)), n))
+            powers, carry, sums = _powers(base, bits), np.uint64(0), np.zeros(len(data) + 1, dtype=np.uint32)
+            for i in range(0, len(data), SEGMENT):  # bytes count from 1
+                part = slice(i, i + SEGMENT)
+                terms = powers[place[part]].astype(np.uint64) * (data[part].astype(np.uint64) + np.uint64(1))
+                total = _mod(np.cumsum(_mod(terms)) + carry)
+                sums[1 + i:1 + i + len(total)], carry = total, total[-1]
+            self.sums.append(sums)
 
     def of(self, start: np.ndarray, end: np.ndarray, parts: int = 2) -> np.ndarray:
         """62-bit hashes of data[start:end]; with ``parts`` = 1 the first 31 bits' half only."""
-        h = [_mod(_mod(s[end] - s[start]) * b[start]) for s, b in zip(self.sums[:parts], self.back)]
+        shift = self.place[np.minimum(start, len(self.place) - 1)]
+        h = [_mod(_mod(s[end].astype(np.uint64) + PRIME - s[start]) * b[shift]) for s, b in zip(self.sums[:parts], self.back)]
         return h[0] if parts == 1 else h[0] << np.uint64(31) | h[1]
 
 
@@ -88,7 +98,7 @@ def _anchors(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(p[2] for p in pieces), dtype=np.uint8)
     sizes = np.array([len(p[2]) for p in pieces])
     ends = np.cumsum(sizes)
-    hashes = PrefixHashes(data)
+    hashes = PrefixHashes(data, np.arange(len(data), dtype=np.int32) - np.repeat(ends - sizes, sizes).astype(np.int32))
     at = np.arange(len(data) - GRAM + 1)
     low = np.uint64(2**24 - 1)
     ranked = (_mix(hashes.of(at, at + GRAM, 1)) & ~low) | at.astype(np.uint64)
@@ -117,7 +127,7 @@ class Suffixes:
         sizes = np.array([len(c) for c in contexts])
         self.end = np.cumsum(sizes)
         self.at = self.end - sizes + most
-        self.hashes = PrefixHashes(self.data)
+        self.hashes = PrefixHashes(self.data, np.arange(len(self.data), dtype=np.int32) - np.repeat(self.end - sizes, sizes).astype(np.int32))
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes, by binary search over hashes."""
@@ -196,7 +206,7 @@ def repeated(group: np.ndarray, contexts: list[bytes], least: np.ndarray, most:
             out[x, 1], mate[x, 1] = distance, y
     for side in (0, 1):  # verification: the windows really are equal
         some = np.flatnonzero(out[:, side] >= 0)
-        for part in np.array_split(some, max(1, len(some) // 20_000)):
+        for part in np.array_split(some, max(1, len(some) // 4_000)):
             i, d = a[part] - out[part, side], np.arange(WINDOW)
             j = a[mate[part, side]] - out[part, side]
             if (s.data[i[:, None] + d] != s.data[j[:, None] + d]).any():
@@ -347,16 +357,17 @@ def repeated_texts(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame
     hits = pairs.join(again, "gram").groupBy("h", "n").agg(F.collect_set(F.struct("gram", "large")).alias("hits"))
     distinct = texts.groupBy("h", "n").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     touched = cut(distinct.join(hits, ["h", "n"], "left").filter(f"n >= {WINDOW} AND (hits IS NOT NULL OR copies > 1)"))
+    any_large = not again.filter("large").isEmpty()
     drop_cut(listed, again)
-    contexts = _contexts(touched.filter("hits IS NOT NULL").select("h", "n", "text", "hits"))
-    spans = _sorted_groups(contexts.filter("NOT large"))
-    if not touched.filter("exists(hits, x -> x.large)").isEmpty():
-        spans = spans.unionByName(_large_groups(contexts.filter("large")))
+    found = touched.filter("hits IS NOT NULL").select("h", "n", "text", "hits")
+    spans = _sorted_groups(_contexts(found).filter("NOT large"))
+    if any_large:
+        spans = spans.unionByName(_large_groups(_contexts(found.filter("exists(hits, x -> x.large)")).filter("large")))
     merged = cut(spans.groupBy("h", "n").agg(F.collect_set(F.struct("begin", "stop")).alias("spans")))
     joined = touched.select("h", "n", "text", "copies").join(merged, ["h", "n"], "left").filter("copies > 1 OR spans IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+        for b in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
             rows = []
             for text, copies, spans in zip(*(b.column(c).to_pylist() for c in ("text", "copies", "spans"))):
                 data = text.encode()
