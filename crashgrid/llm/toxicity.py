@@ -25,6 +25,7 @@ WORD = re.compile(r"\w+")
 BUCKETS = 1 << 20
 LEVELS = (3, 4, 5, 6, 7)  # lengths of word beginnings, before the whole word
 PRIOR = 12.0  # observations that the level above is worth
+SURE = 1e-4  # the smoothed rate of a token stays so far from 0 and 1
 DRIFT = 1.5  # taken from each token's log-odds, so that segments do not grow over neutral text
 LABELLED_ROWS = 200_000
 HELD = 300_000
@@ -48,8 +49,9 @@ class TokenScores(dict):
     def __missing__(self, word: str) -> float:
         rate = self.rate
         for s in slots(word):
-            t, c = self.toxic[s], self.clean[s]
+            t, c = float(self.toxic[s]), float(self.clean[s])
             rate = (t + PRIOR * rate) / (t + c + PRIOR)
+        rate = min(max(rate, SURE), 1 - SURE)
         score = float(np.log(rate / (1 - rate)) - np.log(self.rate / (1 - self.rate))) - DRIFT
         if len(self) >= HELD:
             self.clear()

@@ -113,6 +113,15 @@ def test_segments_are_the_maximal_ones():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute_segments(s)]
 
 
+def test_scores_of_tokens_stay_finite():
+    toxic, clean = (np.zeros(toxicity.BUCKETS + 1, dtype=np.float32) for _ in range(2))
+    toxic[toxicity.slots("vile")], toxic[-1], clean[toxicity.slots("mild")], clean[-1] = 1e9, 1e9, 1e9, 9e9
+    s = toxicity.TokenScores(toxic, clean).of("vile mild new " * 20)
+    assert np.isfinite(s).all() and s[0] > 5 > 0 > s[1]
+    x = toxicity.calibrate(np.array([0.0, 9.0] * 50), np.full(100, 60), lambda c: np.zeros(100), np.array([0.0, 1.0] * 50))
+    assert np.isfinite(x.weights).all()
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(3)
     words = ["".join(r.choice("abcdefg") for _ in range(r.randrange(2, 7))) for _ in range(400)]
