@@ -240,11 +240,10 @@ def chunks(text: Column, size: int = 4500) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i * size + 1, F.lit(size)))
 
 
-def script_share(text: Column, script: str = "Telugu", head: int = 500) -> Column:
-    """Share of the first characters that belong to a Unicode script."""
-    part = F.substring(text, 1, head)
-    hits = F.regexp_count(part, F.lit(rf"\p{{Is{script}}}"))
-    return F.coalesce(F.round(F.try_divide(hits.cast("double"), F.length(part).cast("double")), 4), F.lit(0.0))
+def script_share(text: Column, script: str = "Telugu") -> Column:
+    """Share of the characters that belong to a Unicode script."""
+    hits = F.regexp_count(text, F.lit(rf"\p{{Is{script}}}"))
+    return F.coalesce(F.round(F.try_divide(hits.cast("double"), F.length(text).cast("double")), 4), F.lit(0.0))
 
 
 def object_name(name: Column) -> Column:

@@ -20,8 +20,8 @@ def _usable(c: Column) -> Column:
 
 
 def extract_station(raw_text: Column) -> Column:
-    """Station named in the header: labelled patterns first, then a scan of its lines."""
-    head = F.substring(F.regexp_replace(raw_text, "\r", ""), 1, 1500)
+    """Station named in the text: labelled patterns first, then a scan of its lines."""
+    head = F.regexp_replace(raw_text, "\r", "")
     labelled = [_usable(_clean(F.regexp_extract(head, p, 1))) for p in fv.STATION_PATTERNS]
 
     lines = F.transform(F.split(head, "\n"), trimmed)

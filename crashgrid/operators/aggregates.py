@@ -49,8 +49,9 @@ def time_slots(acc: DataFrame) -> DataFrame:
     return distribution(acc.filter("incident_date IS NOT NULL"), time_slot(F.col("incident_date")), "time_slot")
 
 
-def area_top(loc: DataFrame, n: int = 10) -> DataFrame:
-    return distribution(loc.filter("area IS NOT NULL"), "area", "area").limit(n)
+def area_top(loc: DataFrame, n: int | None = 10) -> DataFrame:
+    out = distribution(loc.filter("area IS NOT NULL"), "area", "area")
+    return out if n is None else out.limit(n)
 
 
 def hour_hist(acc: DataFrame) -> DataFrame:

@@ -49,8 +49,8 @@ def drop_placeholders(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull() & (F.col(column) != value))
 
 
-def search(acc: DataFrame, loc: DataFrame, veh: DataFrame, term: str, limit: int = 50) -> DataFrame:
-    """Keyword search over report, location and vehicle fields; newest ``limit`` hits.
+def search(acc: DataFrame, loc: DataFrame, veh: DataFrame, term: str, limit: int | None = None) -> DataFrame:
+    """Keyword search over report, location and vehicle fields, newest first; all hits unless ``limit`` is given.
 
     Matching vehicles are reduced to distinct accident ids before the join, so the
     vehicle fan-out never reaches the result.
@@ -76,7 +76,8 @@ def search(acc: DataFrame, loc: DataFrame, veh: DataFrame, term: str, limit: int
         any_like("fir_number", "cause", "severity", "address", "area", "city")
         | F.coalesce("_veh", F.lit(False))
     ).drop("_veh")
-    return hits.distinct().orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    found = hits.distinct().orderBy(F.desc("created_at"), F.desc("id"))
+    return found if limit is None else found.limit(limit)
 
 
 def area_is(area: Column, name: str) -> Column:

@@ -37,7 +37,7 @@ def _union(frames) -> DataFrame:
 
 def crime_key(cause: Column) -> Column:
     """Vertex id of a cause, null for missing and placeholder causes."""
-    key = F.regexp_replace(F.substring(F.upper(trimmed(cause)), 1, 60), " ", "_")
+    key = F.regexp_replace(F.upper(trimmed(cause)), " ", "_")
     return F.when((cause != "") & (cause != fv.CAUSE_PLACEHOLDER), key)
 
 

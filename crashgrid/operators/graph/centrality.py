@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from crashgrid.operators.graph.build import with_attrs
 from crashgrid.operators.graph.components import components, undirected
-from crashgrid.session import cut, hot_keys, join_tagged
+from crashgrid.session import cut, drop_cut, hot_keys, join_tagged
 
 
 def degree(vertices: DataFrame, edges: DataFrame, incoming_only: bool = False) -> DataFrame:
@@ -20,36 +20,35 @@ def degree(vertices: DataFrame, edges: DataFrame, incoming_only: bool = False) -
         "id", F.when(F.col("_n") > 1, F.coalesce("_d", F.lit(0)) / (F.col("_n") - 1)).otherwise(1.0).alias("score"))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, alpha=0.85, max_iter=200, tol=1e-6) -> DataFrame:
-    """Power iteration with uniform teleport and dangling mass; stops at L1 change < n * tol.
+def pagerank(vertices: DataFrame, edges: DataFrame, alpha=0.85, max_iter=200, tol=1e-9) -> DataFrame:
+    """Rank with uniform teleport, the mass of vertices without out-edges spread evenly.
 
-    One job per round: contributions are summed map-side per target, so hub targets do
-    not skew; hub sources are met by a broadcast of their few ranks.
+    Iterates y = 1 + alpha * (inflow of y) and divides by the total at the end, which is the same
+    fixed point and needs no pass for the dangling mass.  The loop ends when the L1 change is at most
+    ``tol`` of the total, whatever the number of vertices; not getting there is an error.
+    Contributions are summed map-side per target, so hub targets do not skew; hub sources are met by
+    a broadcast of their few ranks.  The table of a round goes once the next one stands.
     """
     weights = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")))
     out = weights.groupBy("src").agg(F.sum("w").alias("out"))
     shares = weights.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p"))
     links = cut(shares.join(F.broadcast(hot_keys(weights, "src").withColumn("_mark", F.lit(True))), "src", "left").select(
         F.col("src").alias("id"), "dst", "p", F.col("_mark").isNotNull().alias("_hot")))
-    nodes = vertices.select("id").distinct()
-    n = nodes.count()
-    if n == 0:
-        return nodes.withColumn("score", F.lit(0.0))
-    state = cut(
-        nodes.join(links.select("id").distinct().withColumn("_out", F.lit(True)), "id", "left")
-        .select("id", F.col("_out").isNull().alias("dangling"), F.lit(1.0 / n).alias("score"))
-    )
+    state = cut(vertices.select("id").distinct().withColumn("score", F.lit(1.0)))
+    if state.isEmpty():
+        return state
     for _ in range(max_iter):
-        lost = state.filter("dangling").agg(F.sum("score")).first()[0] or 0.0
         flow = join_tagged(links, state.select("id", "score"), "id").groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("score") * F.col("p")).alias("_in"))
-        new = alpha * (F.coalesce("_in", F.lit(0.0)) + lost / n) + (1 - alpha) / n
-        state = cut(state.join(flow, "id", "left").select("id", "dangling", F.col("score").alias("_old"), new.alias("score")))
-        change = state.agg(F.sum(F.abs(F.col("score") - F.col("_old")))).first()[0]
-        state = state.drop("_old")
-        if change < n * tol:
-            break
-    return state.select("id", "score")
+        new = 1 + alpha * F.coalesce("_in", F.lit(0.0))
+        step = cut(state.select("id", F.col("score").alias("_old")).join(flow, "id", "left").select("id", "_old", new.alias("score")))
+        total, change = step.agg(F.sum("score"), F.sum(F.abs(F.col("score") - F.col("_old")))).first()
+        drop_cut(state)
+        state = step
+        if change <= tol * total:
+            drop_cut(weights, links)
+            return state.select("id", (F.col("score") / F.lit(total)).alias("score"))
+    raise RuntimeError(f"PageRank did not settle within {max_iter} rounds")
 
 
 def _fold_leaves(links: DataFrame, sizes: DataFrame):

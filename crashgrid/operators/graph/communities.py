@@ -11,7 +11,7 @@ from crashgrid.session import cut
 SHARES = [1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125]
 
 
-def communities(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def communities(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, community): agglomerate while some merge raises modularity.
 
     Each round every community points at the neighbour with the best gain.  A community
@@ -31,10 +31,7 @@ def communities(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) ->
     ends = links.select(F.col("a").alias("c"), "w").unionByName(links.select(F.col("b").alias("c"), "w"))
     mass = cut(ends.groupBy("c").agg((F.sum("w") / (2 * m)).alias("mass")))
     moves = []
-    for _ in range(max_rounds):
-        move = _round(links, mass, m)
-        if move.isEmpty():
-            break
+    while not (move := _round(links, mass, m)).isEmpty():
         moves.append(move)
         links, mass = _contract(links, mass, move)
     # resolve from the last move backwards: the small late maps are joined first

@@ -10,6 +10,9 @@ from crashgrid.operators.graph.build import edge_sample
 from crashgrid.operators.graph.centrality import degree, pagerank, top_nodes
 from crashgrid.operators.ranking import concat_first
 
+# fixed value: danger score that counts as full danger
+DANGER_SCALE = 30.0
+
 
 def location_scores(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct reports, danger score and severity counts of every location with reports."""
@@ -32,14 +35,12 @@ def hotspots(vertices: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
 
 
 def risk_scores(vertices: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
-    """Composite 0-100 risk of the 2n most dangerous locations; the n riskiest are returned."""
-    top = hotspots(vertices, edges, 2 * n)
+    """Composite 0-100 risk of every location with reports; the n riskiest are returned."""
     deg = degree(vertices, edges).select(F.col("id").alias("location_id"), F.col("score").alias("_deg"))
     rank = pagerank(vertices, edges).select(F.col("id").alias("location_id"), F.col("score").alias("_rank"))
-    rows = F.broadcast(top)  # at most 2n rows
-    joined = deg.join(rows, "location_id").join(rank.join(F.broadcast(top.select("location_id")), "location_id"), "location_id")
+    joined = location_scores(vertices, edges).join(deg, "location_id").join(rank, "location_id")
     fatal = F.coalesce(F.col("severity_breakdown")["Fatal"], F.lit(0)) / F.col("fir_count")
-    score = F.col("danger_score") / (n * 3) * 50 + F.col("_deg") * 20 + F.col("_rank") * 100 * 15 + fatal * 15
+    score = F.col("danger_score") / DANGER_SCALE * 50 + F.col("_deg") * 20 + F.col("_rank") * 100 * 15 + fatal * 15
     return joined.withColumn("risk_score", F.least(F.round(score, 2), F.lit(100.0))).withColumns({
         "risk_level": risk_level(F.col("risk_score")), "fatality_rate": F.round(fatal, 3),
         "graph_centrality": F.round("_deg", 4), "graph_pagerank": F.round("_rank", 4),

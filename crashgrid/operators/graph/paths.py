@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from crashgrid.operators.graph.components import undirected
 from crashgrid.session import cut
 
-# A frontier of at most this many rows is broadcast instead of shuffling the edges.
-BROADCAST_ROWS = 200_000
-
 
 @dataclass
 class PathResult:
@@ -22,21 +19,15 @@ class PathResult:
     path: list[str] | None = None
 
 
-def _step(frontier: DataFrame, size: int, links: DataFrame) -> DataFrame:
-    side = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
-    return links.join(side, "a")
-
-
 def distances(links: DataFrame, source: str, stop_at: str | None = None, max_hops: int | None = None):
     """Level frames (id, parent) by hops from ``source``; parent is the smallest on ties."""
     spark = links.sparkSession
     level = spark.createDataFrame([(source, None)], "id string, parent string")
-    levels, seen, size = [level], level.select("id"), 1
+    levels, seen = [level], level.select("id")
     while max_hops is None or len(levels) <= max_hops:
-        reached = _step(level.select(F.col("id").alias("a")), size, links).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+        reached = links.join(level.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
         level = cut(reached.join(seen, "id", "left_anti"))
-        size = level.count()
-        if not size:
+        if level.isEmpty():
             return levels
         levels.append(level)
         seen = seen.unionByName(level.select("id"))
@@ -104,10 +95,10 @@ def _grow(guided: DataFrame, a: str, b: str, length: int, width: int):
     """Smallest simple paths of exactly ``length`` hops, and whether none was cut off."""
     spark = guided.sparkSession
     front = spark.createDataFrame([(a, [a])], "a string, path array<string>")
-    exact, size = True, 1
+    exact = True
     for hop in range(1, length + 1):
         remaining = length - hop
-        grown = _step(front, size, guided).filter(
+        grown = guided.join(front, "a").filter(
             (F.col("left") <= remaining) & ~F.expr("array_contains(path, b)")
             & ((F.col("b") != b) if remaining else F.lit(True)))
         grown = grown.select(F.col("b").alias("a"), F.concat("path", F.array("b")).alias("path"))

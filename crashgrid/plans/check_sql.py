@@ -34,7 +34,7 @@ def _case(subject: str, rules) -> str:
 
 # stations(id, severity, extracted, station)
 STATIONS = (
-    "heads AS (SELECT id, severity, substr(replace(raw_text, chr(13), ''), 1, 1500) AS head FROM accidents), "
+    "heads AS (SELECT id, severity, replace(raw_text, chr(13), '') AS head FROM accidents), "
     "cleaned AS (SELECT id, severity,"
     f" {_clean(f'''regexp_extract(head, '{fv.STATION_PATTERNS[0]}', 1)''')} AS c1,"
     f" {_clean(f'''regexp_extract(head, '{fv.STATION_PATTERNS[1]}', 1)''')} AS c2,"

@@ -25,7 +25,7 @@ GRAPH = (
     " loc_dim AS MATERIALIZED (SELECT k, 'LOC_' || min(id) AS loc_id, min(id) AS first_id FROM loc_rows GROUP BY k),"
     " loc_nodes AS (SELECT d.loc_id AS id, label AS area, city, nullif(latitude, 0) AS lat, nullif(longitude, 0) AS lng FROM loc_dim d JOIN loc_rows r ON r.id = d.first_id),"
     " car_rows AS MATERIALIZED (SELECT v.*, f.id AS fir FROM vehicles v JOIN firs f ON f.postgres_id = v.accident_id),"
-    " classed AS MATERIALIZED (SELECT id AS fir, replace(substr(upper(trim(cause)), 1, 60), ' ', '_') AS crime FROM firs WHERE cause <> '' AND cause <> 'Under Investigation'),"
+    " classed AS MATERIALIZED (SELECT id AS fir, replace(upper(trim(cause)), ' ', '_') AS crime FROM firs WHERE cause <> '' AND cause <> 'Under Investigation'),"
     " edges AS MATERIALIZED (SELECT f.id AS src, d.loc_id AS dst, 'OCCURRED_AT' AS rel_type, NULL AS role FROM loc_rows r JOIN loc_dim d USING (k) JOIN firs f ON f.postgres_id = r.accident_id"
     " UNION ALL SELECT f.id, 'P_' || v.id, 'INVOLVES_PERSON', 'Victim' FROM victims v JOIN firs f ON f.postgres_id = v.accident_id"
     " UNION ALL SELECT fir, 'V_' || id, 'INVOLVES_VEHICLE', NULL FROM car_rows"
@@ -71,7 +71,7 @@ def _records(t):
     return reports.extract_report(t.acc.select("id", "raw_text"), "raw_text", "id")
 
 
-_MD5 = "substr(md5(array_to_string(list_filter([{}], lambda x: x IS NOT NULL AND x <> '' AND x <> '0'), '_')), 1, 12)"
+_MD5 = "md5(array_to_string(list_filter([{}], lambda x: x IS NOT NULL AND x <> '' AND x <> '0'), '_'))"
 _CRIME = "CASE WHEN coalesce(cause,'') = '' THEN 'Unknown' " + " ".join(
     f"WHEN contains(lower(cause), '{k}') THEN '{v}'" for k, v in fv.CRIME_TYPES) + " ELSE 'Road Accident' END"
 RECORDS = FIELDS + (
@@ -100,10 +100,10 @@ def _(t):
 
 
 @query("src_08_subgraph",
-       "SELECT src, dst, rel_type FROM edges JOIN (SELECT id FROM firs ORDER BY postgres_id LIMIT 1000) c ON c.id = src WHERE rel_type IN ('OCCURRED_AT', 'CLASSIFIED_AS')", ctes=GRAPH)
+       "SELECT src, dst, rel_type FROM edges WHERE rel_type IN ('OCCURRED_AT', 'CLASSIFIED_AS')", ctes=GRAPH)
 def _(t):
     v, e = graph(t)
-    return gb.subgraph(v, e, persons=False, vehicles=False, limit=1000)[1].select("src", "dst", "rel_type")
+    return gb.subgraph(v, e, persons=False, vehicles=False)[1].select("src", "dst", "rel_type")
 
 
 @query("src_09_graph_upsert",
@@ -164,23 +164,20 @@ def _(t):
 
 
 def _pagerank_sql(rounds: int) -> str:
+    """Rounds of y = 1 + 0.85 * inflow; edges leave reports only, so two rounds reach the fixed point."""
     parts = [
         "links AS MATERIALIZED (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS p FROM edges GROUP BY 1, 2)",
         "size AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM nodes)",
-        "r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS s, id NOT IN (SELECT src FROM links) AS dangling FROM nodes, size)",
+        "r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS s FROM nodes)",
     ]
     for i in range(rounds):
         parts.append(
             f"f{i} AS MATERIALIZED (SELECT dst, sum(p * s) AS x FROM links JOIN r{i} ON id = src GROUP BY 1), "
-            f"r{i + 1} AS MATERIALIZED (SELECT id, 0.85::DOUBLE * (coalesce(x, 0) + (SELECT coalesce(sum(s), 0) FROM r{i} WHERE dangling) / n) + 0.15::DOUBLE / n AS s, dangling"
-            f" FROM r{i} LEFT JOIN f{i} ON dst = id, size), "
-            f"e{i + 1} AS MATERIALIZED (SELECT sum(abs(a.s - b.s)) < 0.000001 * any_value(n) AS stop FROM r{i} a JOIN r{i + 1} b USING (id), size)")
+            f"r{i + 1} AS MATERIALIZED (SELECT id, 1.0::DOUBLE + 0.85::DOUBLE * coalesce(x, 0) AS s FROM r{i} LEFT JOIN f{i} ON dst = id)")
     return ", ".join(parts)
 
 
-_PR = "pr AS MATERIALIZED (" + " UNION ALL ".join(
-    f"SELECT id, s FROM r{i} WHERE (SELECT stop FROM e{i})" + "".join(f" AND NOT (SELECT stop FROM e{j})" for j in range(1, i)) for i in range(1, 6)) + ")"
-PAGERANK = GRAPH + ", " + _pagerank_sql(5) + ", " + _PR
+PAGERANK = GRAPH + ", " + _pagerank_sql(4) + ", pr AS MATERIALIZED (SELECT id, s / (SELECT sum(s) FROM r4) AS s FROM r4)"
 
 
 @query("g_04_pagerank", "SELECT id, round(s, 9) AS score FROM pr", ctes=PAGERANK)

@@ -39,7 +39,7 @@ def _search_sql(term):
         f" FROM {AL} LEFT JOIN vehicles vh ON vh.accident_id = a.id WHERE "
         + " OR ".join(f"{c} ILIKE '%{term}%'" for c in (
             "fir_number", "cause", "severity", "address", "area", "city", "vehicle_number", "vehicle_type"))
-        + " ORDER BY created_at DESC, a.id DESC LIMIT 50"
+        + " ORDER BY created_at DESC, a.id DESC"
     )
 
 
@@ -280,6 +280,7 @@ DIST = {
     "ages": _dist_sql("victims", cs.AGE, "age_group", "age IS NOT NULL"),
     "slots": _dist_sql("accidents", cs.SLOT, "time_slot", "incident_date IS NOT NULL"),
     "areas": _dist_sql("locations", "area", "area", "area IS NOT NULL", "LIMIT 10"),
+    "all_areas": _dist_sql("locations", "area", "area", "area IS NOT NULL"),
     "vehicle_types": _dist_sql("vehicles", "vehicle_type", "vehicle_type",
                                "vehicle_type IS NOT NULL AND vehicle_type <> 'Unknown'"),
 }
@@ -430,13 +431,13 @@ def _(t):
 
 @query("agg_22_top_label_filtered",
        "SELECT 'cause' AS kind, " + cs.top_label(f"({DIST['causes']})", "cause", fv.CAUSE_BLACKLIST) + " AS label UNION ALL "
-       "SELECT 'area', " + cs.top_label(f"({DIST['areas']})", "area", fv.LOCATION_BLACKLIST) + " UNION ALL "
+       "SELECT 'area', " + cs.top_label(f"({DIST['all_areas']})", "area", fv.LOCATION_BLACKLIST) + " UNION ALL "
        "SELECT 'age', " + cs.top_label(f"({DIST['ages']})", "age_group", ["unknown"]))
 def _(t):
     def row(kind, dist, label, words):
         return ag.top_label(dist, label, words).select(F.lit(kind).alias("kind"), "label")
     return row("cause", ag.cause_dist(t.acc), "cause", fv.CAUSE_BLACKLIST).unionByName(
-        row("area", ag.area_top(t.loc), "area", fv.LOCATION_BLACKLIST)
+        row("area", ag.area_top(t.loc, None), "area", fv.LOCATION_BLACKLIST)
     ).unionByName(row("age", ag.age_bands(t.vic), "age_group", fv.UNKNOWN_BLACKLIST))
 
 

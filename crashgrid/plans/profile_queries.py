@@ -48,7 +48,6 @@ SUMMARY = (
 _SHOWN = (
     "SELECT key, kind, position, CASE WHEN kind = 'month' THEN strftime(CAST(label || '-01' AS DATE), '%b-%Y') ELSE label END AS label, count"
     " FROM (SELECT *, row_number() OVER (PARTITION BY key, kind ORDER BY CASE WHEN kind = 'month' THEN label END {d}, count DESC, label) AS position FROM dist)"
-    " WHERE NOT (kind = 'cause' AND position > 10) AND NOT (kind = 'month' AND position > 12)"
 )
 _STRICT = (
     f"SELECT 'all' AS key, count(*) AS total_accidents, {cs.FATAL} AS fatal, {cs.RATE} AS fatality_percentage, "
@@ -56,7 +55,7 @@ _STRICT = (
     + cs.top_label(f"({DIST['ages']})", "age_group", ["unknown"]) + " AS high_risk_age_group, "
     + cs.top_label(f"({DIST['slots']})", "time_slot", ["unknown"]) + " AS peak_time, "
     + cs.top_label(f"({DIST['vehicle_types']})", "vehicle_type", ["unknown"]) + " AS most_risky_vehicle, "
-    + cs.top_label(f"({DIST['areas']})", "area", fv.LOCATION_BLACKLIST) + " AS hotspot_location FROM accidents"
+    + cs.top_label(f"({DIST['all_areas']})", "area", fv.LOCATION_BLACKLIST) + " AS hotspot_location FROM accidents"
 )
 
 
@@ -102,8 +101,7 @@ def _(t):
 
 @query("agg_36_dashboard_sections",
        "SELECT kind, position, label, count FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY"
-       " CASE WHEN kind IN ('month', 'hour') THEN lpad(label, 7, '0') END, count DESC, label) AS position FROM dist WHERE kind <> 'time_slot')"
-       " WHERE kind <> 'cause' OR position <= 10", ctes=ALL)
+       " CASE WHEN kind IN ('month', 'hour') THEN lpad(label, 7, '0') END, count DESC, label) AS position FROM dist WHERE kind <> 'time_slot')", ctes=ALL)
 def _(t):
     return pf.dashboard_sections(t.acc, t.vic, t.veh)
 

@@ -8,7 +8,7 @@ key that owns most records costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crashgrid import fixed_values as fv
 from crashgrid.functions.bands import age_band, month_key, percent, time_slot
@@ -16,10 +16,7 @@ from crashgrid.functions.stations import canonical_station
 from crashgrid.operators.aggregates import digest_by
 from crashgrid.operators.filters import area_key, group_of
 from crashgrid.operators.joins import first_location
-
-# fixed values: how many rows of a kind a report shows
-SHOWN = {"cause": 10, "month": 12}
-
+from crashgrid.sources.maintenance import number_rows
 
 def keys_all(acc: DataFrame) -> DataFrame:
     return acc.select("id", F.lit("all").alias("key"))
@@ -73,28 +70,27 @@ def distributions(acc: DataFrame, vic: DataFrame, veh: DataFrame, keys: DataFram
     return from_acc.unionByName(from_vic).unionByName(from_veh)
 
 
-def _ranked(dist: DataFrame, order, *by: str) -> DataFrame:
-    """Number the rows of each kind and cut the capped kinds.
+def _ranked(dist: DataFrame, by: list[str], time_key: Column) -> DataFrame:
+    """``position`` of each row within its kind: by time key (null for untimed kinds), falling count and label.
 
-    Causes are free text, so their rank filter stands alone: Spark then applies it before
-    the shuffle.  The other kinds have few labels per key.
+    Rows are numbered by one range sort, and a kind's first number is taken off, so a kind with very
+    many labels is spread over tasks like any other.
     """
-    def rank(rows):
-        return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by, "kind").orderBy(*order)))
-
-    cause = rank(dist.filter("kind = 'cause'")).filter(F.col("position") <= SHOWN["cause"])
-    rest = rank(dist.filter("kind <> 'cause'")).filter((F.col("kind") != "month") | (F.col("position") <= SHOWN["month"]))
-    return rest.unionByName(cause).withColumn("position", F.col("position").cast("long"))
+    keyed = dist.withColumns({"_time": time_key, "_most": -F.col("count")})
+    rows = number_rows(keyed, *by, "kind", "_time", "_most", "label")
+    firsts = rows.groupBy(*by, "kind").agg(F.min("_row").alias("_first"))
+    joined = rows.join(firsts, [*by, "kind"])
+    return joined.withColumn("position", F.col("_row") - F.col("_first") + 1).drop("_time", "_most", "_row", "_first")
 
 
 def shown_rows(dist: DataFrame, months: str = "first") -> DataFrame:
-    """Ranked report rows: causes cut to 10, months to the first (or latest) 12."""
-    month = F.when(F.col("kind") == "month", F.col("label"))
-    order = [month.asc() if months == "first" else month.desc(), F.desc("count"), F.col("label")]
+    """All rows of every distribution with their position; months oldest first or latest first."""
+    month = F.when(F.col("kind") == "month", F.replace("label", F.lit("-"), F.lit("")).cast("int"))
     label = F.when(
         F.col("kind") == "month", F.date_format(F.to_date(F.concat("label", F.lit("-01"))), "MMM-yyyy")
     ).otherwise(F.col("label"))
-    return _ranked(dist, order, "key").select("key", "kind", "position", label.alias("label"), "count")
+    ranked = _ranked(dist, ["key"], month if months == "first" else -month)
+    return ranked.select("key", "kind", "position", label.alias("label"), "count")
 
 
 def _top(kind: str, blacklist) -> Column:
@@ -133,7 +129,7 @@ def global_profile(acc, loc, vic, veh) -> DataFrame:
     """The global summary row with its hotspot area."""
     from crashgrid.operators.aggregates import area_top, top_label
 
-    hotspot = top_label(area_top(loc, 10), "area", fv.LOCATION_BLACKLIST).withColumnRenamed("label", "hotspot_location")
+    hotspot = top_label(area_top(loc, None), "area", fv.LOCATION_BLACKLIST).withColumnRenamed("label", "hotspot_location")
     return summaries(distributions(acc, vic, veh)).crossJoin(hotspot)  # 1 row x 1 row
 
 
@@ -164,11 +160,4 @@ def dashboard_sections(acc: DataFrame, vic: DataFrame, veh: DataFrame) -> DataFr
     """All dashboard distributions as ranked rows (months and hours in time order)."""
     dist = distributions(acc, vic, veh).filter("kind <> 'time_slot'")
     time_key = F.when(F.col("kind").isin("month", "hour"), F.lpad("label", 7, "0"))
-    order = [time_key, F.desc("count"), F.col("label")]
-
-    def rank(rows):
-        return rows.withColumn("position", F.row_number().over(Window.partitionBy("kind").orderBy(*order)))
-
-    causes = rank(dist.filter("kind = 'cause'")).filter(F.col("position") <= SHOWN["cause"])
-    rows = rank(dist.filter("kind <> 'cause'")).unionByName(causes)
-    return rows.select("kind", F.col("position").cast("long").alias("position"), "label", "count")
+    return _ranked(dist.drop("key"), [], time_key).select("kind", "position", "label", "count")

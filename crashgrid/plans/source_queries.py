@@ -63,7 +63,7 @@ def _(t):
 
 
 @query("src_05_first_batch",
-       "SELECT key, fir_number FROM (SELECT pdf_url AS key, f.fir_number FROM accidents a JOIN fields f USING (id) ORDER BY pdf_url LIMIT 50)", ctes=FIELDS)
+       "SELECT key, fir_number FROM (SELECT pdf_url AS key, f.fir_number FROM accidents a JOIN fields f USING (id))", ctes=FIELDS)
 def _(t):
     docs = t.acc.select(F.col("pdf_url").alias("key"), F.col("raw_text").alias("text"))
     return dc.ingest_batch(dc.take_batch(docs)).select("key", "fir_number")

@@ -228,8 +228,8 @@ def _(t):
 
 
 @query("scl_19_content_id",
-       "SELECT id, substr(md5(array_to_string(list_filter([fir_number, 'victim', CAST(id % 3 AS VARCHAR), cause, ''],"
-       " lambda x: x IS NOT NULL AND x <> '' AND x <> '0'), '_')), 1, 12) AS content_id FROM accidents")
+       "SELECT id, md5(array_to_string(list_filter([fir_number, 'victim', CAST(id % 3 AS VARCHAR), cause, ''],"
+       " lambda x: x IS NOT NULL AND x <> '' AND x <> '0'), '_')) AS content_id FROM accidents")
 def _(t):
     return t.acc.select("id", codes.content_id(
         F.col("fir_number"), F.lit("victim"), F.col("id") % 3, F.col("cause"), F.lit("")).alias("content_id"))
@@ -358,8 +358,8 @@ def _(t):
 
 
 @query("scl_31_script_share",
-       "SELECT doc_id, coalesce(round(len(regexp_extract_all(substr(text, 1, 500), '\\p{Telugu}')) / nullif(length(substr(text, 1, 500)), 0), 4), 0.0) AS telugu,"
-       " coalesce(round(len(regexp_extract_all(substr(text, 1, 500), '\\p{Latin}')) / nullif(length(substr(text, 1, 500)), 0), 4), 0.0) AS latin FROM documents")
+       "SELECT doc_id, coalesce(round(len(regexp_extract_all(text, '\\p{Telugu}')) / nullif(length(text), 0), 4), 0.0) AS telugu,"
+       " coalesce(round(len(regexp_extract_all(text, '\\p{Latin}')) / nullif(length(text), 0), 4), 0.0) AS latin FROM documents")
 def _(t):
     c = F.col("text")
     return t.raw("documents").select("doc_id", reports.script_share(c).alias("telugu"), reports.script_share(c, "Latin").alias("latin"))

@@ -1,4 +1,4 @@
-"""Document listings and the bounded batch ingest."""
+"""Document listings and the batch ingest."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from crashgrid.functions.bands import blank_to_null
 from crashgrid.functions.reports import base_name, document_gate, extract_report
 
-MAX_BATCH = 1000
-DEFAULT_BATCH = 50
-ERRORS_SHOWN = 20
-
 
 def list_documents(spark: SparkSession, path: str) -> DataFrame:
     """PDF files below a folder.  The content column is never selected, so no file is read."""
@@ -34,26 +30,23 @@ def unprocessed(files: DataFrame, acc: DataFrame) -> DataFrame:
 def flag_processed(files: DataFrame, acc: DataFrame) -> DataFrame:
     """Flag files whose base name occurs anywhere inside a stored url.
 
-    A base name ends in '.pdf' and has no slash, so every occurrence ends at a '.pdf'
-    of the url and its length is one of the file-name lengths (file systems bound those
-    by a few hundred).  Each url therefore yields a few candidate substrings, and the
-    substring search becomes an equi-join instead of comparing every file with every
-    url.
+    A base name has no slash, so an occurrence lies within one of the url's segments.  A name that
+    ends in '.pdf' ends at a '.pdf' of the segment, and its length is one of the file-name lengths
+    that are no longer than the segment (file systems bound those by a few hundred).  Each url
+    therefore yields a few candidate substrings, and the substring search becomes an equi-join.
+    Names that do not end in '.pdf' match as whole urls only.
     """
     named = files.withColumn("_name", base_name(F.col("key")))
     urls = acc.select("pdf_url").filter("pdf_url IS NOT NULL").distinct()
     lengths = named.agg(F.collect_set(F.length("_name")).alias("_lengths"))
+    segments = F.filter(F.split("pdf_url", "/"), lambda s: F.lower(s).contains(".pdf"))
+    parts = urls.select(F.explode(segments).alias("_part")).distinct().join(F.broadcast(lengths))
     ends = F.filter(
-        F.transform(F.sequence(F.lit(1), F.length("pdf_url")), lambda i: i + 3),
-        lambda e: F.lower(F.substring(F.col("pdf_url"), e - 3, F.lit(4))) == ".pdf",
-    )
+        F.sequence(F.lit(4), F.length("_part")), lambda e: F.lower(F.substring(F.col("_part"), e - 3, F.lit(4))) == ".pdf")
     candidates = (
-        urls.join(F.broadcast(lengths))
-        .select("pdf_url", "_lengths", F.explode(ends).alias("_end"))
-        .select("pdf_url", "_end", F.explode("_lengths").alias("_len"))
-        .filter("_len <= _end")
-        .select(F.substring(F.col("pdf_url"), F.col("_end") - F.col("_len") + 1, F.col("_len")).alias("_name"))
-        .filter(~F.col("_name").contains("/"))
+        parts.select("_part", "_lengths", F.explode(ends).alias("_end"))
+        .select("_part", "_end", F.explode(F.filter("_lengths", lambda n: n <= F.col("_end"))).alias("_len"))
+        .select(F.substring(F.col("_part"), F.col("_end") - F.col("_len") + 1, F.col("_len")).alias("_name"))
         .distinct().withColumn("_hit", F.lit(True))
     )
     exact = urls.select(F.col("pdf_url").alias("key"), F.lit(True).alias("_same"))
@@ -70,9 +63,8 @@ def processed_totals(flagged: DataFrame) -> DataFrame:
 
 
 def take_batch(files: DataFrame, size: int | None = None) -> DataFrame:
-    """The first files of a run: 50 by default, never more than 1000."""
-    n = min(size or DEFAULT_BATCH, MAX_BATCH)
-    return files.orderBy("key").limit(n)
+    """All files of a run, or the first ``size`` by key where the caller asks for so many."""
+    return files if size is None else files.orderBy("key").limit(size)
 
 
 def ingest_batch(documents: DataFrame) -> DataFrame:
@@ -87,14 +79,14 @@ def ingest_batch(documents: DataFrame) -> DataFrame:
     ).drop("text")
 
 
+def ingest_errors(status: DataFrame) -> DataFrame:
+    """(key, error) of every failed document."""
+    return status.filter("status = 'failed'").select("key", "error")
+
+
 def ingest_batch_summary(status: DataFrame) -> DataFrame:
-    """Counts plus the first error messages; only the shown errors are collected."""
-    shown = (
-        status.filter("status = 'failed'").select("key", "error").orderBy("key").limit(ERRORS_SHOWN)
-        .agg(F.sort_array(F.collect_list(F.struct("key", "error"))).alias("errors"))
-    )
-    counts = status.agg(
+    """Counts of processed and failed documents, one row."""
+    return status.agg(
         F.count_if(F.col("status") == "processed").alias("processed"),
         F.count_if(F.col("status") == "failed").alias("failed"),
     )
-    return counts.crossJoin(shown)  # 1 row x 1 row

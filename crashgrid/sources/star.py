@@ -101,7 +101,7 @@ LOCATIONS = {
     "latitude": "CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE 16.25 + CAST(c_custkey % 70 AS DOUBLE)/100.0 END",
     "longitude": "CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE 80.0 + CAST(c_custkey % 90 AS DOUBLE)/100.0 END",
 }
-_ROW_ID = "(l_orderkey * 8 + l_linenumber) * 1000003 + (l_partkey * 7919 + l_suppkey) % 1000003"
+_ROW_ID = "(l_orderkey * 8 + l_linenumber) * 1000003 + (l_partkey * 7919 + l_suppkey + CAST(l_quantity AS INT) * 131) % 1000003"
 VICTIMS = {
     "id": _ROW_ID,
     "accident_id": "l_orderkey",
@@ -174,7 +174,7 @@ class Star:
 
     @cached_property
     def veh(self) -> DataFrame:
-        lines = self.raw("lineitem").filter("l_linenumber >= 6")
+        lines = self.raw("lineitem").filter("l_linenumber >= 4")
         joined = lines.join(self.raw("part"), F.expr("l_partkey = p_partkey")).join(
             self.raw("supplier"), F.expr("l_suppkey = s_suppkey")
         )
@@ -198,5 +198,5 @@ PRELUDE = (
     + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3), "
     "vehicles AS (" + _select(VEHICLES)
     + " FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"
-    " WHERE l_linenumber >= 6)"
+    " WHERE l_linenumber >= 4)"
 )

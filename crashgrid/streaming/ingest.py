@@ -15,10 +15,10 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 
 
 def document_stream(spark: SparkSession, path: str, max_files: int = 50) -> DataFrame:
-    """Stream of (key, text) from document files, at most ``max_files`` (up to 1000) per batch."""
+    """Stream of (key, text) from document files, at most ``max_files`` per batch."""
     files = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.[pP][dD][fF]")
-        .option("recursiveFileLookup", True).option("maxFilesPerTrigger", min(max_files, 1000)).load(path)
+        .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(path)
     )
     return files.select(F.col("path").alias("key"), F.decode("content", "UTF-8").alias("text"))
 
@@ -28,7 +28,10 @@ def ingest_schema(spark: SparkSession) -> StructType:
 
 
 def stream_ingest(documents: DataFrame, out: str, checkpoint: str, continuous: bool = False, every: str = "2 seconds"):
-    """Extract each document once into ``out``; keys of earlier batches are skipped.
+    """Extract each document into ``out``, skipping keys that other progress folders have brought.
+
+    A progress folder delivers each file once, so a batch reads the keys of other folders only, not
+    those of its own stream; ``ingested`` keeps the first row of a key that comes twice all the same.
 
     A failed document becomes a row with status 'failed', so it never stops the stream.
     """
@@ -39,8 +42,7 @@ def stream_ingest(documents: DataFrame, out: str, checkpoint: str, continuous: b
         session = batch.sparkSession
         fresh = batch.dropDuplicates(["key"])
         if has_batches(session, out):
-            # a retried batch must not see its own earlier output
-            done = read_batches(session, out, schema).filter((F.col("run") != run) | (F.col("batch") < batch_id)).select("key")
+            done = read_batches(session, out, schema).filter(F.col("run") != run).select("key")
             fresh = fresh.join(done, "key", "left_anti")
         write_batch(ingest_batch(fresh), batch_id, out, run)
 
@@ -50,4 +52,7 @@ def stream_ingest(documents: DataFrame, out: str, checkpoint: str, continuous: b
 
 
 def ingested(spark: SparkSession, out: str) -> DataFrame:
-    return read_batches(spark, out, ingest_schema(spark))
+    """The first row of every key."""
+    rows = read_batches(spark, out, ingest_schema(spark))
+    first = rows.groupBy("key").agg(F.min_by(F.struct(*rows.columns), F.struct("batch", "run")).alias("r"))
+    return first.select("r.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crashgrid.functions.bands import month_key
 from crashgrid.sources.maintenance import current, publish, upsert
-from crashgrid.streaming.sinks import read_batches, run_available, write_batch
+from crashgrid.streaming.sinks import read_batches, run_available, run_name, write_batch
 
 CACHE_SCHEMA = "analysis_type string, identifier string, last_accident_id bigint, data string, updated_at timestamp_ntz"
 
@@ -75,10 +75,13 @@ def merge_counts(parts: DataFrame) -> DataFrame:
 def stream_counts(acc_stream: DataFrame, out: str, checkpoint: str):
     """Maintain the additive counts: every batch stores its own counts, readers add them.
 
-    Nothing is dropped as late, however old a record is, because no state expires.
+    Nothing is dropped as late, however old a record is, because no state expires.  Batches are
+    filed by progress folder, so several streams may share one output.
     """
+    run = run_name(checkpoint)
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_batch(additive_counts(batch), batch_id, out)
+        write_batch(additive_counts(batch), batch_id, out, run)
 
     return run_available(acc_stream, on_batch, checkpoint)
 
@@ -97,18 +100,20 @@ def activity(events: DataFrame, ts: str, length: str = "1 hour", slide: str = "5
     return grouped.agg(F.count("*").alias("count")).select("w.start", "w.end", "count")
 
 
-def stream_activity(events: DataFrame, ts: str, out: str, checkpoint: str, late: str = "1 day"):
-    """Sliding activity over a stream; windows older than ``late`` are closed and their state freed."""
-    stream = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
-    counts = stream.groupBy(F.window("_ts", "1 hour", "5 minutes").alias("w")).agg(F.count("*").alias("count"))
+def stream_activity(events: DataFrame, ts: str, out: str, checkpoint: str):
+    """Sliding activity over a stream: every batch stores its own window counts, readers add them.
+
+    No window closes, so no event is too late, and several streams may share one output.
+    """
+    run = run_name(checkpoint)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, batch_id, out)
+        write_batch(activity(batch, ts), batch_id, out, run)
 
-    return run_available(counts.select("w.start", "w.end", "count"), on_batch, checkpoint, mode="update")
+    return run_available(events, on_batch, checkpoint)
 
 
 def stored_activity(spark: SparkSession, out: str) -> DataFrame:
-    """Latest count of every window."""
+    """Count of every window over all batches."""
     rows = read_batches(spark, out, ACTIVITY_SCHEMA)
-    return rows.groupBy("start", "end").agg(F.max_by("count", "batch").alias("count"))
+    return rows.groupBy("start", "end").agg(F.sum("count").alias("count"))

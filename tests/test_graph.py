@@ -1,6 +1,7 @@
 """Graph operators on the sample graph and against brute force on random graphs."""
 
 import itertools
+import os
 import random
 from collections import deque
 
@@ -135,6 +136,30 @@ def test_simple_paths_match_brute_force(spark, seed):
     assert sorted(got) == want
 
 
+def test_pagerank_does_not_depend_on_size(spark, sample_graph):
+    """Ranks of a graph and of disjoint copies of it differ by the number of copies only."""
+    v, e = sample_graph
+    copies = spark.range(30).select(F.col("id").cast("string").alias("k"))
+    many_v = v.crossJoin(copies).withColumn("id", F.concat("id", F.lit("#"), "k")).drop("k")
+    many_e = e.crossJoin(copies).withColumns({c: F.concat(c, F.lit("#"), "k") for c in ("src", "dst")}).drop("k")
+    one = {r.id: r.score for r in centrality.pagerank(v, e).collect()}
+    many = {r.id: r.score for r in centrality.pagerank(many_v, many_e).collect()}
+    assert all(abs(s * 30 - one[i.split("#")[0]]) < 1e-9 for i, s in many.items()) and len(many) == 30 * len(one)
+
+
+def test_components_of_a_chain_leave_no_tables(spark):
+    from crashgrid.session import scratch_root
+
+    root = scratch_root(spark).removeprefix("file://")
+    tables = lambda: {p for p in os.listdir(root) if p.startswith("table-")}
+    os.makedirs(root, exist_ok=True)
+    before = tables()
+    links = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
+    parts = components.linked_components(links)
+    assert {tuple(r) for r in parts.collect()} == {(i, 0) for i in range(301)}
+    assert len(tables() - before) == 1
+
+
 def test_pagerank_mass_and_fixed_point(sample_graph):
     v, e = sample_graph
     rank = scores(centrality.pagerank(v, e, tol=1e-12))

@@ -44,7 +44,7 @@ def _event_files(spark, path):
         spark.sql(f"""SELECT id, TIMESTAMP_NTZ '2024-01-0{day + 1} 00:00:00' + make_dt_interval(0, 0, cast(id * 7 AS int), 0) AS ts,
             CASE WHEN id % 2 = 0 THEN 'Fatal' ELSE 'Grievous' END AS severity FROM range(100)""").coalesce(1).write.mode("append").parquet(path)
         time.sleep(0.05)
-    # one late record, within the allowed delay
+    # one late record
     spark.sql("SELECT 1000L AS id, TIMESTAMP_NTZ '2024-01-03 00:01:00' AS ts, 'Fatal' AS severity").coalesce(1).write.mode("append").parquet(path)
 
 
@@ -53,7 +53,7 @@ def test_activity_and_counts_match_batch(spark, tmp_path):
     _event_files(spark, path)
     batch = spark.read.parquet(path)
     stream = lambda: spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    refresh.stream_activity(stream(), "ts", str(tmp_path / "a"), str(tmp_path / "ma"), late="3 days")
+    refresh.stream_activity(stream(), "ts", str(tmp_path / "a"), str(tmp_path / "ma"))
     key = lambda df: sorted((r["start"], r["count"]) for r in df.collect())
     assert key(refresh.stored_activity(spark, str(tmp_path / "a"))) == key(refresh.activity(batch, "ts"))
     acc = lambda df: df.select(F.col("ts").alias("incident_date"), "severity")
@@ -62,6 +62,22 @@ def test_activity_and_counts_match_batch(spark, tmp_path):
     assert rows(refresh.stored_counts(spark, str(tmp_path / "c"))) == rows(refresh.additive_counts(acc(batch)))
 
 
+def test_two_sources_share_one_output(spark, tmp_path):
+    """A second stream into the same output adds to the counts of the first."""
+    path, out, act = str(tmp_path / "events"), str(tmp_path / "c"), str(tmp_path / "a")
+    _event_files(spark, path)
+    batch = spark.read.parquet(path)
+    stream = lambda: spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    acc = lambda df: df.select(F.col("ts").alias("incident_date"), "severity")
+    for k in range(2):
+        refresh.stream_counts(acc(stream()), out, str(tmp_path / f"mc{k}"))
+        refresh.stream_activity(stream(), "ts", act, str(tmp_path / f"ma{k}"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    twice = batch.unionByName(batch)
+    assert rows(refresh.stored_counts(spark, out)) == rows(refresh.additive_counts(acc(twice)))
+    assert rows(refresh.stored_activity(spark, act)) == rows(refresh.activity(twice, "ts"))
+
+
 def test_refresh_only_when_stale(spark, tmp_path):
     calls = []
 
