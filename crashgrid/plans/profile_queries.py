@@ -6,6 +6,7 @@ from crashgrid import fixed_values as fv
 from crashgrid.plans import check_sql as cs
 from crashgrid.plans import profiles as pf
 from crashgrid.plans import reports as rp
+from crashgrid.operators.filters import area_pattern, stations_of
 from crashgrid.plans.registry import query
 from crashgrid.plans.incident_queries import DIST
 
@@ -74,6 +75,22 @@ def _(t):
     return pf.summaries(pf.distributions(t.acc, t.vic, t.veh, pf.keys_by_station(t.acc)), strict=False)
 
 
+def _by_node(names):
+    """Keys of tree nodes: an area may name several."""
+    rows = ", ".join("('{}', '{}')".format(n.replace("'", "''"), area_pattern(stations_of(n)).replace("'", "''")) for n in names)
+    return _keyed(f"SELECT accident_id AS id, z.name AS key FROM locations JOIN (VALUES {rows}) z(name, pattern) ON regexp_matches(area, z.pattern)")
+
+
+@query("agg_34_zone_profiles", SUMMARY, ctes=_by_node(pf.ZONES))
+def _(t):
+    return pf.summaries(pf.distributions(t.acc, t.vic, t.veh, pf.keys_by_node(t.acc, t.loc, pf.ZONES)), strict=False)
+
+
+@query("agg_34_place_profiles", SUMMARY, ctes=_by_node(pf.PLACES))
+def _(t):
+    return pf.summaries(pf.distributions(t.acc, t.vic, t.veh, pf.keys_by_node(t.acc, t.loc, pf.PLACES)), strict=False)
+
+
 @query("agg_34_group_distributions", _SHOWN.format(d="ASC"), ctes=BY_GROUP)
 def _(t):
     return pf.shown_rows(pf.distributions(t.acc, t.vic, t.veh, pf.keys_by_group(t.acc, t.loc)))

@@ -14,7 +14,7 @@ from crashgrid import fixed_values as fv
 from crashgrid.functions.bands import age_band, month_key, percent, time_slot
 from crashgrid.functions.stations import canonical_station
 from crashgrid.operators.aggregates import digest_by
-from crashgrid.operators.filters import area_key, group_of
+from crashgrid.operators.filters import area_in, area_key, group_of, matching_name, stations_of
 from crashgrid.operators.joins import first_location
 from crashgrid.sources.maintenance import number_rows
 
@@ -37,6 +37,22 @@ def keys_by_area(acc: DataFrame, loc: DataFrame) -> DataFrame:
     return acc.select("id").join(place, "id", "left").select("id", area_key(F.col("area")).alias("key"))
 
 
+# tree nodes below the groups, by the names that profiles are asked for
+ZONES = list(dict.fromkeys(z for zones in fv.STATION_TREE.values() for z in zones))
+PLACES = list(dict.fromkeys(matching_name(s) for zones in fv.STATION_TREE.values() for names in zones.values() for s in names))
+
+
+def keys_by_node(acc: DataFrame, loc: DataFrame, names: list[str]) -> DataFrame:
+    """(id, key) for every zone or place whose stations the record's area names; it may name several.
+
+    The patterns run once for each distinct area.
+    """
+    place = first_location(loc, "area").select(F.col("accident_id").alias("id"), "area")
+    hits = F.array_compact(F.array(*[F.when(area_in(F.col("area"), stations_of(n)), F.lit(n)) for n in names]))
+    nodes = place.select("area").distinct().select("area", F.explode(hits).alias("key"))
+    return acc.select("id").join(place.join(nodes, "area"), "id").select("id", "key")
+
+
 def _known(c: str, placeholder: str) -> Column:
     return F.when(F.col(c) != placeholder, F.col(c))
 
