@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crashgrid.llm.registry import query
 from crashgrid.session import HOT_SHARE, cut, drop_cut
@@ -342,6 +343,18 @@ def _cut_out(text: bytes, spans: list[dict]) -> tuple[int, int, bytes]:
     return removed, runs, b"".join(kept)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Exchange at most ``rows`` rows at a time with Python workers: whole texts make large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def repeated_texts(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame:
     """(h, n, n_removed, n_spans, kept, copies) of the distinct texts that lose bytes.
 
@@ -392,7 +405,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Bytes that are left but no longer form a character become the replacement character.
     """
-    lost = cut(repeated_texts(docs)).select(F.col("h").alias("_h"), F.col("n").alias("_n"), F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept"))
+    with small_batches(docs.sparkSession):
+        lost = cut(repeated_texts(docs))
+    lost = lost.select(F.col("h").alias("_h"), F.col("n").alias("_n"), F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept"))
     h, n, _ = _key()
     joined = docs.withColumns({"_h": h, "_n": n}).join(lost, ["_h", "_n"], "left")
     clean = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.make_valid_utf8(F.col("_kept").cast("string")))
@@ -401,7 +416,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; a null text counts as empty."""
-    lost = cut(repeated_texts(docs).select("h", "n", "n_removed", "n_spans", F.sha2("kept", 256).alias("lost_sha256"), "copies"))
+    with small_batches(docs.sparkSession):
+        lost = cut(repeated_texts(docs).select("h", "n", "n_removed", "n_spans", F.sha2("kept", 256).alias("lost_sha256"), "copies"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = cut(docs.select("doc_id", F.xxhash64(text).alias("h"), F.octet_length(text).alias("n"), F.sha2(text, 256).alias("sha256")))
     joined = _join_texts(rows, lost, rows.count())
