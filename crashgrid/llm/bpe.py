@@ -263,7 +263,7 @@ class Lexicon:
 class Encoder:
     """Texts to ids, with a memory of the words met lately (at most ``held``)."""
 
-    def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon, held: int = 200_000):
+    def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon, held: int = 100_000):
         self.tokenizer, self.lexicon, self.held = tokenizer, lexicon, held
         self.known: dict[str, bytes] = {}
 
@@ -287,12 +287,12 @@ class Encoder:
         self.known.update((w, i.tobytes()) for w, i in zip(unseen, self.tokenizer.merge(unseen)))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokenizer(content: bytes) -> Tokenizer:
     return Tokenizer(content)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(content: bytes, file: str) -> Encoder:
     """One a worker process, kept from task to task."""
     return Encoder(_tokenizer(content), Lexicon(SparkFiles.get(file)))

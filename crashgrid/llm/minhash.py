@@ -26,7 +26,7 @@ COORDINATES = 64
 MATCHES = 28
 # A cell holds two blocks at most; blocks have about so many documents and shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
-HELD = 300_000
+HELD = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

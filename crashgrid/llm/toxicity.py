@@ -28,7 +28,7 @@ PRIOR = 12.0  # observations that the level above is worth
 SURE = 1e-4  # the smoothed rate of a token stays so far from 0 and 1
 DRIFT = 1.5  # taken from each token's log-odds, so that segments do not grow over neutral text
 LABELLED_ROWS = 200_000
-HELD = 300_000
+HELD = 150_000
 TOPS = 20  # best segments of a labelled text that calibration sees
 
 
