@@ -58,25 +58,30 @@ def previous_in_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return local.join(carried, [key, "_pid"], "left").withColumn("previous", F.coalesce("_lag", "_carry")).drop("_pid", "_lag", "_carry")
 
 
-def related_reports(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst, relation_type, similarity_score): consecutive reports sharing an entity.
+def report_entities(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, entity, relation_type): every entity of every report, one row each.
 
-    Reports that share a location, a crime type or a vehicle number form a chain in id
-    order; each is linked to the one before it.  Every sharing pair is connected through
-    the chain while the result grows with the number of edges, not with the square of an
-    entity's reports.  The score is the Jaccard similarity of their neighbours.
+    Entities are locations, crime types, persons and vehicle numbers.  Two reports are
+    related exactly when they share an entity here, so this table, linear in the edges,
+    holds all related pairs.
     """
     kinds = vertices.select(F.col("id").alias("dst"), "node_type", "vehicle_number")
     firs = vertices.filter("node_type = 'FIR'").select(F.col("id").alias("src"))
     entity = F.when(F.col("node_type") == "Vehicle", F.concat(F.lit("NO:"), "vehicle_number")).otherwise(F.col("dst"))
     relation = F.when(F.col("node_type") == "Location", "SAME_LOCATION").when(
         F.col("node_type") == "CrimeType", "SAME_CRIME_TYPE").when(F.col("node_type") == "Vehicle", "SAME_VEHICLE").otherwise("SAME_PERSON")
-    links = cut(edges.join(firs, "src", "left_semi").join(kinds, "dst").select(
-        "src", entity.alias("entity"), relation.alias("relation_type")).filter("entity IS NOT NULL").distinct())
+    return edges.join(firs, "src", "left_semi").join(kinds, "dst").select(
+        "src", entity.alias("entity"), relation.alias("relation_type")).filter("entity IS NOT NULL").distinct()
+
+
+def _chains(links: DataFrame) -> DataFrame:
+    """(src, dst, entity, relation_type): each report of an entity and the one before it."""
     chains = previous_in_key(links, "entity", "src").filter("previous IS NOT NULL")
-    pairs = chains.groupBy("src", F.col("previous").alias("dst")).agg(
-        F.array_join(F.array_sort(F.collect_set("relation_type")), ",").alias("relation_type"))
-    pairs = cut(pairs)
+    return chains.select("src", F.col("previous").alias("dst"), "entity", "relation_type")
+
+
+def _scored(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Add ``similarity_score`` to distinct pairs: the Jaccard similarity of their entities."""
     sizes = cut(links.groupBy("src").agg(F.count("*").alias("n")))
     sized = pairs.join(sizes, "src").join(sizes.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
     # the report with fewer entities is expanded and looked up in the other one's, so a
@@ -90,5 +95,27 @@ def related_reports(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         .join(links.select(F.col("src").alias("big"), "entity"), ["big", "entity"], "left_semi")
         .groupBy("src", "dst").agg(F.count("*").alias("both")))
     score = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-    return sized.join(common, ["src", "dst"]).select(
-        "src", "dst", "relation_type", F.round(score, 4).alias("similarity_score"))
+    return sized.join(common, ["src", "dst"]).withColumn("similarity_score", F.round(score, 4)).drop("n", "m", "both")
+
+
+def related_reports(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, relation_type, similarity_score): consecutive reports sharing an entity.
+
+    Reports that share a location, a crime type or a vehicle number form a chain in id
+    order; each is linked to the one before it, so the result grows with the number of
+    edges, not with the square of an entity's reports.  The chain alone does not tell
+    which further reports share the entity; ``report_entities`` does.  The score is the
+    Jaccard similarity of their neighbours.
+    """
+    links = cut(report_entities(vertices, edges))
+    pairs = cut(_chains(links).groupBy("src", "dst").agg(
+        F.array_join(F.array_sort(F.collect_set("relation_type")), ",").alias("relation_type")))
+    return _scored(links, pairs).select("src", "dst", "relation_type", "similarity_score")
+
+
+def related_by_entity(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, entity, relation_type, similarity_score): the same chains, one row for each shared entity."""
+    links = cut(report_entities(vertices, edges))
+    chains = cut(_chains(links))
+    scores = _scored(links, chains.select("src", "dst").distinct())
+    return chains.join(scores, ["src", "dst"]).select("src", "dst", "entity", "relation_type", "similarity_score")

@@ -356,3 +356,22 @@ def _(t):
        " FROM edges e LEFT JOIN car_rows c ON 'V_' || c.id = e.dst), own AS MATERIALIZED (SELECT src, list(DISTINCT entity) AS own FROM ents GROUP BY 1)")
 def _(t):
     return rl.related_reports(*stored(t))
+
+
+_ENTS = (", ents AS MATERIALIZED (SELECT DISTINCT e.src, CASE WHEN rel_type = 'INVOLVES_VEHICLE' THEN 'NO:' || vehicle_number ELSE dst END AS entity,"
+         " CASE rel_type WHEN 'OCCURRED_AT' THEN 'SAME_LOCATION' WHEN 'CLASSIFIED_AS' THEN 'SAME_CRIME_TYPE' WHEN 'INVOLVES_VEHICLE' THEN 'SAME_VEHICLE' ELSE 'SAME_PERSON' END AS kind"
+         " FROM edges e LEFT JOIN car_rows c ON 'V_' || c.id = e.dst)")
+
+
+@query("g_18_report_entities", "SELECT src, entity, kind AS relation_type FROM ents WHERE entity IS NOT NULL", ctes=GRAPH + _ENTS)
+def _(t):
+    return rl.report_entities(*stored(t))
+
+
+@query("g_18_related_by_entity",
+       "SELECT p.src, p.dst, p.entity, p.kind AS relation_type, round(len(list_intersect(a.own, b.own)) / len(list_distinct(list_concat(a.own, b.own))), 4) AS similarity_score"
+       " FROM (SELECT src, entity, kind, lag(src) OVER (PARTITION BY entity ORDER BY src) AS dst FROM ents WHERE entity IS NOT NULL) p"
+       " JOIN own a ON a.src = p.src JOIN own b ON b.src = p.dst",
+       ctes=GRAPH + _ENTS + ", own AS MATERIALIZED (SELECT src, list(DISTINCT entity) AS own FROM ents GROUP BY 1)")
+def _(t):
+    return rl.related_by_entity(*stored(t))

@@ -259,3 +259,18 @@ def test_near_groups_same_points(spark):
                               "id string, lat double, lng double").withColumn("node_type", F.lit("Location"))
     got = {(r["src"], r["dst"]): round(r["distance_km"], 2) for r in relations.near(v, 2.0).collect()}
     assert got == {("LOC_1", "LOC_2"): 0.0, ("LOC_1", "LOC_3"): 1.11}
+
+
+def test_every_related_pair_follows_from_membership(spark, sample_graph):
+    v, _ = sample_graph
+    shared = [(1, "LOC_PNBS"), (2, "LOC_PNBS"), (3, "LOC_PNBS"), (2, "OVERSPEEDING"), (3, "OVERSPEEDING"), (5, "OVERSPEEDING")]
+    e = spark.createDataFrame([(f"FIR/2024/00{n}", d, "R", None, 1.0) for n, d in shared + shared[:1]], "src string, dst string, rel_type string, role string, weight double")
+    members = {(int(r["src"][-1]), r["entity"], r["relation_type"]) for r in relations.report_entities(v, e).collect()}
+    assert members == {(n, d, "SAME_LOCATION" if d[:3] == "LOC" else "SAME_CRIME_TYPE") for n, d in shared}
+    assert relations.report_entities(v, e).count() == len(shared)
+    pairs = {(a, b, k) for a, d, k in members for b, other, _ in members if d == other and a < b}
+    assert (1, 3, "SAME_LOCATION") in pairs and len(pairs) == 6  # the chain alone has no pair (1, 3)
+    chain = {(int(r["dst"][-1]), int(r["src"][-1]), r["entity"]): r["similarity_score"] for r in relations.related_by_entity(v, e).collect()}
+    assert chain == {(1, 2, "LOC_PNBS"): 0.5, (2, 3, "LOC_PNBS"): 1.0, (2, 3, "OVERSPEEDING"): 1.0, (3, 5, "OVERSPEEDING"): 0.5}
+    both = {(r["dst"][-1], r["src"][-1]): r["relation_type"] for r in relations.related_reports(v, e).collect()}
+    assert both == {("1", "2"): "SAME_LOCATION", ("2", "3"): "SAME_CRIME_TYPE,SAME_LOCATION", ("3", "5"): "SAME_CRIME_TYPE"}
