@@ -200,6 +200,11 @@ def _(t):
     return cm.community_report(*stored(t))
 
 
+@query("g_07_community_members")
+def _(t):
+    return cm.communities(*stored(t))
+
+
 @query("g_07_community_totals")
 def _(t):
     v, e = stored(t)

@@ -274,3 +274,19 @@ def test_every_related_pair_follows_from_membership(spark, sample_graph):
     assert chain == {(1, 2, "LOC_PNBS"): 0.5, (2, 3, "LOC_PNBS"): 1.0, (2, 3, "OVERSPEEDING"): 1.0, (3, 5, "OVERSPEEDING"): 0.5}
     both = {(r["dst"][-1], r["src"][-1]): r["relation_type"] for r in relations.related_reports(v, e).collect()}
     assert both == {("1", "2"): "SAME_LOCATION", ("2", "3"): "SAME_CRIME_TYPE,SAME_LOCATION", ("3", "5"): "SAME_CRIME_TYPE"}
+
+
+def test_community_members_are_whole(spark):
+    from crashgrid.plans.catalog import QUERIES
+    from crashgrid.sources.star import Star
+
+    rows = QUERIES["g_07_community_members"](spark, "/root/testdata/sf0.001").collect()
+    vertices, edges = build.graph_from_tables(*(getattr(Star(spark, "/root/testdata/sf0.001"), n) for n in ("acc", "loc", "vic", "veh")))
+    part = {r["id"]: r["community"] for r in rows}
+    assert len(rows) == len(part) and set(part) == {r["id"] for r in vertices.select("id").collect()}
+    kinds = {r["id"]: r["node_type"] for r in vertices.select("id", "node_type").collect()}
+    sizes = {c: sum(kinds[i] == "FIR" for i in part if part[i] == c) for c in set(part.values())}
+    parts = spark.createDataFrame(list(part.items()), "id string, community string")
+    report = {r["community"]: (r["fir_count"], len(r["firs"] or [])) for r in communities.community_report(vertices, edges, parts).collect()}
+    assert {c: n for c, (n, _) in report.items()} == sizes
+    assert any(n > listed for n, listed in report.values())  # members that the report alone leaves out
