@@ -32,8 +32,12 @@ class DigestIndex:
         self.spark, self.table = spark, table
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _rows(self) -> DataFrame | None:
-        return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else None
+    def _rows(self, id_kind: str) -> DataFrame:
+        """The table, made empty before the first batch, so that every batch takes the same path."""
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.table} (text_sha256 string, keep_id {id_kind}, group_size bigint, batch string) USING parquet"
+            f" CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS")
+        return self.spark.table(self.table)
 
     def deduplicate(self, docs: DataFrame, batch: str, row: str | None = None) -> DataFrame:
         """Decisions on a batch of documents; texts that are new enter the index.
@@ -53,16 +57,13 @@ class DigestIndex:
         groups = slim.groupBy("text_sha256").agg(
             F.max(F.struct("doc_id", "_row")).alias("last"), F.count("*").alias("group_size"))
         groups = groups.select("text_sha256", "group_size", F.col("last.doc_id").alias("keep_id"), F.col("last._row").alias("_keep_row"))
-        index, total, mine = self._rows(), slim.count(), F.col("batch") == batch
-        if index is None:
-            decided, fresh = cut(groups), None
-        else:
-            earlier = index.filter(~mine)
-            fresh = groups.join(earlier.hint("merge"), "text_sha256", "left_anti")
-            old = groups.join(earlier.select("text_sha256", F.col("keep_id").alias("_old")).hint("merge"), "text_sha256")
-            old = old.select("text_sha256", "group_size", F.col("_old").alias("keep_id"), F.lit(None).cast("long").alias("_keep_row"))
-            decided = cut(fresh.unionByName(old))
-        if index is None or index.filter(mine).isEmpty():
+        index, total, mine = self._rows(docs.schema["doc_id"].dataType.simpleString()), slim.count(), F.col("batch") == batch
+        earlier = index.filter(~mine)
+        fresh = groups.join(earlier.hint("merge"), "text_sha256", "left_anti")
+        old = groups.join(earlier.select("text_sha256", F.col("keep_id").alias("_old")).hint("merge"), "text_sha256")
+        old = old.select("text_sha256", "group_size", F.col("_old").alias("keep_id"), F.lit(None).cast("long").alias("_keep_row"))
+        decided = cut(fresh.unionByName(old))
+        if index.filter(mine).isEmpty():
             entering = decided.filter("_keep_row IS NOT NULL").select("text_sha256", "keep_id", "group_size", F.lit(batch).alias("batch"))
             entering.repartition(self.buckets, "text_sha256").write.bucketBy(self.buckets, "text_sha256").sortBy(
                 "text_sha256").mode("append").format("parquet").saveAsTable(self.table)

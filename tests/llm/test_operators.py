@@ -323,3 +323,11 @@ def test_digest_index_across_batches(spark):
     plan = a.join(spark.table("digest_index_test").hint("merge"), F.sha2("text", 256) == F.col("text_sha256"), "left_anti")
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # the index is not shuffled
     index.drop()
+
+
+def test_first_batch_takes_the_anti_join(spark, monkeypatch):
+    plans, real = [], exact_dedup.cut
+    monkeypatch.setattr(exact_dedup, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    rows = exact_dedup.exact_dedup(docs(spark, ["a", "A", "b"])).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in rows) == [(0, 1, False), (1, 1, True), (2, 2, True)]
+    assert any("SortMergeJoin" in p and "LeftAnti" in p and "digest_index_" in p for p in plans)
