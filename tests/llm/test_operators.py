@@ -331,3 +331,15 @@ def test_first_batch_takes_the_anti_join(spark, monkeypatch):
     rows = exact_dedup.exact_dedup(docs(spark, ["a", "A", "b"])).collect()
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in rows) == [(0, 1, False), (1, 1, True), (2, 2, True)]
     assert any("SortMergeJoin" in p and "LeftAnti" in p and "digest_index_" in p for p in plans)
+
+
+def test_pii_windows_end_at_the_digit_limit_only():
+    def proposed(t):
+        return {(k, t[a:b]) for k, a, b in pii.proposals(t, pii.base_matches(t))}
+
+    card = " ".join("4111111111111111")
+    assert (pii.CARD, card) in proposed(f"+1 826 555 4081 {card}")
+    assert (pii.PHONE, "+49 30 12 34 56 78 9") in proposed("+49 30 12 34 56 78 9 190.137.223.204")
+    got = proposed("(+1) 826 555-4081 190.137.223.204")
+    assert (pii.PHONE, "+1) 826 555-4081") in got and (pii.PHONE, "(+1) 826 555-4081") in got
+    assert len(proposed("+(" * 500 + "1" + " 1" * 500)) < 20_000
