@@ -29,7 +29,6 @@ SURE = 1e-4  # the smoothed rate of a token stays so far from 0 and 1
 DRIFT = 1.5  # taken from each token's log-odds, so that segments do not grow over neutral text
 LABELLED_ROWS = 200_000
 HELD = 150_000
-TOPS = 20  # best segments of a labelled text that calibration sees
 
 
 def slots(word: str) -> list[int]:
@@ -177,16 +176,25 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     Equal texts count once in all, so copies do not outvote the rest.  The texts are split in two
     halves by hash: each is measured with the counts of the other to calibrate, and the final counts
     are those of both.  Of a document's labels the largest holds; null labels and ids are ignored.
-    The driver holds four arrays of BUCKETS counts and TOPS numbers for each labelled text.
+    Rows that repeat a document with the same text are one text, so they are measured once.  A first
+    pass finds the best segments, for the Gumbel law; a second one sums the excess of all significant
+    segments, as scoring does.  The driver holds four arrays of BUCKETS counts and five numbers for each
+    labelled text; a document of several texts has all of them.
     """
     usable = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     marks = cut(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows))
     chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marks), "doc_id")
-    chosen = chosen.select("text", "label", F.xxhash64("text").alias("h"))
-    copies = cut(chosen.groupBy("h").count().filter("count > 1"))  # fewer than half of the labelled rows
-    chosen = chosen.join(F.broadcast(copies), "h", "left").withColumn("weight", 1 / F.coalesce("count", F.lit(1)))
-    chosen = chosen.select("text", "label", "weight", F.pmod("h", F.lit(2)).cast("int").alias("half"))
+    chosen = chosen.select("doc_id", "text", "label", F.xxhash64("text").alias("h"))
+    rows = cut(chosen.groupBy("doc_id", "h").agg(F.count("*").alias("times")))
+    copies = cut(rows.groupBy("h").agg(F.sum("times").alias("count")).filter("count > 1"))  # fewer than half of the labelled texts
+    repeated = cut(rows.filter("times > 1"))
+    # only texts that repeat within a document are shuffled, one of each from a task
+    tagged = chosen.join(F.broadcast(repeated), ["doc_id", "h"], "left")
+    once = tagged.filter("times > 1").groupBy("doc_id", "h", "label", "times").agg(F.first("text").alias("text"))
+    chosen = tagged.filter("times IS NULL").unionByName(once) if not repeated.isEmpty() else tagged
+    chosen = chosen.join(F.broadcast(copies), "h", "left").withColumn("weight", F.coalesce("times", F.lit(1)) / F.coalesce("count", F.lit(1)))
+    chosen = chosen.select("text", "label", "weight", "h", F.pmod("h", F.lit(2)).cast("int").alias("half"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(BUCKETS + 1) for _ in range(4)]  # toxic and clean of each half
@@ -218,27 +226,30 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     counts[:, rows["slot"].to_numpy()] = [rows[c].to_numpy() for c in names]
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other = [TokenScores(*shared.value[2:]), TokenScores(*shared.value[:2])]
-        for b in batches:
-            found = [(len(s := other[h].of(t.as_py())), [v for _, _, v in segments(s)]) for t, h in zip(b.column("text"), b.column("half").to_pylist())]
-            tops = [sorted(v, reverse=True)[:TOPS] for _, v in found]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([n for n, _ in found], pa.int64()), pa.array(tops, pa.list_(pa.float64()))], names=["label", "n", "tops"])
-
-    got = chosen.mapInArrow(measure, "label int, n long, tops array<double>").toArrow()
-    n, y = got["n"].to_numpy(), (got["label"].to_numpy() > 0).astype(float)
-    sizes = np.concatenate([[0], *(c.value_lengths().to_numpy() for c in got["tops"].chunks)]).astype(int)[1:]
-    values = np.concatenate([[0.0], *(c.flatten().to_numpy() for c in got["tops"].chunks)])[1:]
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-
-    def totals(cal: Calibration) -> np.ndarray:
-        """Summed excess of the significant ones among each text's best segments."""
-        counted = np.maximum(cal.excess(values, n[owner]), 0) * (cal.p_value(values, n[owner]) < cal.significance)
-        return np.bincount(owner, counted, len(sizes))
-
-    best = np.zeros(len(sizes))
-    np.maximum.at(best, owner, values)
-    return Model(counts[0] + counts[2], counts[1] + counts[3], calibrate(best, n, totals, y))
+    def measured(cal: Calibration | None = None) -> dict[str, np.ndarray]:
+        """h, label, n, best and summed excess (0 before the law is known) of each text, in a fixed order."""
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            other = [TokenScores(*shared.value[2:]), TokenScores(*shared.value[:2])]
+            for b in batches:
+                n, best, total = [], [], []
+                for t, h in zip(b.column("text"), b.column("half").to_pylist()):
+                    n.append(len(s := other[h].of(t.as_py())))
+                    _, top, excess = cal.passages(s) if cal else ([], max((v for _, _, v in segments(s)), default=0.0), 0.0)
+                    best.append(top)
+                    total.append(excess)
+                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("label"), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(total, pa.float64())], names=found)
+
+        found = ["h", "label", "n", "best", "total"]
+        got = chosen.mapInArrow(measure, "h long, label int, n long, best double, total double").toArrow()
+        columns = {c: got[c].to_numpy() for c in found}
+        order = np.lexsort([columns[c] for c in ("best", "n", "label", "h")])
+        return {c: v[order] for c, v in columns.items()}
+
+    first = measured()
+    y = (first["label"] > 0).astype(float)
+    cal = calibrate(first["best"], first["n"], lambda c: measured(c)["total"], y)
+    return Model(counts[0] + counts[2], counts[1] + counts[3], cal)
 
 
 def score(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:

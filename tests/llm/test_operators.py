@@ -343,3 +343,28 @@ def test_pii_windows_end_at_the_digit_limit_only():
     got = proposed("(+1) 826 555-4081 190.137.223.204")
     assert (pii.PHONE, "+1) 826 555-4081") in got and (pii.PHONE, "(+1) 826 555-4081") in got
     assert len(proposed("+(" * 500 + "1" + " 1" * 500)) < 20_000
+
+
+def test_calibration_sums_all_passages_and_measures_repeats_once(spark, monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefg") for _ in range(r.randrange(2, 7))) for _ in range(300)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    texts = [" ".join(some(r.randrange(20, 200))) for _ in range(120)]
+    texts += [" ".join(w for _ in range(40) for w in [*some(30), "vile", "vilexo", "vilery"]) for _ in range(30)]
+    df = docs(spark, texts)
+    df = df.unionByName(df.filter("doc_id = 0").crossJoin(spark.range(200)).drop("id"))
+    labels = spark.createDataFrame([(i, int(i >= 120)) for i in range(150)], "doc_id long, toxic int")
+    seen, real = [], toxicity.calibrate
+
+    def spy(best, n, totals, y):
+        def kept(cal):
+            seen.append((cal, best, n, y, totals(cal)))
+            return seen[-1][-1]
+        return real(best, n, kept, y)
+
+    monkeypatch.setattr(toxicity, "calibrate", spy)
+    toxicity.train(df, labels)
+    cal, best, n, y, total = seen[0]
+    usable = [i for i in range(150) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(best) == len(usable)
+    assert (total[y > 0] > 20.5 * cal.excess(best, n)[y > 0]).any()  # a sum over 20 segments is less
