@@ -45,12 +45,13 @@ PLACES = list(dict.fromkeys(matching_name(s) for zones in fv.STATION_TREE.values
 def keys_by_node(acc: DataFrame, loc: DataFrame, names: list[str]) -> DataFrame:
     """(id, key) for every zone or place whose stations the record's area names; it may name several.
 
-    The patterns run once for each distinct area.
+    All locations of a record count; a key holds a record once.  The patterns run once for each
+    distinct area.
     """
-    place = first_location(loc, "area").select(F.col("accident_id").alias("id"), "area")
+    place = loc.select(F.col("accident_id").alias("id"), "area").distinct()
     hits = F.array_compact(F.array(*[F.when(area_in(F.col("area"), stations_of(n)), F.lit(n)) for n in names]))
     nodes = place.select("area").distinct().select("area", F.explode(hits).alias("key"))
-    return acc.select("id").join(place.join(nodes, "area"), "id").select("id", "key")
+    return acc.select("id").join(place.join(nodes, "area"), "id").select("id", "key").distinct()
 
 
 def _known(c: str, placeholder: str) -> Column:

@@ -127,3 +127,14 @@ def test_ties_and_first_seen(spark):
     assert sorted(tuple(r) for r in ranking.keep_last(df, "k", "v").collect()) == [("a", 2), ("b", 3)]
     both = ranking.concat_first(df.filter("v = 2"), df.filter("v <> 2"), "k", "v")
     assert sorted((r["k"], r["v"]) for r in both.collect()) == [("a", 2), ("b", 3)]
+
+
+def test_records_of_two_places_are_in_both(spark):
+    from crashgrid.plans import profiles
+
+    acc = spark.createDataFrame([(1,), (2,)], "id long")
+    loc = spark.createDataFrame([(1, 1, "Krishnalanka"), (2, 1, "Gunadala"), (3, 1, "Gunadala"), (4, 2, None)], "id long, accident_id long, area string")
+    got = [tuple(r) for r in profiles.keys_by_node(acc, loc, profiles.PLACES).collect()]
+    single = lambda n: {tuple(r) for r in profiles.keys_by_node(acc, loc.filter(f"id = {n}"), profiles.PLACES).collect()}
+    assert single(1) and single(2) and single(1) != single(2)
+    assert len(got) == len(set(got)) and set(got) == single(1) | single(2)
