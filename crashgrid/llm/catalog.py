@@ -11,3 +11,4 @@ from crashgrid.llm import toxicity  # noqa: F401,E402
 from crashgrid.llm import minhash  # noqa: F401,E402
 from crashgrid.llm import mixing  # noqa: F401,E402
 from crashgrid.llm import suffix_dedup  # noqa: F401,E402
+from crashgrid.llm import conversations  # noqa: F401,E402
