@@ -13,3 +13,4 @@ from crashgrid.llm import mixing  # noqa: F401,E402
 from crashgrid.llm import suffix_dedup  # noqa: F401,E402
 from crashgrid.llm import conversations  # noqa: F401,E402
 from crashgrid.llm import alignment  # noqa: F401,E402
+from crashgrid.llm import quality  # noqa: F401,E402
