@@ -103,11 +103,14 @@ def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         same = [np.append(np.zeros(k, dtype=bool), (doc[k:] == doc[:-k]))[:len(doc)] for k in (1, 2)]
 
         def later(flags: np.ndarray, k: int) -> np.ndarray:
-            return np.append(np.zeros(k, dtype=bool), flags)[:len(doc)] & same[k - 1]
+            """Flags of the words that have a k-th word before them in their text; false for the others."""
+            out = np.zeros(len(doc), dtype=bool)
+            out[same[k - 1]] = flags
+            return out
 
         flags = [
-            ~_seen(word ^ _mix((passage + 1).astype(np.uint64) * STEP)), later(word[1:] == word[:-1], 1), later(word[2:] == word[:-2], 2),
-            later(_seen(pair ^ salt[1:]), 1), later(_seen(triple ^ salt[2:]), 2), length == 1, kind[start] == UPPER,
+            ~_seen(word ^ _mix((passage + 1).astype(np.uint64) * STEP)), later((word[1:] == word[:-1])[same[0][1:]], 1), later((word[2:] == word[:-2])[same[1][2:]], 2),
+            later(_seen(pair[same[0][1:]] ^ salt[1:][same[0][1:]]), 1), later(_seen(triple[same[1][2:]] ^ salt[2:][same[1][2:]]), 2), length == 1, kind[start] == UPPER,
             (upper > 1) & (lower == 0), np.isin(final, [MARKS.index(c) for c in b".!?"]), final < len(MARKS),
         ]
         rows[:, CLASSES] = np.log(many) / 4
