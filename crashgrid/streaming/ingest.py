@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from crashgrid.sources.documents import ingest_batch
-from crashgrid.streaming.sinks import (
-    has_batches, read_batches, run_available, run_continuous, run_name, write_batch,
-)
+from crashgrid.streaming.sinks import read_batches, run_available, run_continuous, run_name, write_batch
 
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -27,28 +25,26 @@ def ingest_schema(spark: SparkSession) -> StructType:
     return ingest_batch(spark.createDataFrame([], "key string, text string")).schema
 
 
-def stream_ingest(documents: DataFrame, out: str, checkpoint: str, continuous: bool = False, every: str = "2 seconds"):
-    """Extract each document into ``out``, skipping keys that other progress folders have brought.
+def stream_ingest(documents: DataFrame, out: str, checkpoint: str, continuous: bool = False, every: str = "2 seconds", remember: str = "30 days"):
+    """Extract each document into ``out``, one row a key.
 
-    A progress folder delivers each file once, so a batch reads the keys of other folders only, not
-    those of its own stream; ``ingested`` keeps the first row of a key that comes twice all the same.
+    A stream drops a key that it has met within ``remember`` of arrival, by streaming state that expires
+    after that; earlier output is never read.  Arrival is the time of the batch, so no file counts as late,
+    however old it is.  Keys that another progress folder brings as well, or that return after that time,
+    are stored again; ``ingested`` keeps the first row of each.
 
     A failed document becomes a row with status 'failed', so it never stops the stream.
     """
-    spark = documents.sparkSession
-    schema, run = ingest_schema(spark), run_name(checkpoint)
+    run = run_name(checkpoint)
+    arrived = documents.withColumn("_arrived", F.current_timestamp())
+    fresh = arrived.withWatermark("_arrived", remember).dropDuplicatesWithinWatermark(["key"]).drop("_arrived")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        fresh = batch.dropDuplicates(["key"])
-        if has_batches(session, out):
-            done = read_batches(session, out, schema).filter(F.col("run") != run).select("key")
-            fresh = fresh.join(done, "key", "left_anti")
-        write_batch(ingest_batch(fresh), batch_id, out, run)
+        write_batch(ingest_batch(batch), batch_id, out, run)
 
     if continuous:
-        return run_continuous(documents, on_batch, checkpoint, every)
-    return run_available(documents, on_batch, checkpoint)
+        return run_continuous(fresh, on_batch, checkpoint, every)
+    return run_available(fresh, on_batch, checkpoint)
 
 
 def ingested(spark: SparkSession, out: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Incremental refresh: stored reports, additive counts and sliding activity."""
+"""Incremental refresh: stored reports, additive counts and sliding activity in streaming state."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crashgrid.functions.bands import month_key
 from crashgrid.sources.maintenance import current, publish, upsert
-from crashgrid.streaming.sinks import read_batches, run_available, run_name, write_batch
+from crashgrid.streaming.state import counted, read_counts, store_counts
 
 CACHE_SCHEMA = "analysis_type string, identifier string, last_accident_id bigint, data string, updated_at timestamp_ntz"
 
@@ -52,11 +52,8 @@ def refresh_stored(spark, root: str, acc, analysis_type, identifier, compute, fo
     return current(spark, root).filter(key)
 
 
-COUNTS_SCHEMA = "kind string, label string, count bigint"
-
-
-def additive_counts(acc: DataFrame) -> DataFrame:
-    """Counts that add up over batches: severity, hour, month, month and severity."""
+def _kinds(acc: DataFrame) -> DataFrame:
+    """(kind, label, incident_date) of every record: severity, hour, month, month and severity."""
     date = F.col("incident_date")
     dated = lambda c: F.when(date.isNotNull(), c)
     kinds = {
@@ -64,56 +61,68 @@ def additive_counts(acc: DataFrame) -> DataFrame:
         "month_severity": dated(F.concat_ws("|", month_key(date), "severity")),
     }
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("label")) for k, c in kinds.items()])
-    rows = acc.select(F.explode(pairs).alias("p")).select("p.*").filter("label IS NOT NULL")
-    return rows.groupBy("kind", "label").agg(F.count("*").alias("count"))
+    return acc.select("incident_date", F.explode(pairs).alias("p")).select("p.*", "incident_date").filter("label IS NOT NULL")
+
+
+def additive_counts(acc: DataFrame) -> DataFrame:
+    """Counts that add up over batches: severity, hour, month, month and severity."""
+    return _kinds(acc).groupBy("kind", "label").agg(F.count("*").alias("count"))
 
 
 def merge_counts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("kind", "label").agg(F.sum("count").alias("count"))
 
 
-def stream_counts(acc_stream: DataFrame, out: str, checkpoint: str):
-    """Maintain the additive counts: every batch stores its own counts, readers add them.
+def stream_counts(acc_stream: DataFrame, out: str, checkpoint: str, delay: str = "31 days", **running):
+    """Maintain the additive counts by month in streaming state; see ``state``.
 
-    Nothing is dropped as late, however old a record is, because no state expires.  Batches are
-    filed by progress folder, so several streams may share one output.
+    Months that closed ``delay`` before the newest record leave the state; later records of theirs are
+    counted on the side "late".  Several streams may share one output.
     """
-    run = run_name(checkpoint)
+    return store_counts(counted(_kinds(acc_stream), F.col("incident_date"), "month", delay), out, checkpoint, **running)
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_batch(additive_counts(batch), batch_id, out, run)
 
-    return run_available(acc_stream, on_batch, checkpoint)
+def stored_counts(spark: SparkSession, out: str) -> DataFrame:
+    """Counts over all streams, months and sides: nothing is lost, however late."""
+    return merge_counts(read_counts(spark, out))
 
 
-def stored_counts(spark: SparkSession, out: str) -> DataFrame:
-    return merge_counts(read_batches(spark, out, COUNTS_SCHEMA))
+def late_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The part of the stored counts that came after their month had closed."""
+    return merge_counts(read_counts(spark, out).filter("side = 'late'"))
 
 
-ACTIVITY_SCHEMA = "start timestamp, end timestamp, count bigint"
+PANE, WINDOW = 300, 3600  # seconds of the slide and of the window
 
 
-def activity(events: DataFrame, ts: str, length: str = "1 hour", slide: str = "5 minutes") -> DataFrame:
-    """Events per sliding window; works on batch and on streaming frames."""
-    moment = F.col(ts).cast("timestamp")
-    grouped = events.select(moment.alias("_ts")).groupBy(F.window("_ts", length, slide).alias("w"))
-    return grouped.agg(F.count("*").alias("count")).select("w.start", "w.end", "count")
+def _pane(ts: str):
+    return F.timestamp_seconds(F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / PANE) * PANE)
 
 
-def stream_activity(events: DataFrame, ts: str, out: str, checkpoint: str):
-    """Sliding activity over a stream: every batch stores its own window counts, readers add them.
+def windows(panes: DataFrame) -> DataFrame:
+    """start, end, count of every sliding window that holds anything, summed from its panes (pane, count).
 
-    No window closes, so no event is too late, and several streams may share one output.
+    Events are counted once, in their pane; only panes are repeated, one row for each window they are in.
     """
-    run = run_name(checkpoint)
+    back = F.explode(F.sequence(F.lit(0), F.lit(WINDOW - PANE), F.lit(PANE))).alias("back")
+    starts = panes.select("count", F.unix_seconds("pane").alias("pane"), back).withColumn("start", F.col("pane") - F.col("back"))
+    summed = starts.groupBy("start").agg(F.sum("count").alias("count"))
+    return summed.select(F.timestamp_seconds("start").alias("start"), F.timestamp_seconds(F.col("start") + WINDOW).alias("end"), "count")
+
+
+def activity(events: DataFrame, ts: str) -> DataFrame:
+    """Events of every hour-long window, one each five minutes."""
+    return windows(events.select(_pane(ts).alias("pane")).filter("pane IS NOT NULL").groupBy("pane").agg(F.count("*").alias("count")))
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_batch(activity(batch, ts), batch_id, out, run)
 
-    return run_available(events, on_batch, checkpoint)
+def stream_activity(events: DataFrame, ts: str, out: str, checkpoint: str, delay: str = "1 hour", **running):
+    """Count five-minute panes in streaming state, a day a key; windows are summed from panes when read."""
+    pane = _pane(ts)
+    rows = events.select(F.lit("pane").alias("kind"), F.unix_seconds(pane).cast("string").alias("label"), pane.alias("_pane"))
+    return store_counts(counted(rows, F.col("_pane"), "day", delay), out, checkpoint, **running)
 
 
 def stored_activity(spark: SparkSession, out: str) -> DataFrame:
-    """Count of every window over all batches."""
-    rows = read_batches(spark, out, ACTIVITY_SCHEMA)
-    return rows.groupBy("start", "end").agg(F.sum("count").alias("count"))
+    """Count of every window over all streams."""
+    panes = read_counts(spark, out).filter("kind = 'pane'").groupBy("label").agg(F.sum("count").alias("count"))
+    return windows(panes.select(F.timestamp_seconds(F.col("label").cast("long")).alias("pane"), "count"))

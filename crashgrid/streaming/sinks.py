@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def run_name(checkpoint: str) -> str:
-    """Short stable name of a progress folder; batch numbers are only unique within one."""
-    return hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+    """Stable name of a progress folder, its whole digest; batch numbers are only unique within one."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()
 
 
 def write_batch(df: DataFrame, batch_id: int, path: str, run: str = "0") -> None:

@@ -2,9 +2,10 @@
 
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from crashgrid.streaming import ingest, refresh, sinks
+from crashgrid.streaming import ingest, refresh, sinks, state
 
 
 def test_documents_are_ingested_once(spark, tmp_path):
@@ -24,6 +25,20 @@ def test_documents_are_ingested_once(spark, tmp_path):
     ingest.stream_ingest(stream(), out, mark + "2")
     again = ingest.ingested(spark, out)
     assert again.count() == 7 and again.select("key").distinct().count() == 7
+    own = sinks.read_batches(spark, out, ingest.ingest_schema(spark)).filter(F.col("run") == sinks.run_name(mark))
+    assert own.count() == 7  # the restarted stream stored the new file only
+
+
+def test_repeated_keys_of_a_stream(spark, tmp_path):
+    """The same key in one batch, in a later batch and after a restart is stored once."""
+    path, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    rows = spark.createDataFrame([(f"k{i % 4}", "FIR No: 1/2024 fracture") for i in range(9)], "key string, text string")
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for keys in (rows, rows.filter("key < 'k2'"), rows.filter("key > 'k1'")):
+        keys.repartition(2).write.mode("append").parquet(path)
+        ingest.stream_ingest(stream(), out, mark)
+    stored = sinks.read_batches(spark, out, ingest.ingest_schema(spark))
+    assert sorted(r.key for r in stored.collect()) == ["k0", "k1", "k2", "k3"]
 
 
 def test_stop_request(spark, tmp_path):
@@ -62,6 +77,76 @@ def test_activity_and_counts_match_batch(spark, tmp_path):
     assert rows(refresh.stored_counts(spark, str(tmp_path / "c"))) == rows(refresh.additive_counts(acc(batch)))
 
 
+def _months(spark, path, *dates):
+    spark.createDataFrame([(d, s) for d, s in dates], "d string, severity string").select(F.col("d").cast("timestamp_ntz").alias("incident_date"), "severity").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_late_rows_restart_and_bounded_state(spark, tmp_path):
+    """Months close behind the watermark, later records of theirs go to the late side, and a restart goes on from the state."""
+    path, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+
+    def go():
+        source = spark.readStream.schema("incident_date timestamp_ntz, severity string").option("maxFilesPerTrigger", 1).parquet(path)
+        return refresh.stream_counts(source, out, mark, delay="40 days")
+
+    _months(spark, path, ("2023-01-05", "Fatal"), ("2023-01-06", "Fatal"), (None, "Fatal"))
+    go()
+    _months(spark, path, ("2023-06-01", "Grievous"), ("2023-01-31", "Fatal"))  # the month is open until a watermark has passed it
+    go()
+    assert not refresh.late_counts(spark, out).count()
+    for d in (1, 6, 12):
+        _months(spark, path, (f"2024-{d:02}-15", "Fatal"))
+    _months(spark, path, ("2023-01-07 03:00:00", "Grievous"), (None, "Grievous"))
+    _months(spark, path, ("2023-01-08 03:00:00", "Grievous"), ("2024-12-16", "Fatal"))
+    query = go()
+    late = {tuple(r) for r in refresh.late_counts(spark, out).collect()}
+    assert ("severity", "Grievous", 2) in late and ("month_severity", "2023-01|Grievous", 2) in late
+    batch = spark.read.parquet(path)
+    assert rows(refresh.stored_counts(spark, out)) == rows(refresh.additive_counts(batch))
+    stored = state.read_counts(spark, out)
+    assert stored.groupBy("side", "period", "kind", "label").count().filter("count > 1").isEmpty()
+    assert stored.select("period").distinct().count() == 6  # five months and the rows without a date
+    held = query.lastProgress["stateOperators"][0]
+    assert held["numRowsTotal"] <= state.SLOTS
+    files = lambda: stored.inputFiles()
+    before = len(files())
+    _months(spark, path, ("2024-12-17", "Fatal"))
+    go()
+    assert len(state.read_counts(spark, out).inputFiles()) == before and rows(refresh.stored_counts(spark, out)) == rows(refresh.additive_counts(spark.read.parquet(path)))
+
+
+def test_slots_forget_closed_periods():
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+    slot = State()
+    frame = lambda *rows: iter([pd.DataFrame(rows, columns=["period", "closes", "kind", "label", "count"])])
+    slot.mark = 0
+    out = list(state._advance((0,), frame(("a", 10, "k", "x", 2), ("a", 10, "k", "x", 3), ("b", 90, "k", "x", 1)), slot))[0]
+    assert sorted(map(tuple, out.itertuples(index=False))) == [("open", "a", "k", "x", 5), ("open", "b", "k", "x", 1)]
+    slot.mark = 50
+    out = list(state._advance((0,), frame(("b", 90, "k", "y", 1)), slot))[0]
+    assert sorted(map(tuple, out.itertuples(index=False))) == [("open", "b", "k", "x", 1), ("open", "b", "k", "y", 1)] and '"a"' not in slot.get[0]
+    for n in (4, 5):
+        out = list(state._advance((0,), frame(("a", 10, "k", "x", n)), slot))[0]
+    assert list(map(tuple, out.itertuples(index=False))) == [("late", "a", "k", "x", 9)]
+
+
+def test_windows_are_summed_from_panes(spark):
+    at = [0, 1, 299, 300, 3599, 3600, 7000, 90_000, None]
+    events = spark.createDataFrame([(t,) for t in at], "t long").select(F.timestamp_seconds("t").alias("ts"))
+    got = {int(r.start.timestamp()): r["count"] for r in refresh.activity(events, "ts").collect()}
+    brute = {s: sum(t is not None and s <= t < s + 3600 for t in at) for s in range(-3600, 100_000, 300)}
+    assert got == {s: n for s, n in brute.items() if n}
+
+
 def test_two_sources_share_one_output(spark, tmp_path):
     """A second stream into the same output adds to the counts of the first."""
     path, out, act = str(tmp_path / "events"), str(tmp_path / "c"), str(tmp_path / "a")
