@@ -8,7 +8,7 @@ from crashgrid.plans import profiles as pf
 from crashgrid.plans import reports as rp
 from crashgrid.operators.filters import area_pattern, stations_of
 from crashgrid.plans.registry import query
-from crashgrid.plans.incident_queries import DIST
+from crashgrid.plans.incident_queries import AL, DIST
 
 _AREA_KEY = "coalesce(nullif(lower(trim(coalesce(area,''))), ''), 'unknown area')"
 
@@ -56,7 +56,10 @@ _STRICT = (
     + cs.top_label(f"({DIST['ages']})", "age_group", ["unknown"]) + " AS high_risk_age_group, "
     + cs.top_label(f"({DIST['slots']})", "time_slot", ["unknown"]) + " AS peak_time, "
     + cs.top_label(f"({DIST['vehicle_types']})", "vehicle_type", ["unknown"]) + " AS most_risky_vehicle, "
-    + cs.top_label(f"({DIST['all_areas']})", "area", fv.LOCATION_BLACKLIST) + " AS hotspot_location FROM accidents"
+    + cs.top_label(f"({DIST['all_areas']})", "area", fv.LOCATION_BLACKLIST) + " AS hotspot_location, "
+    + "(SELECT count(*) FROM victims) AS total_victims, coalesce((SELECT string_agg(line, chr(10) ORDER BY incident_date DESC NULLS FIRST, id DESC) FROM ("
+    + "SELECT a.id, incident_date, " + cs.digest_line("area", "1/1/1970") + f" AS line FROM {AL} ORDER BY incident_date DESC NULLS FIRST, a.id DESC LIMIT 50)), '')"
+    + " AS accident_summaries FROM accidents"
 )
 
 
@@ -65,20 +68,51 @@ def _(t):
     return pf.global_profile(t.acc, t.loc, t.vic, t.veh)
 
 
-@query("agg_33_global_distributions", _SHOWN.format(d="DESC"), ctes=ALL)
-def _(t):
-    return pf.shown_rows(pf.distributions(t.acc, t.vic, t.veh), months="latest")
+_ALL_WITH_AREAS = ALL.replace("dist AS (", "dist AS (SELECT 'all' AS key, 'area' AS kind, area AS label, count(*) AS count FROM locations WHERE area IS NOT NULL GROUP BY area UNION ALL ")
 
 
-@query("agg_34_station_profiles", SUMMARY, ctes=BY_STATION)
+@query("agg_33_global_distributions", _SHOWN.format(d="DESC"), ctes=_ALL_WITH_AREAS)
 def _(t):
-    return pf.summaries(pf.distributions(t.acc, t.vic, t.veh, pf.keys_by_station(t.acc)), strict=False)
+    return pf.shown_rows(pf.distributions(t.acc, t.vic, t.veh, loc=t.loc), months="latest")
+
+
+_NODE_KEYS = "SELECT accident_id AS id, z.name AS key FROM locations JOIN (VALUES {rows}) z(name, pattern) ON regexp_matches(area, z.pattern)"
+
+
+def _node_rows(names):
+    return ", ".join("('{}', '{}')".format(n.replace("'", "''"), area_pattern(stations_of(n)).replace("'", "''")) for n in names)
 
 
 def _by_node(names):
     """Keys of tree nodes: an area may name several."""
-    rows = ", ".join("('{}', '{}')".format(n.replace("'", "''"), area_pattern(stations_of(n)).replace("'", "''")) for n in names)
-    return _keyed(f"SELECT accident_id AS id, z.name AS key FROM locations JOIN (VALUES {rows}) z(name, pattern) ON regexp_matches(area, z.pattern)")
+    return _keyed(_NODE_KEYS.format(rows=_node_rows(names)))
+
+
+def _digests(keys: str) -> str:
+    """Check SQL of the latest 30 records of every key, for a CTE keys(id, key)."""
+    return (f"SELECT key, string_agg(line, chr(10) ORDER BY incident_date DESC NULLS LAST, id DESC) AS accident_summaries FROM (SELECT k.key, a.id, incident_date, "
+            + cs.digest_line("address", "Unknown date") + " AS line, row_number() OVER (PARTITION BY k.key ORDER BY incident_date DESC NULLS LAST, a.id DESC) AS rn"
+            f" FROM {AL} JOIN ({keys}) k ON k.id = a.id) WHERE rn <= 30 GROUP BY 1")
+
+
+@query("agg_34_station_digests", _digests("SELECT id, coalesce(station, 'OTHER STATIONS') AS key FROM stations"), ctes=cs.STATIONS)
+def _(t):
+    return pf.keyed_profiles(t.acc, t.loc, t.vic, t.veh, pf.keys_by_station(t.acc)).select("key", "accident_summaries")
+
+
+@query("agg_34_group_digests", _digests(f"SELECT accident_id AS id, {cs.GROUP_CASE} AS key FROM locations"))
+def _(t):
+    return pf.keyed_profiles(t.acc, t.loc, t.vic, t.veh, pf.keys_by_group(t.acc, t.loc)).select("key", "accident_summaries")
+
+
+@query("agg_34_zone_digests", _digests(_NODE_KEYS.format(rows=_node_rows(pf.ZONES))))
+def _(t):
+    return pf.keyed_profiles(t.acc, t.loc, t.vic, t.veh, pf.keys_by_node(t.acc, t.loc, pf.ZONES)).select("key", "accident_summaries")
+
+
+@query("agg_34_station_profiles", SUMMARY, ctes=BY_STATION)
+def _(t):
+    return pf.summaries(pf.distributions(t.acc, t.vic, t.veh, pf.keys_by_station(t.acc)), strict=False)
 
 
 @query("agg_34_zone_profiles", SUMMARY, ctes=_by_node(pf.ZONES))

@@ -64,10 +64,11 @@ def _count(df: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     return rows.groupBy("key", "kind", "label").agg(F.count("*").alias("count"))
 
 
-def distributions(acc: DataFrame, vic: DataFrame, veh: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def distributions(acc: DataFrame, vic: DataFrame, veh: DataFrame, keys: DataFrame | None = None, loc: DataFrame | None = None) -> DataFrame:
     """(key, kind, label, count) for severity, cause, time_slot, hour, month, age_group, vehicle_type.
 
-    Without ``keys`` everything falls under 'all' and no join is needed.
+    With ``loc`` also for area, one count a location.  Without ``keys`` everything falls under 'all' and
+    no join is needed.
     """
     def keyed(df, on):
         if keys is None:
@@ -84,7 +85,10 @@ def distributions(acc: DataFrame, vic: DataFrame, veh: DataFrame, keys: DataFram
         "age_group": F.when(F.col("age").isNotNull(), age_band(F.col("age")))})
     from_veh = _count(keyed(veh.select("accident_id", "vehicle_type"), "accident_id"), {
         "vehicle_type": _known("vehicle_type", "Unknown")})
-    return from_acc.unionByName(from_vic).unionByName(from_veh)
+    found = from_acc.unionByName(from_vic).unionByName(from_veh)
+    if loc is None:
+        return found
+    return found.unionByName(_count(keyed(loc.select("accident_id", "area"), "accident_id"), {"area": F.col("area")}))
 
 
 def _ranked(dist: DataFrame, by: list[str], time_key: Column) -> DataFrame:
@@ -143,11 +147,16 @@ def summaries(dist: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def global_profile(acc, loc, vic, veh) -> DataFrame:
-    """The global summary row with its hotspot area."""
-    from crashgrid.operators.aggregates import area_top, top_label
+    """The global summary row with its hotspot area, victims and the digest of the latest 50 records.
+
+    Its distributions are ``distributions`` with ``loc``.
+    """
+    from crashgrid.operators.aggregates import area_top, digest, top_label
 
     hotspot = top_label(area_top(loc, None), "area", fv.LOCATION_BLACKLIST).withColumnRenamed("label", "hotspot_location")
-    return summaries(distributions(acc, vic, veh)).crossJoin(hotspot)  # 1 row x 1 row
+    victims = vic.agg(F.count("*").alias("total_victims"))
+    text = digest(acc, loc).agg(F.coalesce(F.max("text"), F.lit("")).alias("accident_summaries"))
+    return summaries(distributions(acc, vic, veh)).crossJoin(hotspot).crossJoin(victims).crossJoin(text)  # single rows
 
 
 def keyed_profiles(acc, loc, vic, veh, keys: DataFrame, lines: int = 30) -> DataFrame:

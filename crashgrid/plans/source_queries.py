@@ -6,7 +6,7 @@ from crashgrid.functions import reports
 from crashgrid.operators import joins as jn
 from crashgrid.plans import check_sql as cs
 from crashgrid.plans.registry import query
-from crashgrid.plans.text_queries import FIELDS
+from crashgrid.plans.text_queries import FIELDS, GAZETTEER, IN_DISTRICT, REPORT_DATE, START_GUARD
 from crashgrid.sources import documents as dc
 from crashgrid.sources import maintenance as mt
 
@@ -71,7 +71,7 @@ def _(t):
 
 def _fanned(t):
     extracted = reports.extract_report(t.acc.select(F.col("id").alias("source_id"), "raw_text"), "raw_text", "source_id")
-    return mt.fan_out(extracted, "source_id", {"accidents": 1000, "victims": 500})
+    return mt.fan_out(extracted, "source_id", {"accidents": 1000, "locations": 70, "victims": 500})
 
 
 _GUARD = ("CASE WHEN regexp_matches(trim(lower(cause)), '^(?:reasons for delay in reporting|s for delay in reporting|informant|delay in reporting"
@@ -80,9 +80,23 @@ _GUARD = ("CASE WHEN regexp_matches(trim(lower(cause)), '^(?:reasons for delay i
 
 
 @query("src_06_fan_out_accidents",
-       f"SELECT 1000 + row_number() OVER (ORDER BY id) AS id, fir_number, {_GUARD} AS cause, severity FROM fields", ctes=FIELDS)
+       f"SELECT 1000 + row_number() OVER (ORDER BY id) AS id, fir_number, {REPORT_DATE} AS incident_date, {_GUARD} AS cause, severity FROM fields", ctes=FIELDS)
 def _(t):
-    return _fanned(t)[0].select("id", "fir_number", "cause", "severity")
+    return _fanned(t)[0].select("id", "fir_number", "incident_date", "cause", "severity")
+
+
+# the place stored with a report: its address unless that is a form header, and the gazetteer's point for the whole address
+_STORED = ("stored AS (SELECT row_number() OVER (ORDER BY id) AS r, 'Vijayawada' AS area, 'Vijayawada' AS city,"
+           f" CASE WHEN {START_GUARD} THEN 'Vijayawada' ELSE address END AS address FROM fields),"
+           f" hit AS (SELECT r, glat, glng, row_number() OVER (PARTITION BY r ORDER BY length(name) DESC, pos) AS rn FROM stored JOIN {GAZETTEER}"
+           " ON contains(lower(array_to_string(list_filter([address, area, city], lambda x: x <> ''), ', ')), name))")
+
+
+@query("src_06_fan_out_locations",
+       f"SELECT 70 + r AS id, 1000 + r AS accident_id, address, area, city, CASE WHEN {IN_DISTRICT} THEN glat END AS latitude,"
+       f" CASE WHEN {IN_DISTRICT} THEN glng END AS longitude FROM stored LEFT JOIN (SELECT * FROM hit WHERE rn = 1) USING (r)", ctes=f"{FIELDS}, {_STORED}")
+def _(t):
+    return _fanned(t)[1].select("id", "accident_id", "address", "area", "city", "latitude", "longitude")
 
 
 @query("src_06_fan_out_victims",

@@ -57,6 +57,14 @@ FIELDS = (
 )
 
 
+_DAY_PARTS = "list_transform(string_split(split_part(date_time,' ',1),'-'), lambda x: TRY_CAST(x AS INT))"
+_TIME_PARTS = "list_transform(string_split(split_part(date_time,' ',2),':'), lambda x: coalesce(TRY_CAST(x AS INT), 0))"
+REPORT_DATE = (
+    f"CASE WHEN date_time <> 'UNKNOWN' THEN make_timestamp({_DAY_PARTS}[3], 1, 1, 0, 0, 0.0) + to_months({_DAY_PARTS}[2] - 1) + to_days({_DAY_PARTS}[1] - 1)"
+    f" + to_hours({_TIME_PARTS}[1]) + to_minutes(coalesce({_TIME_PARTS}[2], 0)) END"
+)
+
+
 @query("scl_01_report_date",
        "SELECT id, date_time, make_timestamp(y, 1, 1, 0, 0, 0.0) + to_months(m - 1) + to_days(d - 1) + to_hours(h) + to_minutes(mi)"
        " AS incident_date FROM (SELECT id, date_time, CAST(split_part(split_part(date_time,' ',1),'-',3) AS INT) AS y,"
@@ -194,6 +202,9 @@ def _(t):
 _STARTS = f"trim(lower(address))"
 
 
+START_GUARD = f"coalesce({_STARTS} IN ({', '.join(repr(h) for h in fv.FORM_HEADERS)}) OR (length({_STARTS}) < 50 AND regexp_matches({_STARTS}, '^(?:{_rx(fv.FORM_HEADERS)})')), false)"
+
+
 @query("scl_15_boilerplate_guards",
        f"SELECT accident_id, coalesce(regexp_matches(address, '{fv.FORM_GUARD_PATTERN}'), false) AS upload,"
        f" coalesce({_STARTS} IN ({', '.join(repr(h) for h in fv.FORM_HEADERS)})"
@@ -303,9 +314,9 @@ def _(t):
     return t.loc.select("accident_id", places.simplify_address(F.col("address")).alias("simple"))
 
 
-_GAZ = "(VALUES " + ", ".join(f"('{n}', {la}::DOUBLE, {ln}::DOUBLE, {i})" for i, (n, la, ln) in enumerate(fv.GAZETTEER)) + ") g(name, glat, glng, pos)"
+GAZETTEER = "(VALUES " + ", ".join(f"('{n}', {la}::DOUBLE, {ln}::DOUBLE, {i})" for i, (n, la, ln) in enumerate(fv.GAZETTEER)) + ") g(name, glat, glng, pos)"
 GAZ = (
-    f"full_addr AS (SELECT *, {_FULL} AS full_address FROM locations), gaz AS (SELECT * FROM {_GAZ}),"
+    f"full_addr AS (SELECT *, {_FULL} AS full_address FROM locations), gaz AS (SELECT * FROM {GAZETTEER}),"
     " hits AS (SELECT accident_id, name, glat, glng, row_number() OVER (PARTITION BY accident_id ORDER BY length(name) DESC, pos) AS rn"
     " FROM full_addr JOIN gaz ON contains(lower(full_address), name)), best AS (SELECT * FROM hits WHERE rn = 1)"
 )
@@ -321,19 +332,19 @@ def _(t):
 
 _MISSING = ("(latitude IS NULL OR longitude IS NULL OR latitude = 0 OR longitude = 0 OR (abs(latitude - 16.5) < 0.01 AND abs(longitude - 80.6) < 0.01)"
             " OR (abs(latitude - 16.5062) < 0.01 AND abs(longitude - 80.648) < 0.01))")
-_IN = "glat BETWEEN 16.25 AND 16.95 AND glng BETWEEN 80.0 AND 80.9"
+IN_DISTRICT = "glat BETWEEN 16.25 AND 16.95 AND glng BETWEEN 80.0 AND 80.9"
 
 
 @query("scl_28_fill_coordinates",
-       f"SELECT f.accident_id, CASE WHEN {_MISSING} AND {_IN} THEN glat ELSE latitude END AS latitude,"
-       f" CASE WHEN {_MISSING} AND {_IN} THEN glng ELSE longitude END AS longitude FROM full_addr f LEFT JOIN best b USING (accident_id)",
+       f"SELECT f.accident_id, CASE WHEN {_MISSING} AND {IN_DISTRICT} THEN glat ELSE latitude END AS latitude,"
+       f" CASE WHEN {_MISSING} AND {IN_DISTRICT} THEN glng ELSE longitude END AS longitude FROM full_addr f LEFT JOIN best b USING (accident_id)",
        ctes=GAZ)
 def _(t):
     return places.fill_coordinates(t.loc, replace_placeholders=True).select("accident_id", "latitude", "longitude")
 
 
 @query("agg_40_geocode_summary",
-       f"SELECT count(*) AS total, count(*) FILTER (WHERE {_IN}) AS geocoded, count(*) FILTER (WHERE NOT coalesce({_IN}, false)) AS failed"
+       f"SELECT count(*) AS total, count(*) FILTER (WHERE {IN_DISTRICT}) AS geocoded, count(*) FILTER (WHERE NOT coalesce({IN_DISTRICT}, false)) AS failed"
        " FROM full_addr f LEFT JOIN best b USING (accident_id) WHERE (latitude IS NULL OR longitude IS NULL)"
        " AND (address IS NOT NULL OR area IS NOT NULL)", ctes=GAZ)
 def _(t):
