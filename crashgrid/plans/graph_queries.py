@@ -12,6 +12,7 @@ from crashgrid.operators.graph import components as cp
 from crashgrid.operators.graph import hotspots as hs
 from crashgrid.operators.graph import paths as pt
 from crashgrid.operators.graph import relations as rl
+from crashgrid.operators.graph import similar as sm
 from crashgrid.plans.registry import query
 from crashgrid.plans.text_queries import FIELDS
 from crashgrid.session import cut
@@ -380,3 +381,22 @@ def _(t):
        ctes=GRAPH + _ENTS + ", own AS MATERIALIZED (SELECT src, list(DISTINCT entity) AS own FROM ents GROUP BY 1)")
 def _(t):
     return rl.related_by_entity(*stored(t))
+
+
+_CLASSES = (", own AS MATERIALIZED (SELECT src, list(DISTINCT entity ORDER BY entity) AS own FROM ents WHERE entity IS NOT NULL GROUP BY 1),"
+            " heads AS MATERIALIZED (SELECT own, min(src) AS src FROM own GROUP BY 1)")
+
+
+@query("g_18_report_classes", "SELECT o.src AS id, h.src AS class, len(own)::BIGINT AS n_entities FROM own o JOIN heads h USING (own)", ctes=GRAPH + _ENTS + _CLASSES)
+def _(t):
+    return sm.report_classes(rl.report_entities(*stored(t)))
+
+
+# pairs that share anything are counted through their entities, then cut at the threshold
+@query("g_18_similar_reports",
+       "SELECT a AS src, b AS dst, relation_type, round(c / (len(x.own) + len(y.own) - c), 4) AS similarity_score FROM (SELECT a, b, count(*) AS c,"
+       " string_agg(DISTINCT kind, ',' ORDER BY kind) AS relation_type FROM (SELECT p.src AS a, q.src AS b, p.kind FROM posts p JOIN posts q ON p.entity = q.entity AND p.src > q.src)"
+       " GROUP BY 1, 2) JOIN heads x ON x.src = a JOIN heads y ON y.src = b WHERE c / (len(x.own) + len(y.own) - c) >= 0.5",
+       ctes=GRAPH + _ENTS + _CLASSES + ", posts AS MATERIALIZED (SELECT e.* FROM ents e JOIN heads h ON h.src = e.src WHERE entity IS NOT NULL)")
+def _(t):
+    return sm.similar_reports(*stored(t), 0.5)
