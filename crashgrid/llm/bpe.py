@@ -25,6 +25,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
+from crashgrid.llm.memory import lean
 from crashgrid.llm.registry import query
 from crashgrid.session import cut, drop_cut
 
@@ -314,7 +315,7 @@ def word_counts(docs: DataFrame, content: bytes, held: int = 200_000) -> DataFra
                     counts.clear()
         yield flush()
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def read_tokenizer(path: str | None = None) -> bytes:
@@ -379,7 +380,7 @@ def encode(docs: DataFrame, content: bytes | None = None, words: int = LEXICON_W
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), lists, pa.array(sizes, pa.int64())], names=[*rest, "ids", "n_tokens"])
 
-    return docs.select(*rest, "text").mapInArrow(run, f"{kinds}{', ' if kinds else ''}ids array<int>, n_tokens long")
+    return docs.select(*rest, "text").mapInArrow(lean(run), f"{kinds}{', ' if kinds else ''}ids array<int>, n_tokens long")
 
 
 def decode(encoded: DataFrame, content: bytes | None = None) -> DataFrame:
@@ -411,7 +412,7 @@ def round_trip(docs: DataFrame, content: bytes | None = None, words: int = LEXIC
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @query("op7_bpe_round_trip", "documents")

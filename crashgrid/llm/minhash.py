@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from crashgrid.llm.memory import hand_back, lean
 from crashgrid.llm.registry import query
 from crashgrid.operators.graph.components import linked_components
 from crashgrid.session import HOT_SHARE, cut, drop_cut
@@ -129,7 +130,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     number = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
     source = docs.select(number.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text_hash"), "text")
-    return source.mapInArrow(run, "_row long, doc_id long, _text_hash long, n_shingles long, _set binary, _pairs array<long>")
+    return source.mapInArrow(lean(run), "_row long, doc_id long, _text_hash long, n_shingles long, _set binary, _pairs array<long>")
 
 
 def prefixes(classes: DataFrame) -> DataFrame:
@@ -185,6 +186,9 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
         same = table["x"][0].as_py() == table["y"][0].as_py()
         side = np.full(len(keep), 2) if same else (block == table["y"][0].as_py()).astype(int)
         links = confirm(sets, rows, side) if len(keep) > 1 else []
+        del texts, sets, rows, hashes
+        if len(keep) > 256:
+            hand_back()
         kind = table["id"].type
         return pa.table({"a": pa.array([ids[keep[a]] for a, _ in links], kind), "b": pa.array([ids[keep[b]] for _, b in links], kind)})
 

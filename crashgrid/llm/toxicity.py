@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from crashgrid.llm.memory import hand_back, lean
 from crashgrid.llm.registry import QUERIES
 from crashgrid.session import cut
 
@@ -220,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(s[part].astype(np.float32)) for s in sums)], names=["slot", *names])
 
     names = ["t0", "c0", "t1", "c1"]
-    rows = chosen.mapInArrow(count, "slot int, t0 float, c0 float, t1 float, c1 float").groupBy("slot").agg(
+    rows = chosen.mapInArrow(lean(count), "slot int, t0 float, c0 float, t1 float, c1 float").groupBy("slot").agg(
         *[F.sum(c).cast("float").alias(c) for c in names]).toArrow()
     counts = np.zeros((4, BUCKETS + 1), dtype=np.float32)
     counts[:, rows["slot"].to_numpy()] = [rows[c].to_numpy() for c in names]
@@ -241,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
                 yield pa.RecordBatch.from_arrays([b.column("h"), b.column("label"), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(total, pa.float64())], names=found)
 
         found = ["h", "label", "n", "best", "total"]
-        got = chosen.mapInArrow(measure, "h long, label int, n long, best double, total double").toArrow()
+        got = chosen.mapInArrow(lean(measure), "h long, label int, n long, best double, total double").toArrow()
         columns = {c: got[c].to_numpy() for c in found}
         order = np.lexsort([columns[c] for c in ("best", "n", "label", "h")])
         return {c: v[order] for c, v in columns.items()}
@@ -249,6 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     first = measured()
     y = (first["label"] > 0).astype(float)
     cal = calibrate(first["best"], first["n"], lambda c: measured(c)["total"], y)
+    shared.unpersist()
     return Model(counts[0] + counts[2], counts[1] + counts[3], cal)
 
 
@@ -280,7 +282,7 @@ def score(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_kind}, score double" + ", passages array<struct<start:int,end:int,score:double,p:double>>" * passages
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -294,6 +296,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
         for texts in batches:
             found = [(cal.passages(s := scores.of(t or ""))[1:], len(s)) for t in texts]
             yield pd.Series(cal.probability(*(np.array(c, dtype=float) for c in zip(*((*f, n) for f, n in found)))) if found else [], dtype=float)
+        scores.clear()
+        hand_back()
 
     return docs.withColumn("_toxicity", toxicity("text")).filter(F.col("_toxicity") < threshold).drop("_toxicity")
 
