@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crashgrid.llm import bpe, exact_dedup, minhash, mixing, toxicity
+from crashgrid.llm.memory import exchange_few_rows
 from crashgrid.session import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score does not reject."""
+    exchange_few_rows(spark)
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -20,6 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar texts: that of the smallest doc_id."""
+    exchange_few_rows(spark)
     return minhash.keep_one(docs)
 
 
@@ -30,6 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding: doc_id, lang, source, ids, n_tokens, n_decoded."""
+    exchange_few_rows(spark)
     coded = bpe.encode(docs.select("doc_id", "text", "lang", "source"))
     return bpe.decode(coded).withColumn("n_decoded", F.length("text").cast("long")).drop("text")
 
