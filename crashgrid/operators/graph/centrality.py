@@ -20,7 +20,25 @@ def degree(vertices: DataFrame, edges: DataFrame, incoming_only: bool = False) -
         "id", F.when(F.col("_n") > 1, F.coalesce("_d", F.lit(0)) / (F.col("_n") - 1)).otherwise(1.0).alias("score"))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, alpha=0.85, max_iter=200, tol=1e-9) -> DataFrame:
+def _warm(vertices: DataFrame, links: DataFrame, start: DataFrame, alpha: float) -> DataFrame:
+    """(id, score) to begin with: known ranks brought to the scale of the iteration, 1 for vertices without one.
+
+    Summed over all vertices the fixed point says total = n + alpha * (total less what ends in vertices
+    without out-edges), which gives the scale.
+    """
+    known = vertices.select("id").distinct().join(start.select("id", F.col("score").alias("_rank")), "id", "left")
+    flows = links.select("id").distinct().withColumn("_out", F.lit(True))
+    known = cut(known.join(flows, "id", "left"))
+    n, total, onward = known.agg(
+        F.count("*"), F.coalesce(F.sum("_rank"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("_out"), F.col("_rank"))), F.lit(0.0))).first()
+    scale = n / (total - alpha * onward) if total else 0.0
+    return cut(known.select("id", F.coalesce(F.col("_rank") * scale, F.lit(1.0)).alias("score")))
+
+
+def pagerank(
+    vertices: DataFrame, edges: DataFrame, alpha=0.85, max_iter=200, tol=1e-9,
+    start: DataFrame | None = None, changes: list[float] | None = None,
+) -> DataFrame:
     """Rank with uniform teleport, the mass of vertices without out-edges spread evenly.
 
     Iterates y = 1 + alpha * (inflow of y) and divides by the total at the end, which is the same
@@ -28,13 +46,19 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha=0.85, max_iter=200, to
     ``tol`` of the total, whatever the number of vertices; not getting there is an error.
     Contributions are summed map-side per target, so hub targets do not skew; hub sources are met by
     a broadcast of their few ranks.  The table of a round goes once the next one stands.
+
+    With ``start``, ranks (id, score) of an earlier state of the graph, the loop begins there: it ends at
+    the same ranks, sooner the less has changed.  ``changes`` collects the relative change of each round.
     """
     weights = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")))
     out = weights.groupBy("src").agg(F.sum("w").alias("out"))
     shares = weights.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p"))
     links = cut(shares.join(F.broadcast(hot_keys(weights, "src").withColumn("_mark", F.lit(True))), "src", "left").select(
         F.col("src").alias("id"), "dst", "p", F.col("_mark").isNotNull().alias("_hot")))
-    state = cut(vertices.select("id").distinct().withColumn("score", F.lit(1.0)))
+    if start is None:
+        state = cut(vertices.select("id").distinct().withColumn("score", F.lit(1.0)))
+    else:
+        state = _warm(vertices, links, start, alpha)
     if state.isEmpty():
         return state
     for _ in range(max_iter):
@@ -45,6 +69,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha=0.85, max_iter=200, to
         total, change = step.agg(F.sum("score"), F.sum(F.abs(F.col("score") - F.col("_old")))).first()
         drop_cut(state)
         state = step
+        if changes is not None:
+            changes.append(change / total)
         if change <= tol * total:
             drop_cut(weights, links)
             return state.select("id", (F.col("score") / F.lit(total)).alias("score"))

@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from crashgrid.plans import check_sql as cs
 from crashgrid.plans import profiles as pf
+from crashgrid.operators.graph.centrality import pagerank
+from crashgrid.operators.graph.components import components
+from crashgrid.plans.graph_queries import HUBS, PAGERANK, stored
 from crashgrid.plans.registry import query
 from crashgrid.plans.text_queries import FIELDS
 from crashgrid.session import scratch_path
@@ -52,6 +55,41 @@ def _(t):
     return row.select("last_accident_id", data.alias("d")).select("last_accident_id", "d.*")
 
 
+def _grown(t):
+    """(vertices, edges, early edges, later edges): reports of seven of eight ids come first, the rest is appended."""
+    v, e = stored(t)
+    late = F.pmod(F.xxhash64("src"), F.lit(8)) == 0
+    return v, e, e.filter(~late), e.filter(late)
+
+
+@query("str_02_components_after_append", "SELECT size, count(*) AS components FROM comp GROUP BY 1", ctes=HUBS)
+def _(t):
+    v, _e, early, later = _grown(t)
+    known = components(v.join(early.select(F.col("src").alias("id")).union(early.select("dst")).distinct(), "id", "left_semi"), early)
+    sizes = rf.components_after(known, v, later).groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("components"))
+
+
+@query("str_02_pagerank_after_append", "SELECT id, round(s, 9) AS score FROM pr", ctes=PAGERANK)
+def _(t):
+    v, e, early, _later = _grown(t)
+    before = pagerank(v.join(early.select(F.col("src").alias("id")).union(early.select("dst")).distinct(), "id", "left_semi"), early)
+    return pagerank(v, e, start=before).withColumn("score", F.round("score", 9))
+
+
+@query("str_02_graph_reports",
+       "SELECT max(id) AS last_accident_id, (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges,"
+       " (SELECT count(*) FROM comp) AS num_connected_components FROM accidents", ctes=HUBS)
+def _(t):
+    """The summary of the graph is made once and then read from the cache."""
+    root = scratch_path(t.spark, "graph-reports")
+    for build in (lambda: stored(t), lambda: 1 / 0):  # the second call must not build the graph
+        row = rf.cached_graph_report(t.spark, root, "summary", t.acc.select("id"), build)
+    body = F.from_json("data", "rows string")["rows"]
+    lines = F.from_json(body, "array<struct<total_nodes: bigint, total_edges: bigint, num_connected_components: bigint>>")
+    return row.select("last_accident_id", F.explode(lines).alias("l")).select("last_accident_id", "l.*")
+
+
 @query("str_03_additive_counts",
        "SELECT 'severity' AS kind, severity AS label, count(*) AS count FROM accidents GROUP BY 2 UNION ALL"
        " SELECT 'hour', CAST(hour(incident_date) AS VARCHAR), count(*) FROM accidents WHERE incident_date IS NOT NULL GROUP BY 2 UNION ALL"

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crashgrid.functions.bands import month_key
+from crashgrid.operators.graph.components import linked_components
+from crashgrid.session import cut
 from crashgrid.sources.maintenance import current, publish, upsert
 from crashgrid.streaming.state import counted, read_counts, store_counts
 
@@ -52,6 +54,45 @@ def refresh_stored(spark, root: str, acc, analysis_type, identifier, compute, fo
     return current(spark, root).filter(key)
 
 
+def graph_report(kind: str, vertices: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
+    """A graph analysis as one row for the report cache: ``rows`` (JSON) of a summary or of the first ``top`` lines."""
+    from crashgrid.operators.graph.centrality import centrality_report, pagerank, top_nodes
+    from crashgrid.operators.graph.communities import community_report
+    from crashgrid.operators.graph.components import graph_summary
+    from crashgrid.operators.graph.hotspots import hotspots, risk_scores
+
+    makers = {
+        "summary": lambda: graph_summary(vertices, edges),
+        "centrality": lambda: centrality_report(vertices, edges, top),
+        "communities": lambda: community_report(vertices, edges).limit(top),
+        "hotspots": lambda: hotspots(vertices, edges, top),
+        "risk": lambda: risk_scores(vertices, edges, top),
+        "pagerank": lambda: top_nodes(pagerank(vertices, edges), vertices, top),
+    }
+    lines = makers[kind]()
+    return lines.agg(F.to_json(F.collect_list(F.struct(*lines.columns))).alias("rows"))
+
+
+def cached_graph_report(spark, root: str, kind: str, acc: DataFrame, graph: Callable[[], tuple[DataFrame, DataFrame]], force: bool = False) -> DataFrame:
+    """The stored report of a graph analysis; the graph is built and analysed again only after new records."""
+    return refresh_stored(spark, root, acc, f"graph_{kind}", "all", lambda: graph_report(kind, *graph()), force)
+
+
+def components_after(known: DataFrame, vertices: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """(id, component) after new vertices and edges, from the stored (id, component) before them.
+
+    Each new edge links two stored components (a new vertex is its own), and only these links are
+    contracted; rows of components that no new edge joins keep their value.  The smallest id of merged
+    components names them, as in a full run.
+    """
+    added = vertices.select("id").distinct().join(known.select("id"), "id", "left_anti").withColumn("component", F.col("id"))
+    stars = cut(known.select("id", "component").unionByName(added))
+    ends = new_edges.filter("src <> dst").select("src", "dst").distinct()
+    named = ends.join(stars.toDF("src", "a"), "src").join(stars.toDF("dst", "b"), "dst").filter("a <> b").select("a", "b").distinct()
+    merged = linked_components(cut(named)).toDF("component", "_into")
+    return stars.join(merged, "component", "left").select("id", F.coalesce("_into", "component").alias("component"))
+
+
 def _kinds(acc: DataFrame) -> DataFrame:
     """(kind, label, incident_date) of every record: severity, hour, month, month and severity."""
     date = F.col("incident_date")
