@@ -5,6 +5,11 @@ MATCHES of COORDINATES coordinates must share one of the COORDINATES - MATCHES +
 each (prefix filter), so only those are joined; unique pairs never join anything.  Documents joined
 that way are compared cell by cell: agreeing coordinates are counted, pairs already connected are
 skipped, and the rest is confirmed on the full sets.
+
+A text that very many documents share, such as the footer of a site, gives them common coordinates
+without making them similar.  Where more documents are joined than a block holds, they are joined once
+more by their rarest shingles under the bounds of size and place that a similarity of 3/4 sets
+(``refine``); only documents that meet there too are compared.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ MATCHES = 28
 # A cell holds two blocks at most; blocks have about so many documents and shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 HELD = 150_000
+# Sizes of one band differ by this factor at most; rows of shingles leave a task so many at a time.
+BAND, SHINGLE_ROWS = 1.05, 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -150,11 +157,77 @@ def prefixes(classes: DataFrame) -> DataFrame:
     return stored
 
 
+def with_text(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """The members (id, _text_hash and more) with their ``text``; equal rows of ``docs`` each give one."""
+    text = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
+    return members.join(text, F.col("id.doc_id").eqNullSafe(text["_doc"]) & (members["_text_hash"] == text["_hash"])).drop("_doc", "_hash")
+
+
+def large_components(members: DataFrame) -> DataFrame:
+    """(component, blocks) of the components that one block does not hold."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    return cut(members.groupBy("component").agg(blocks.alias("blocks")).filter("blocks > 1"))
+
+
+def shared_shingles(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, n, shared): set size of a member and those of its shingles that others have too, rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for b in batches:
+            for i in range(b.num_rows):
+                found = shingle_set(b.column("text")[i].as_py(), hashes).view(np.int64)
+                for k in range(0, len(found), SHINGLE_ROWS):
+                    part = pa.array(found[k:k + SHINGLE_ROWS])
+                    at = pa.array(np.full(len(part), i))
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("n_shingles").take(at), part], names=["id", "n", "shingle"])
+
+    kind = members.schema["id"].dataType.simpleString()
+    texts = with_text(members, docs).select("id", "n_shingles", "text")
+    rows = cut(texts.mapInArrow(lean(run), f"id {kind}, n long, shingle long"))
+    often = cut(rows.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1"))
+    shared = F.sort_array(F.collect_set(F.struct("often", "shingle"))).alias("shared")
+    result = cut(rows.join(often, "shingle").groupBy("id", "n").agg(shared))
+    drop_cut(rows, often)
+    return result
+
+
+def refine(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, component): components of the members that may be similar, by their rarest shingles.
+
+    Sets of n and m shingles with a similarity of 3/4 have 3/7 (n + m) in common.  With the shingles of
+    all sets in one order, rarest first, the first common one has at least as many from its place on in
+    both.  So a set is posted, for each band of sizes that a similar set may have, under the shingles
+    early enough for the smallest size of the band.  What no other set has takes the first places and
+    is not posted: sets that share less than they need, however many they are, meet nowhere.  Members of
+    one band are linked with the smallest of them, those of two bands with the smallest of the other band.
+    """
+    sets = shared_shingles(members, docs)
+
+    def band(n):
+        return F.floor(F.log(n) / F.log(F.lit(BAND))).cast("int")
+
+    n, smallest = F.col("n"), F.floor(F.pow(F.lit(BAND), "other") * (1 - 1e-9))
+    wide = sets.select("*", band(n).alias("own"), F.explode(F.sequence(band(F.ceil(n * 3 / 4)), band(F.floor(n * 4 / 3)))).alias("other"))
+    need = F.floor((3 * (n + smallest) + 6) / 7)
+    early = F.greatest(F.size("shared") - need + 1, F.lit(0)).cast("int")
+    posted = cut(wide.select("id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("upper"),
+                             F.explode(F.slice("shared", F.lit(1), early)["shingle"]).alias("shingle")))
+    heads = cut(posted.groupBy("shingle", "x", "y").agg(
+        F.min(F.when(~F.col("upper"), F.col("id"))).alias("low"), F.min(F.when(F.col("upper"), F.col("id"))).alias("high"), F.count("*").alias("sets"))
+        .filter("sets > 1 AND (x = y OR low IS NOT NULL AND high IS NOT NULL)").drop("sets"))
+    head = F.when(F.col("upper") | (F.col("x") == F.col("y")), F.col("low")).otherwise(F.col("high"))
+    touching = posted.join(heads, ["shingle", "x", "y"]).select(F.col("id").alias("a"), head.alias("b")).filter("a <> b").distinct()
+    closer = cut(linked_components(touching))
+    drop_cut(sets, posted, heads)
+    return closer
+
+
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): links that connect all classes (id, n_shingles, _text_hash, _pairs) that similar pairs connect.
 
     Classes that share a posted pair form candidate components, found with one link from each class
-    to the smallest of the pair.  A component is cut into blocks of bounded size, every two of them
+    to the smallest of the pair; those too large for a block are refined by their shingles.  A component is cut into blocks of bounded size, every two of them
     make a cell, and each cell is one group: bounded memory, at most one link a member as output.
     Only texts of candidate classes reach the cells.
     """
@@ -165,11 +238,14 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     drop_cut(posted, heads)
     members = cut(parts.join(classes.select("id", "n_shingles", "_text_hash", "_pairs"), "id"))
     drop_cut(parts)
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    large = cut(members.groupBy("component").agg(blocks.alias("blocks")).filter("blocks > 1"))
-    text = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
-    keyed = members.withColumns({"_doc": F.col("id.doc_id"), "_hash": F.col("_text_hash")})
-    found = keyed.join(text, keyed["_doc"].eqNullSafe(text["_doc"]) & (keyed["_hash"] == text["_hash"])).select("id", "component", "_pairs", "text")
+    large = large_components(members)
+    if not large.isEmpty():
+        closer = cut(refine(members.join(large, "component", "left_semi"), docs))
+        rest = members.join(large, "component", "left_anti")
+        again = cut(rest.unionByName(members.drop("component").join(closer, "id")))
+        drop_cut(members, large, closer)
+        members, large = again, large_components(again)
+    found = with_text(members, docs).select("id", "component", "_pairs", "text")
     dealt = found.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

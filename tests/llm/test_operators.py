@@ -253,6 +253,23 @@ def test_near_duplicates_equal_brute_force(spark, seed, rows, monkeypatch):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def footer_texts(n, own, footer):
+    """Texts of their own words with a common end; and copies of every 500th with one word changed."""
+    texts = [" ".join([f"w{i}x{j}" for j in range(own)] + [f"f{j}" for j in range(footer)]) for i in range(n)]
+    return texts + [t.replace(f"x{own // 2} ", "changed ") for t in texts[::500]]
+
+
+def test_texts_with_a_common_footer_meet_nowhere_unless_similar(spark):
+    texts = footer_texts(3000, 80, 150)
+    df = docs(spark, texts)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert got == {**{i: i for i in range(3000)}, **{3000 + k: 500 * k for k in range(6)}}
+    rows = minhash.sketch(df.withColumn("_row", F.col("doc_id")))
+    members = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("id"), "n_shingles", "_text_hash")
+    closer = {r.id.doc_id: r.component.doc_id for r in minhash.refine(members, df).collect()}
+    assert closer == {**{500 * k: 500 * k for k in range(6)}, **{3000 + k: 500 * k for k in range(6)}}
+
+
 def test_near_duplicates_of_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "A B C D E F"), (3, None), (3, None)], "doc_id long, text string")
     assert sorted(r.component_id for r in minhash.near_duplicates(df).collect()) == [1, 1, 1, 3, 3]
