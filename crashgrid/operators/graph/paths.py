@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from crashgrid.operators.graph.components import undirected
-from crashgrid.session import cut
+from crashgrid.session import cut, drop_cut
+
+PATH = "a string, path array<string>"
 
 
 @dataclass
@@ -19,49 +21,84 @@ class PathResult:
     path: list[str] | None = None
 
 
-def distances(links: DataFrame, source: str, stop_at: str | None = None, max_hops: int | None = None):
-    """Level frames (id, parent) by hops from ``source``; parent is the smallest on ties."""
-    spark = links.sparkSession
-    level = spark.createDataFrame([(source, None)], "id string, parent string")
-    levels, seen = [level], level.select("id")
-    while max_hops is None or len(levels) <= max_hops:
-        reached = links.join(level.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
-        level = cut(reached.join(seen, "id", "left_anti"))
+def _start(links: DataFrame, node: str) -> DataFrame:
+    return links.sparkSession.createDataFrame([(node,)], "id string")
+
+
+def next_level(links: DataFrame, level: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Vertices (id) one hop beyond ``level``.
+
+    A neighbour of a level lies in it, in the one before or in the next, so these two are all that
+    has to be left out: the plan has the same size at every depth.
+    """
+    reached = links.join(level.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(level, "id", "left_anti")
+    return cut(reached.join(before, "id", "left_anti") if before is not None else reached)
+
+
+def distances(links: DataFrame, source: str, max_hops: int) -> DataFrame:
+    """(id, hops) of all vertices at most ``max_hops`` from ``source``."""
+    levels = [_start(links, source)]
+    while len(levels) <= max_hops:
+        level = next_level(links, levels[-1], levels[-2] if len(levels) > 1 else None)
         if level.isEmpty():
-            return levels
+            break
         levels.append(level)
-        seen = seen.unionByName(level.select("id"))
-        if stop_at is not None and not level.filter(F.col("id") == stop_at).isEmpty():
-            return levels
-    return levels
+    found = levels[0].withColumn("hops", F.lit(0))
+    for hops, level in enumerate(levels[1:], 1):
+        found = found.unionByName(level.withColumn("hops", F.lit(hops)))
+    table = cut(found)
+    drop_cut(*levels)
+    return table
 
 
 def shortest_path(vertices: DataFrame, edges: DataFrame, a: str, b: str, links: DataFrame | None = None) -> PathResult:
-    """Breadth-first search from ``a``; stops at the level that reaches ``b``."""
+    """The shortest path of ``a`` and ``b`` that is the smallest by node ids.
+
+    Both ends are searched at once: the smaller of the two outer levels grows, until they meet.  Of the
+    levels of ``a`` those vertices are kept that lead to a meeting point, and the path is read off,
+    one row a hop.
+    """
     present = {r[0] for r in vertices.filter(F.col("id").isin(a, b)).select("id").distinct().collect()}
     if not {a, b} <= present:
         return PathResult("not_found")
     if a == b:
         return PathResult("connected", 0, [a])
     links = links if links is not None else cut(undirected(edges))
-    levels = distances(links, a, b)
-    node, path = b, [b]
-    hit = levels[-1].filter(F.col("id") == b).first() if len(levels) > 1 else None
-    if hit is None:
-        return PathResult("disconnected")
-    for level in reversed(levels[1:]):
-        node = level.filter(F.col("id") == node).first()["parent"]  # one row per hop
-        path.append(node)
-    return PathResult("connected", len(levels) - 1, path[::-1])
+    sides, sizes = ([_start(links, a)], [_start(links, b)]), [1, 1]
+    while True:
+        k = 0 if sizes[0] <= sizes[1] else 1
+        grown = sides[k]
+        grown.append(next_level(links, grown[-1], grown[-2] if len(grown) > 1 else None))
+        sizes[k] = grown[-1].count()
+        if not sizes[k]:
+            drop_cut(*sides[0], *sides[1])
+            return PathResult("disconnected")
+        meeting = cut(sides[0][-1].join(sides[1][-1], "id", "left_semi"))
+        if not meeting.isEmpty():
+            break
+        drop_cut(meeting)
+    leading = [meeting]  # of a's levels, the outer one first: what lies on a shortest path
+    for level in reversed(sides[0][1:-1]):
+        near = links.join(leading[-1].select(F.col("id").alias("b")), "b").select(F.col("a").alias("id"))
+        leading.append(cut(level.join(near, "id", "left_semi")))
+    ahead = leading[::-1] if len(sides[0]) > 1 else []
+    path = [a]
+    for level in [*ahead, *reversed(sides[1][:-1])]:
+        step = links.filter(F.col("a") == path[-1]).select(F.col("b").alias("id")).join(level, "id", "left_semi")
+        path.append(step.agg(F.min("id")).first()[0])
+    drop_cut(*sides[0], *sides[1], *leading)
+    return PathResult("connected", len(path) - 1, path)
 
 
 def simple_paths(vertices: DataFrame, edges: DataFrame, a: str, b: str, slack: int = 2, cap: int = 10):
     """First ``cap`` simple paths of at most shortest + slack hops, by length then by node ids.
 
-    Paths of one length are grown hop by hop in id order and pruned by their distance
-    to ``b``.  Only the smallest partial paths of a hop are kept; since no dropped prefix
-    can lead to a smaller path, the result is exact once ``cap`` paths are complete.
-    Where pruning leaves fewer, the search repeats with a wider front until it is exact.
+    Paths of one length are made of two halves that grow from ``a`` and from ``b``, each pruned by the
+    distance to the other end, and join where they share their last vertex and no other.  From ``a``
+    only the smallest halves of each vertex are kept, which Spark ranks before it shuffles; what is
+    larger than a half that was left out is not known to be complete, so the search repeats with more
+    halves a vertex until the paths found lie below all of those.  At most ``cap`` paths of a length
+    reach the driver.
     """
     links = cut(undirected(edges))
     found = shortest_path(vertices, edges, a, b, links)
@@ -72,44 +109,58 @@ def simple_paths(vertices: DataFrame, edges: DataFrame, a: str, b: str, slack: i
     if a == b:
         return spark.createDataFrame([(0, [a])], schema)
     limit = found.length + slack
-    back = distances(links, b, max_hops=limit)
-    left = back[0].select(F.col("id").alias("b"), F.lit(0).alias("left"))
-    for d, level in enumerate(back[1:], 1):
-        left = left.unionByName(level.select(F.col("id").alias("b"), F.lit(d).alias("left")))
-    guided = cut(links.join(left, "b"))  # links (a, b) with the hops left from b to the target
+    guides = [cut(links.join(distances(links, end, limit).select(F.col("id").alias("b"), "hops"), "b")) for end in (a, b)]
     done: list[tuple[int, list[str]]] = []
     for length in range(found.length, limit + 1):
-        if len(done) >= cap:
+        wanted, width = cap - len(done), cap
+        if not wanted:
             break
-        width = 8 * cap
+        back = _halves(guides[0], b, a, length, length // 2)
         while True:
-            paths, exact = _grow(guided, a, b, length, width)
-            if exact or len(paths) >= cap - len(done):
+            paths, bounds = _joined(guides[1], back, a, b, length, width, wanted)
+            if not bounds or len(paths) == wanted and all(paths[-1][: len(p)] < p for p in bounds):
                 break
             width *= 16
-        done += [(length, p) for p in paths[: cap - len(done)]]
+        drop_cut(back)
+        done += [(length, p) for p in paths]
     return spark.createDataFrame(done, schema)
 
 
-def _grow(guided: DataFrame, a: str, b: str, length: int, width: int):
-    """Smallest simple paths of exactly ``length`` hops, and whether none was cut off."""
-    spark = guided.sparkSession
-    front = spark.createDataFrame([(a, [a])], "a string, path array<string>")
-    exact = True
-    for hop in range(1, length + 1):
-        remaining = length - hop
-        grown = guided.join(front, "a").filter(
-            (F.col("left") <= remaining) & ~F.expr("array_contains(path, b)")
-            & ((F.col("b") != b) if remaining else F.lit(True)))
-        grown = grown.select(F.col("b").alias("a"), F.concat("path", F.array("b")).alias("path"))
-        front = cut(grown.orderBy("path").limit(width + 1))
-        size = front.count()
-        if size > width:
-            exact = False
-            front = front.orderBy("path").limit(width)
-        if not size:
-            return [], exact
-    return [r["path"] for r in front.orderBy("path").limit(10 * width).collect()][:width], exact
+def _grow(guide: DataFrame, front: DataFrame, end: str, remaining: int) -> DataFrame:
+    """Halves (a, path) one hop longer, of those that can still reach ``end`` in the remaining hops."""
+    onward = guide.filter((F.col("hops") <= remaining) & ((F.col("b") != end) if remaining else F.lit(True)))
+    grown = onward.join(front, "a").filter(~F.expr("array_contains(path, b)"))
+    return grown.select(F.col("b").alias("a"), F.concat("path", F.array("b")).alias("path"))
+
+
+def _halves(guide: DataFrame, start: str, end: str, length: int, hops: int) -> DataFrame:
+    """All simple paths (a, path) of so many hops from ``start`` that may be part of one of ``length`` to ``end``."""
+    front = guide.sparkSession.createDataFrame([(start, [start])], PATH)
+    for hop in range(1, hops + 1):
+        longer = cut(_grow(guide, front, end, length - hop))
+        drop_cut(front)
+        front = longer
+    return front
+
+
+def _joined(guide: DataFrame, back: DataFrame, a: str, b: str, length: int, width: int, wanted: int):
+    """The smallest paths of ``length`` hops made of kept halves, and per hop the smallest half left out."""
+    front, bounds = guide.sparkSession.createDataFrame([(a, [a])], PATH), []
+    ranked = F.row_number().over(Window.partitionBy("a").orderBy("path"))
+    for hop in range(1, length - length // 2 + 1):
+        grown = cut(_grow(guide, front, b, length - hop).withColumn("place", ranked).filter(F.col("place") <= width + 1))
+        drop_cut(front)
+        least = grown.filter(F.col("place") > width).agg(F.min("path")).first()[0]
+        if least is not None:
+            bounds.append(least)
+        front = grown.filter(F.col("place") <= width).drop("place")
+        front._scratch = grown._scratch
+    rest = back.select("a", F.reverse("path").alias("rest"))
+    whole = front.join(rest, "a").filter(F.size(F.array_intersect("path", "rest")) == 1)
+    whole = whole.select(F.concat("path", F.slice("rest", 2, length)).alias("path"))
+    paths = [r["path"] for r in whole.orderBy("path").limit(wanted).collect()]
+    drop_cut(front)
+    return paths, bounds
 
 
 def enrich_path(paths: DataFrame, vertices: DataFrame) -> DataFrame:
