@@ -34,7 +34,7 @@ MATCHES = 28
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 HELD = 150_000
 # Sizes of one band differ by this factor at most; rows of shingles leave a task so many at a time.
-BAND, SHINGLE_ROWS = 1.05, 1 << 16
+BAND, SHINGLE_ROWS = 1.1, 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -170,30 +170,28 @@ def large_components(members: DataFrame) -> DataFrame:
 
 
 def shared_shingles(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, n, shared): set size of a member and those of its shingles that others have too, rarest first."""
+    """(row, shared): those of a member's shingles that others have too, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for b in batches:
-            for i in range(b.num_rows):
-                found = shingle_set(b.column("text")[i].as_py(), hashes).view(np.int64)
+            for row, text in zip(b.column("row"), b.column("text")):
+                found = shingle_set(text.as_py(), hashes).view(np.int64)
                 for k in range(0, len(found), SHINGLE_ROWS):
-                    part = pa.array(found[k:k + SHINGLE_ROWS])
-                    at = pa.array(np.full(len(part), i))
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("n_shingles").take(at), part], names=["id", "n", "shingle"])
+                    part = found[k:k + SHINGLE_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row.as_py())), pa.array(part)], names=["row", "shingle"])
 
-    kind = members.schema["id"].dataType.simpleString()
-    texts = with_text(members, docs).select("id", "n_shingles", "text")
-    rows = cut(texts.mapInArrow(lean(run), f"id {kind}, n long, shingle long"))
+    texts = with_text(members, docs).select(F.col("id._row").alias("row"), "text")
+    rows = cut(texts.mapInArrow(lean(run), "row long, shingle long"))
     often = cut(rows.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1"))
-    shared = F.sort_array(F.collect_set(F.struct("often", "shingle"))).alias("shared")
-    result = cut(rows.join(often, "shingle").groupBy("id", "n").agg(shared))
+    shared = F.sort_array(F.collect_set(F.struct("often", "shingle")))["shingle"].alias("shared")
+    result = cut(rows.join(often, "shingle").groupBy("row").agg(shared))
     drop_cut(rows, often)
     return result
 
 
 def refine(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, component): components of the members that may be similar, by their rarest shingles.
+    """(row, component): components of the members that may be similar, by their rarest shingles.
 
     Sets of n and m shingles with a similarity of 3/4 have 3/7 (n + m) in common.  With the shingles of
     all sets in one order, rarest first, the first common one has at least as many from its place on in
@@ -201,8 +199,10 @@ def refine(members: DataFrame, docs: DataFrame) -> DataFrame:
     early enough for the smallest size of the band.  What no other set has takes the first places and
     is not posted: sets that share less than they need, however many they are, meet nowhere.  Members of
     one band are linked with the smallest of them, those of two bands with the smallest of the other band.
+    Members go by the row of their id, postings by a hash of shingle and bands, so that little is moved.
     """
-    sets = shared_shingles(members, docs)
+    shared = shared_shingles(members, docs)
+    sets = shared.join(members.select(F.col("id._row").alias("row"), F.col("n_shingles").alias("n")), "row")
 
     def band(n):
         return F.floor(F.log(n) / F.log(F.lit(BAND))).cast("int")
@@ -211,15 +211,16 @@ def refine(members: DataFrame, docs: DataFrame) -> DataFrame:
     wide = sets.select("*", band(n).alias("own"), F.explode(F.sequence(band(F.ceil(n * 3 / 4)), band(F.floor(n * 4 / 3)))).alias("other"))
     need = F.floor((3 * (n + smallest) + 6) / 7)
     early = F.greatest(F.size("shared") - need + 1, F.lit(0)).cast("int")
-    posted = cut(wide.select("id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("upper"),
-                             F.explode(F.slice("shared", F.lit(1), early)["shingle"]).alias("shingle")))
-    heads = cut(posted.groupBy("shingle", "x", "y").agg(
-        F.min(F.when(~F.col("upper"), F.col("id"))).alias("low"), F.min(F.when(F.col("upper"), F.col("id"))).alias("high"), F.count("*").alias("sets"))
-        .filter("sets > 1 AND (x = y OR low IS NOT NULL AND high IS NOT NULL)").drop("sets"))
-    head = F.when(F.col("upper") | (F.col("x") == F.col("y")), F.col("low")).otherwise(F.col("high"))
-    touching = posted.join(heads, ["shingle", "x", "y"]).select(F.col("id").alias("a"), head.alias("b")).filter("a <> b").distinct()
-    closer = cut(linked_components(touching))
-    drop_cut(sets, posted, heads)
+    side = F.signum(F.col("own") - F.col("other")).cast("int").alias("side")
+    spread = wide.select("row", "own", "other", side, F.explode(F.slice("shared", F.lit(1), early)).alias("shingle"))
+    posted = cut(spread.select("row", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "side"))
+    firsts = [F.min(F.when(F.col("side") == k, F.col("row"))).alias(c) for k, c in ((-1, "low"), (0, "same"), (1, "high"))]
+    heads = cut(posted.groupBy("key").agg(*firsts, F.count("*").alias("sets"))
+                .filter("sets > 1 AND (same IS NOT NULL OR low IS NOT NULL AND high IS NOT NULL)").drop("sets"))
+    head = F.when(F.col("side") == 0, F.col("same")).when(F.col("side") == 1, F.col("low")).otherwise(F.col("high"))
+    touching = posted.join(heads, "key").select(F.col("row").alias("a"), head.alias("b")).filter("a <> b").distinct()
+    closer = linked_components(touching).withColumnRenamed("id", "row")
+    drop_cut(shared, posted, heads)
     return closer
 
 
@@ -241,8 +242,9 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     large = large_components(members)
     if not large.isEmpty():
         closer = cut(refine(members.join(large, "component", "left_semi"), docs))
-        rest = members.join(large, "component", "left_anti")
-        again = cut(rest.unionByName(members.drop("component").join(closer, "id")))
+        rest = members.join(large, "component", "left_anti").withColumn("component", F.col("component._row"))
+        near = members.drop("component").join(closer, F.col("id._row") == closer["row"]).drop("row")
+        again = cut(rest.unionByName(near))
         drop_cut(members, large, closer)
         members, large = again, large_components(again)
     found = with_text(members, docs).select("id", "component", "_pairs", "text")

@@ -266,7 +266,7 @@ def test_texts_with_a_common_footer_meet_nowhere_unless_similar(spark):
     assert got == {**{i: i for i in range(3000)}, **{3000 + k: 500 * k for k in range(6)}}
     rows = minhash.sketch(df.withColumn("_row", F.col("doc_id")))
     members = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("id"), "n_shingles", "_text_hash")
-    closer = {r.id.doc_id: r.component.doc_id for r in minhash.refine(members, df).collect()}
+    closer = {r.row: r.component for r in minhash.refine(members, df).collect()}
     assert closer == {**{500 * k: 500 * k for k in range(6)}, **{3000 + k: 500 * k for k in range(6)}}
 
 
