@@ -35,6 +35,8 @@ BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 HELD = 150_000
 # Sizes of one band differ by this factor at most; rows of shingles leave a task so many at a time.
 BAND, SHINGLE_ROWS = 1.1, 1 << 16
+# Words of 64 bits that tell before a shuffle which texts may be asked for; so many rows are broadcast at most.
+FILTER_WORDS = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -157,9 +159,31 @@ def prefixes(classes: DataFrame) -> DataFrame:
     return stored
 
 
+def may_be_asked_for(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (_doc, _hash, text) without most of those that no member (id, _text_hash) asks for.
+
+    Members set one bit each in FILTER_WORDS words.  Words with a bit are broadcast, so their number bounds
+    it, and a text whose bit is not set stays where it is.  The more members, the more texts pass in vain;
+    none that is asked for is lost.
+    """
+
+    def place(*columns):
+        bit = F.pmod(F.xxhash64(*columns), F.lit(64 * FILTER_WORDS))
+        return F.floor(bit / 64).cast("int").alias("_word"), (bit % 64).cast("int").alias("_bit")
+
+    one = F.expr("shiftleft(1L, _bit)")
+    words = members.select(*place("id.doc_id", "_text_hash")).groupBy("_word").agg(F.bit_or(one).alias("_bits"))
+    placed = texts.select("*", *place("_doc", "_hash"))
+    return placed.join(F.broadcast(words), "_word").filter(F.getbit("_bits", F.col("_bit")) == 1).drop("_word", "_bit", "_bits")
+
+
 def with_text(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """The members (id, _text_hash and more) with their ``text``; equal rows of ``docs`` each give one."""
+    """The members (id, _text_hash and more) with their ``text``; equal rows of ``docs`` each give one.
+
+    Texts that no member asks for are mostly dropped before the shuffle.
+    """
     text = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
+    text = may_be_asked_for(text, members)
     return members.join(text, F.col("id.doc_id").eqNullSafe(text["_doc"]) & (members["_text_hash"] == text["_hash"])).drop("_doc", "_hash")
 
 

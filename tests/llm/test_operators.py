@@ -270,6 +270,16 @@ def test_texts_with_a_common_footer_meet_nowhere_unless_similar(spark):
     assert closer == {**{500 * k: 500 * k for k in range(6)}, **{3000 + k: 500 * k for k in range(6)}}
 
 
+def test_texts_no_member_asks_for_are_dropped_before_the_shuffle(spark):
+    docs = spark.createDataFrame([(i if i % 97 else None, f"text {i}" if i % 89 else None) for i in range(3000)], "doc_id long, text string")
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
+    asked = texts.limit(200).select(F.struct(F.col("_doc").alias("doc_id")).alias("id"), F.col("_hash").alias("_text_hash"))
+    passed = {(r._doc, r.text) for r in minhash.may_be_asked_for(texts, asked).collect()}
+    wanted = {(r.id.doc_id, r.text) for r in minhash.with_text(asked, docs).collect()}
+    assert len(wanted) == 200 and wanted <= passed and len(passed) < 210
+    assert minhash.with_text(asked.limit(0), docs).count() == 0
+
+
 def test_near_duplicates_of_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "A B C D E F"), (3, None), (3, None)], "doc_id long, text string")
     assert sorted(r.component_id for r in minhash.near_duplicates(df).collect()) == [1, 1, 1, 3, 3]
