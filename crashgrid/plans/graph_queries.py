@@ -12,6 +12,7 @@ from crashgrid.operators.graph import components as cp
 from crashgrid.operators.graph import hotspots as hs
 from crashgrid.operators.graph import paths as pt
 from crashgrid.operators.graph import relations as rl
+from crashgrid.operators.graph import sampled as sa
 from crashgrid.operators.graph import similar as sm
 from crashgrid.plans.registry import query
 from crashgrid.plans.text_queries import FIELDS
@@ -191,6 +192,11 @@ def _(t):
     return ce.betweenness(*stored(t)).withColumn("score", F.round("score", 9))
 
 
+@query("g_05_sampled_betweenness")
+def _(t):
+    return sa.sampled_betweenness(*stored(t), epsilon=0.05)
+
+
 @query("g_06_centrality_report")
 def _(t):
     return ce.centrality_report(*stored(t))

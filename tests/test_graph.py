@@ -8,7 +8,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from crashgrid.operators.graph import build, centrality, communities, components, hotspots, paths, relations
+from crashgrid.operators.graph import build, centrality, communities, components, hotspots, paths, relations, sampled
 
 
 def scores(df):
@@ -88,6 +88,38 @@ def test_betweenness_random_bipartite(spark, seed):
         assert got[k] == pytest.approx(want[k], abs=1e-12), k
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sampled_betweenness_within_its_error(spark, seed):
+    rng = random.Random(seed)
+    hubs, firs = [f"h{i}" for i in range(6)], [f"f{i}" for i in range(25)]
+    edges = [(f, h) for f in firs for h in rng.sample(hubs, rng.randint(1, 3))]
+    edges += [(f, f + "x") for f in firs if rng.random() < 0.4] + [("y1", "y2"), ("y2", "y3")]
+    nodes = sorted({x for e in edges for x in e} | set(hubs) | {"alone"})
+    used = []
+    got = scores(sampled.sampled_betweenness(*frames(spark, nodes, edges), epsilon=0.05, used=used))
+    want = brute_betweenness(nodes, edges)
+    assert got.keys() == want.keys() and used == sorted(used)
+    assert max(abs(got[k] - want[k]) for k in want) <= 0.05
+
+
+@pytest.mark.parametrize("name", ["path", "star", "cycle", "twins", "pair"])
+def test_sampled_betweenness_small(spark, name):
+    nodes, edges = GRAPHS[name]
+    got = scores(sampled.sampled_betweenness(*frames(spark, nodes, edges), epsilon=0.1))
+    want = brute_betweenness(list(nodes), edges)
+    assert got.keys() == want.keys()
+    # trees fold whole and are exact
+    error = 1e-12 if name in ("path", "star", "pair") else 0.1
+    assert max(abs(got[k] - want[k]) for k in want) <= error
+
+
+def test_sample_ends_where_a_bound_that_needs_no_variance_holds():
+    sizes, log = sampled.sample_sizes(1000, 1.0, 0.01, 0.1)
+    assert all(b <= 2 * a for a, b in zip(sizes, sizes[1:])) and len(sizes) < sampled.ROUNDS
+    assert sampled.error_bound(0.0, sizes[0], log) <= 0.01
+    assert 1000 * 2 * 2.718281828 ** (-2 * sizes[-1] * 0.01 ** 2) <= 0.05 * 1.0001
+
+
 def test_sample_structure(sample_graph):
     v, e = sample_graph
     r = components.graph_summary(v, e).first()
