@@ -13,10 +13,14 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def components(vertices: DataFrame, edges: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(id, component): the smallest vertex id of each connected component."""
+def components(vertices: DataFrame, edges: DataFrame, links: DataFrame | None = None, copies: bool = False) -> DataFrame:
+    """(id, component): the smallest vertex id of each connected component.
+
+    Vertex rows that share an id give one row, with ``copies`` as many as they are.
+    """
     known = linked_components(links if links is not None else edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    joined = vertices.select("id").distinct().join(known, "id", "left")
+    ids = vertices.select("id")
+    joined = (ids if copies else ids.distinct()).join(known, "id", "left")
     return cut(joined.select("id", F.coalesce("component", "id").alias("component")))
 
 
@@ -80,6 +84,6 @@ def graph_summary(vertices: DataFrame, edges: DataFrame, with_components: bool =
         "density": F.when(size > 1, F.round(count / (size * (size - 1)), 6)).otherwise(0.0),
     })
     if with_components:
-        parts = components(vertices, edges).agg(F.count_distinct("component").alias("num_connected_components"))
+        parts = components(vertices, edges, copies=True).agg(F.count_distinct("component").alias("num_connected_components"))
         row = row.crossJoin(parts).withColumn("is_connected", F.col("num_connected_components") == 1)
     return row
