@@ -572,7 +572,7 @@ def _(t):
 @query("win_05_first_victim",
        "SELECT accident_id, id, age FROM (SELECT *, row_number() OVER (PARTITION BY accident_id ORDER BY id) AS rn FROM victims) WHERE rn = 1")
 def _(t):
-    return rk.keep_first(t.vic.select("accident_id", "id", "age"), "accident_id", "id")
+    return rk.keep_first(t.vic.select("accident_id", "id", "age"), "accident_id", "id", "age")
 
 
 @query("win_06_last_write_wins",
