@@ -6,8 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from crashgrid.operators.graph.centrality import _fold_leaves, _merge_twins
-from crashgrid.operators.graph.components import components, undirected
+from crashgrid.operators.graph.centrality import _merge_twins, folded
 from crashgrid.session import cut, drop_cut
 from crashgrid.sources.maintenance import number_rows
 
@@ -121,17 +120,15 @@ def sampled_betweenness(
     n = ids.count()
     if n < 3:
         return ids.withColumn("score", F.lit(0.0))
-    links = cut(undirected(edges))
-    comp = components(vertices, edges, links)
-    sizes = comp.join(comp.groupBy("component").agg(F.count("*").alias("total")), "component").select("id", "total")
-    core_links, nodes = _fold_leaves(links, sizes)
+    core_links, nodes = folded(edges)
     tree = (F.col("w") - 1) * (F.col("w") - 1) - F.col("sq") + 2 * (F.col("w") - 1) * (F.col("total") - F.col("w"))
-    folded = nodes.select("id", (tree / ((n - 1.0) * (n - 2.0))).alias("tree"))
+    known = nodes.select("id", (tree / ((n - 1.0) * (n - 2.0))).alias("_tree"))
+    trees = ids.join(known, "id", "left").select("id", F.coalesce("_tree", F.lit(0.0)).alias("tree"))
     classes, qlinks, members = _merge_twins(core_links, nodes)
     classes = cut(classes)
     count = classes.count()
     if not count:
-        return folded.select("id", F.col("tree").alias("score"))
+        return trees.select("id", F.col("tree").alias("score"))
     weighed = members.join(nodes.select("id", F.col("w").cast("long").alias("w")), "id")
     line = cut(number_rows(weighed, "id", w=F.col("w")).select("id", "c", "w", F.col("_at_w").alias("at")))
     ratio, done, totals = n / (n - 2.0), 0, None
@@ -153,4 +150,4 @@ def sampled_betweenness(
             break
     drop_cut(line)
     core = members.join(totals, "c").select("id", (F.col("x") * (ratio / done)).alias("core"))
-    return folded.join(core, "id", "left").select("id", (F.col("tree") + F.coalesce("core", F.lit(0.0))).alias("score"))
+    return trees.join(core, "id", "left").select("id", (F.col("tree") + F.coalesce("core", F.lit(0.0))).alias("score"))

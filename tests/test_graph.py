@@ -322,3 +322,22 @@ def test_community_members_are_whole(spark):
     report = {r["community"]: (r["fir_count"], len(r["firs"] or [])) for r in communities.community_report(vertices, edges, parts).collect()}
     assert {c: n for c, (n, _) in report.items()} == sizes
     assert any(n > listed for n, listed in report.values())  # members that the report alone leaves out
+
+
+def test_components_and_core_match_a_walk(spark):
+    """Chains, loops, mutual edges, leaves of one and of several edges, sources without hubs, ids apart."""
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("d", "p1"), ("d", "p1"), ("d", "p2"), ("e", "h"), ("f", "h"), ("f", "k"), ("g", "k"),
+             ("x", "x"), ("k", "m"), ("q", "d"), ("t", "u"), ("z", "0"), ("z", "g")]
+    ids = sorted({i for p in pairs for i in p} | {"alone"})
+    v = spark.createDataFrame([(i,) for i in ids], "id string")
+    e = spark.createDataFrame([(a, b, "R", None, 1.0) for a, b in pairs], "src string, dst string, rel_type string, role string, weight double")
+    name = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            name[a] = name[b] = min(name[a], name[b])
+    got = components.components(v, e).collect()
+    assert {(r.id, r.component) for r in got} == set(name.items()) and len(got) == len(ids)
+    parts = components.core(e)
+    assert {tuple(r) for r in parts.leaves.collect()} == {("c", "b", 1), ("p1", "d", 2), ("p2", "d", 1), ("m", "k", 1), ("u", "t", 1), ("0", "z", 1)}
+    assert {tuple(r) for r in parts.links.collect()} == {
+        ("a", "b", 1), ("b", "a", 1), ("e", "h", 1), ("f", "h", 1), ("f", "k", 1), ("g", "k", 1), ("q", "d", 1), ("z", "g", 1)}
