@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from crashgrid.operators.graph.components import modularity
-from crashgrid.session import cut
+from crashgrid.operators.graph.components import core, modularity
+from crashgrid.session import cut, drop_cut
 
 # nested shares of a star's candidates that are tried when taking all of them would lose modularity
 SHARES = [1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125]
@@ -21,16 +21,23 @@ def communities(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Modularity therefore never falls, and the loop ends where no pair can be merged with
     a gain, the stopping rule of greedy agglomeration.  Each round shrinks the frames it
     works on.
+
+    Vertices that hang on one source (``core``) join it before the first round: with weights W of all of
+    them and D >= W of the source, both at most m, that gains at least W / m - (2 D W + W W) / (4 m m) > 0.
     """
-    e = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    links = cut(e.groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
+    parts = core(edges)
+    e = parts.links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "w")
+    links = cut(e.groupBy("a", "b").agg(F.sum("w").cast("double").alias("w")))
     nodes = vertices.select("id").distinct()
-    m = links.agg(F.sum("w")).first()[0]
+    hung = parts.leaves.groupBy(F.col("at").alias("c")).agg(F.sum("w").cast("double").alias("w"))
+    m = links.select("w").unionByName(hung.select("w")).agg(F.sum("w")).first()[0]
     if not m:
         return nodes.select("id", F.col("id").alias("community"))
     ends = links.select(F.col("a").alias("c"), "w").unionByName(links.select(F.col("b").alias("c"), "w"))
+    ends = ends.unionByName(hung.select("c", (2 * F.col("w")).alias("w")))
     mass = cut(ends.groupBy("c").agg((F.sum("w") / (2 * m)).alias("mass")))
-    moves = []
+    moves = [parts.leaves.select(F.col("id").alias("c"), F.col("at").alias("t"))]
+    drop_cut(parts.hubs, parts.sources, parts.links)
     while not (move := _round(links, mass, m)).isEmpty():
         moves.append(move)
         links, mass = _contract(links, mass, move)
