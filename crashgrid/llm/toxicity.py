@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crashgrid.llm.memory import hand_back, lean
 from crashgrid.llm.registry import QUERIES
-from crashgrid.session import cut
+from crashgrid.session import cut, drop_cut
 
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 20
@@ -114,6 +114,12 @@ class Calibration:
     def probability(self, best: np.ndarray, total: np.ndarray, n: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(best, total, n) @ self.weights, -30, 30)))
 
+    def summed(self, values: np.ndarray, words: int) -> float:
+        """Summed excess of the significant ones among the segment scores of a text of so many words."""
+        n = np.full(len(values), words)
+        good = self.p_value(values, n) < self.significance
+        return float(np.maximum(self.excess(values, n)[good], 0).sum())
+
     def passages(self, scores: np.ndarray) -> tuple[list[tuple[int, int, float, float]], float, float]:
         """((start, end, score, p) of significant segments, best score, summed excess of those)."""
         found = segments(scores)
@@ -177,9 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     Equal texts count once in all, so copies do not outvote the rest.  The texts are split in two
     halves by hash: each is measured with the counts of the other to calibrate, and the final counts
     are those of both.  Of a document's labels the largest holds; null labels and ids are ignored.
-    Rows that repeat a document with the same text are one text, so they are measured once.  A first
-    pass finds the best segments, for the Gumbel law; a second one sums the excess of all significant
-    segments, as scoring does.  The driver holds four arrays of BUCKETS counts and five numbers for each
+    Rows that repeat a document with the same text are one text, so they are measured once.  One pass
+    over the texts stores the scores of their segments: the best ones give the Gumbel law, and then the
+    excess of all significant ones is summed, as in scoring.  The driver holds four arrays of BUCKETS counts and five numbers for each
     labelled text; a document of several texts has all of them.
     """
     usable = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
@@ -227,22 +233,29 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     counts[:, rows["slot"].to_numpy()] = [rows[c].to_numpy() for c in names]
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = [TokenScores(*shared.value[2:]), TokenScores(*shared.value[:2])]
+        for b in batches:
+            n, values = [], []
+            for t, h in zip(b.column("text"), b.column("half").to_pylist()):
+                n.append(len(s := other[h].of(t.as_py())))
+                values.append([v for _, _, v in segments(s)])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("h"), b.column("label"), pa.array(n, pa.int64()), pa.array(values, pa.list_(pa.float64()))], names=["h", "label", "n", "values"])
+
+    stored = cut(chosen.mapInArrow(lean(measure), "h long, label int, n long, values array<double>"))
+
     def measured(cal: Calibration | None = None) -> dict[str, np.ndarray]:
         """h, label, n, best and summed excess (0 before the law is known) of each text, in a fixed order."""
 
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            other = [TokenScores(*shared.value[2:]), TokenScores(*shared.value[:2])]
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n, best, total = [], [], []
-                for t, h in zip(b.column("text"), b.column("half").to_pylist()):
-                    n.append(len(s := other[h].of(t.as_py())))
-                    _, top, excess = cal.passages(s) if cal else ([], max((v for _, _, v in segments(s)), default=0.0), 0.0)
-                    best.append(top)
-                    total.append(excess)
-                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("label"), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(total, pa.float64())], names=found)
+                total = [cal.summed(np.array(v, dtype=float), n) if cal else 0.0 for v, n in zip(b.column("values").to_pylist(), b.column("n").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in found[:-1]), pa.array(total, pa.float64())], names=found)
 
         found = ["h", "label", "n", "best", "total"]
-        got = chosen.mapInArrow(lean(measure), "h long, label int, n long, best double, total double").toArrow()
+        tops = stored.withColumn("best", F.coalesce(F.array_max("values"), F.lit(0.0)))
+        got = tops.mapInArrow(lean(judge), "h long, label int, n long, best double, total double").toArrow()
         columns = {c: got[c].to_numpy() for c in found}
         order = np.lexsort([columns[c] for c in ("best", "n", "label", "h")])
         return {c: v[order] for c, v in columns.items()}
@@ -251,6 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     y = (first["label"] > 0).astype(float)
     cal = calibrate(first["best"], first["n"], lambda c: measured(c)["total"], y)
     shared.unpersist()
+    drop_cut(stored)
     return Model(counts[0] + counts[2], counts[1] + counts[3], cal)
 
 

@@ -122,6 +122,16 @@ def test_scores_of_tokens_stay_finite():
     assert np.isfinite(x.weights).all()
 
 
+def test_toxicity_sums_stored_segment_scores_as_scoring_does():
+    """The excess summed from segment scores alone is that of a text's passages, bit by bit."""
+    r = np.random.default_rng(7)
+    cal = toxicity.Calibration(0.8, -1.5, np.zeros(3))
+    for words in (0, 1, 40, 3000):
+        scores = r.normal(-0.4, 2.0, words)
+        values = np.array([v for _, _, v in toxicity.segments(scores)], dtype=float)
+        assert cal.summed(values, words) == cal.passages(scores)[2]
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(3)
     words = ["".join(r.choice("abcdefg") for _ in range(r.randrange(2, 7))) for _ in range(400)]
