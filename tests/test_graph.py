@@ -341,3 +341,10 @@ def test_components_and_core_match_a_walk(spark):
     assert {tuple(r) for r in parts.leaves.collect()} == {("c", "b", 1), ("p1", "d", 2), ("p2", "d", 1), ("m", "k", 1), ("u", "t", 1), ("0", "z", 1)}
     assert {tuple(r) for r in parts.links.collect()} == {
         ("a", "b", 1), ("b", "a", 1), ("e", "h", 1), ("f", "h", 1), ("f", "k", 1), ("g", "k", 1), ("q", "d", 1), ("z", "g", 1)}
+
+
+def test_report_entities_read_vehicles_only_for_typed_edges(spark, sample_graph):
+    """Typed edges tell the kind of their end, so vertices other than vehicles are not looked up."""
+    v, e = sample_graph
+    all_of_them = {tuple(r) for r in relations.report_entities(v, e).collect()}
+    assert {tuple(r) for r in relations.report_entities(v.filter("node_type = 'Vehicle'"), e).collect()} == all_of_them and len(all_of_them) == 13
