@@ -8,21 +8,23 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from crashgrid.llm.registry import query
-from crashgrid.session import cut
+from crashgrid.session import cut, drop_cut
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-# Rows of one kind and label that the trees are fitted on, at most.
-SAMPLE_ROWS = 2_500
 PRECISION = 0.995
+UNIT = 1 << 20  # gradients are summed as whole multiples of 1 / UNIT, so no order of rows changes a sum
+GRID = 10_000  # thresholds are whole multiples of 1 / GRID
+MOST_OCTET = 256  # larger parts of an address are alike
 
 IP_BASE = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD_BASE = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -126,7 +128,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     low = before.lower()
     return [
         kind, len(digits), len(groups), 14 <= len(digits) <= 19 and luhn(digits), span.startswith("+"), span.count("(") + span.count(")"),
-        span.count("-"), span.count("."), span.count(" "), max((int(g[:6]) for g in groups), default=0) if kind == IP else 0, end - start,
+        span.count("-"), span.count("."), span.count(" "), max((min(int(g[:6]), MOST_OCTET) for g in groups), default=0) if kind == IP else 0, end - start,
         min(sizes), max(sizes), int(digits[:1] or 0), _side(before[-1:]), _side(after[:1]), sum(c.isdigit() for c in near),
         sum(c.isdigit() for c in after), sum(c.isalpha() for c in before[-4:]), any(c in "\"'=" for c in before[-3:]),
         any(w in low for w in CUES[0]), any(w in low for w in CUES[1]), kind == EMAIL and "@" not in span, len(tail), len(tail[-1]),
@@ -156,6 +158,14 @@ def examine(text: str) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarr
 
 
 # ------------------------------------------------------------------------------ boosting
+def quantiles(values: np.ndarray, counts: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Linearly interpolated quantiles of ascending values that occur so many times."""
+    ends = np.cumsum(counts)
+    at = q * (ends[-1] - 1)
+    low, high = (values[np.searchsorted(ends, f(at), side="right")].astype(float) for f in (np.floor, np.ceil))
+    return low + (high - low) * (at - np.floor(at))
+
+
 @dataclass
 class Boosted:
     """Gradient-boosted trees for a binary label: logistic loss, histogram splits, Newton leaves."""
@@ -168,68 +178,92 @@ class Boosted:
     edges: list[np.ndarray] = field(default_factory=list)
     nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
-    def _binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1)
+    def cut_bins(self, values: list[tuple[np.ndarray, np.ndarray]]) -> Boosted:
+        """Take the edges of the bins from each feature's ascending values and their counts."""
+        self.edges = [np.unique(quantiles(v, n, np.linspace(0, 1, self.bins)))[:-1] for v, n in values]
+        return self
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins)))[:-1] for j in range(x.shape[1])]
-        b, rows = self._binned(x), np.arange(len(x))
-        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1).astype(np.uint8)
+
+    def _places(self, b: np.ndarray, tree: int, levels: int) -> np.ndarray:
+        feature, cutoff, _ = self.nodes[tree]
+        at, rows = np.ones(len(b), dtype=int), np.arange(len(b))
+        for _ in range(levels):
+            f = feature[at]
+            at = np.where(f >= 0, 2 * at + (b[rows, f] > cutoff[at]), at)
+        return at
+
+    def _chances(self, b: np.ndarray, trees: int) -> np.ndarray:
+        score = np.full(len(b), self.start)
+        for t in range(trees):
+            score += self.nodes[t][2][self._places(b, t, self.depth)]
+        return 1 / (1 + np.exp(-score))
+
+    def sums(self, b: np.ndarray, n: np.ndarray, positive: np.ndarray, level: int) -> np.ndarray:
+        """Gradient and curvature by node of a level of the newest tree, feature and bin, in units.
+
+        Row i stands for n[i] rows with the same bins, positive[i] of them with label 1.
+        """
+        p, at = self._chances(b, len(self.nodes) - 1), self._places(b, len(self.nodes) - 1, level)
+        here = at >= 2 ** level
+        slots = ((at[here, None] - 2 ** level) * b.shape[1] + np.arange(b.shape[1])) * (self.bins + 1) + b[here]
+        shape = 2 ** level, b.shape[1], self.bins + 1
+        parts = [np.rint(v[here] * UNIT) for v in (positive - n * p, n * np.maximum(p * (1 - p), 1e-6))]
+        return np.stack([np.bincount(slots.ravel(), np.repeat(v, b.shape[1]), int(np.prod(shape))).reshape(shape) for v in parts]).astype(np.int64)
+
+    def grow(self, n: int, positive: int, sums: Callable[[Boosted, int], np.ndarray]) -> Boosted:
+        """Fit the trees; ``sums(model, level)`` are the sums over all rows."""
+        rate = np.clip(positive / n, 1e-3, 1 - 1e-3)
         self.start = float(np.log(rate / (1 - rate)))
-        score = np.full(len(x), self.start)
         for _ in range(self.trees):
-            p = 1 / (1 + np.exp(-score))
-            g, h = y - p, np.maximum(p * (1 - p), 1e-6)
             feature, cutoff, value = (np.zeros(2 ** (self.depth + 1), dtype=k) for k in (int, int, float))
             feature[:] = -1
-            at = np.ones(len(x), dtype=int)
-            for node in range(1, 2 ** (self.depth + 1)):
-                mine = rows[at == node]
-                if not len(mine):
-                    continue
-                total = g[mine].sum(), h[mine].sum()
-                value[node] = self.rate * total[0] / (total[1] + 1)
-                if node >= 2 ** self.depth:
-                    continue
-                best = (1e-6, -1, 0)
-                for j in range(x.shape[1]):
-                    gl = np.cumsum(np.bincount(b[mine, j], g[mine], self.bins + 1))[:-1]
-                    hl = np.cumsum(np.bincount(b[mine, j], h[mine], self.bins + 1))[:-1]
-                    gain = gl**2 / (hl + 1) + (total[0] - gl) ** 2 / (total[1] - hl + 1) - total[0] ** 2 / (total[1] + 1)
-                    k = int(gain.argmax())
-                    best = max(best, (float(gain[k]), j, k))
-                if best[1] >= 0:
-                    feature[node], cutoff[node] = best[1:]
-                    at[mine] = 2 * node + (b[mine, best[1]] > best[2])
             self.nodes.append((feature, cutoff, value))
-            score += value[at]
+            newton = lambda g, h: self.rate * g / (h + 1)
+            for level in range(self.depth):
+                if level and (feature[2 ** (level - 1):2 ** level] < 0).all():
+                    break
+                for node, (g, h) in enumerate(np.moveaxis(sums(self, level) / UNIT, 0, 1), 2 ** level):
+                    total = g[0].sum(), h[0].sum()
+                    if not level:
+                        value[node] = newton(*total)
+                    gl, hl = (np.cumsum(v, axis=1)[:, :-1] for v in (g, h))
+                    gain = gl**2 / (hl + 1) + (total[0] - gl) ** 2 / (total[1] - hl + 1) - total[0] ** 2 / (total[1] + 1)
+                    j, k = np.unravel_index(int(gain.argmax()), gain.shape)
+                    if gain[j, k] > 1e-6:
+                        feature[node], cutoff[node] = j, k
+                        value[2 * node:2 * node + 2] = newton(gl[j, k], hl[j, k]), newton(total[0] - gl[j, k], total[1] - hl[j, k])
         return self
 
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+        b = self.cut_bins([np.unique(c, return_counts=True) for c in x.T]).binned(x)
+        return self.grow(len(y), int(y.sum()), lambda model, level: model.sums(b, np.ones(len(y)), y, level))
+
+    def predict_binned(self, b: np.ndarray) -> np.ndarray:
+        return self._chances(b, len(self.nodes))
+
     def predict(self, x: np.ndarray) -> np.ndarray:
-        b, rows = self._binned(x), np.arange(len(x))
-        score = np.full(len(x), self.start)
-        for feature, cutoff, value in self.nodes:
-            at = np.ones(len(x), dtype=int)
-            for _ in range(self.depth):
-                f = feature[at]
-                at = np.where(f >= 0, 2 * at + (b[rows, f] > cutoff[at]), at)
-            score += value[at]
-        return 1 / (1 + np.exp(-score))
+        return self.predict_binned(self.binned(x))
 
 
 @dataclass
 class Redactor:
-    """Fitted trees, and for each kind the least score at which a candidate becomes a span."""
+    """Fitted trees, and for each kind the least score at which a candidate becomes a span.
+
+    ``rows`` labelled candidates were learned from, for the trees or for the thresholds.
+    """
 
     model: Boosted | None
     thresholds: list[float]
+    rows: int = 0
 
     def choose(self, base: list[tuple[int, int, int]], spans: np.ndarray, x: np.ndarray) -> list[tuple[int, int, int, float, bool]]:
         """(kind, start, end, score, base): base spans, then the best candidates that overlap nothing taken."""
         taken = [(*s, 1.0, True) for s in base]
         if self.model is not None and len(spans):
             scores = self.model.predict(x)
-            fit = np.flatnonzero((spans[:, 3] != 1) & (scores >= np.array(self.thresholds)[spans[:, 0]]))
+            fit = np.flatnonzero((spans[:, 3] != 1) & (np.floor(scores * GRID) / GRID >= np.array(self.thresholds)[spans[:, 0]]))
             busy = [(s[1], s[2]) for s in base]
             for i in sorted(fit.tolist(), key=lambda i: (-scores[i], spans[i, 1], spans[i, 0])):
                 kind, start, end = map(int, spans[i, :3])
@@ -239,24 +273,16 @@ class Redactor:
         return sorted(taken, key=lambda s: (s[1], s[0]))
 
 
-def fit(x: np.ndarray, kinds: np.ndarray, labels: np.ndarray, calibrating: np.ndarray, precision: float = PRECISION) -> Redactor:
-    """Fit the trees on one part of labelled candidates and set the thresholds on the other.
+def threshold(scores: np.ndarray, n: np.ndarray, positive: np.ndarray, precision: float = PRECISION) -> float:
+    """The least score, 0.5 at least, at which and above which the precision reaches ``precision``.
 
-    A kind's threshold is the least score at which and above which the part's precision reaches
-    ``precision``, 0.5 at least; a kind without positives gets none (only base spans).
+    Of each distinct score, n rows have it and ``positive`` of them label 1.  Infinite where no score will do:
+    without positives only base spans stay.
     """
-    if not (~calibrating).any() or len(set(labels[~calibrating])) < 2:
-        return Redactor(None, [np.inf] * len(KINDS))
-    model, thresholds = Boosted().fit(x[~calibrating], labels[~calibrating]), []
-    scores = model.predict(x)
-    for k in range(len(KINDS)):
-        mine = np.flatnonzero(calibrating & (kinds == k))
-        mine = mine[np.argsort(-scores[mine], kind="stable")]
-        right = np.cumsum(labels[mine])
-        last = np.append(scores[mine][1:] < scores[mine][:-1], True) if len(mine) else np.array([], dtype=bool)  # of equal scores
-        good = np.flatnonzero(last & (right >= precision * np.arange(1, len(mine) + 1)))
-        thresholds.append(max(0.5, float(scores[mine[good[-1]]])) if len(good) and right[good[-1]] else np.inf)
-    return Redactor(model, thresholds)
+    order = np.argsort(-scores)
+    right = np.cumsum(positive[order])
+    good = np.flatnonzero((right >= precision * np.cumsum(n[order])) & (right > 0))
+    return max(0.5, float(scores[order][good[-1]])) if len(good) else float("inf")
 
 
 # -------------------------------------------------------------------------------- on Spark
@@ -282,34 +308,119 @@ def _unpack(base: bytes, spans: bytes, x: bytes):
             np.frombuffer(x, dtype=np.float32).reshape(-1, len(FEATURES)))
 
 
-def train(found: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Redactor:
-    """Fit on at most ``sample_rows`` candidates of each kind and label, those of smallest hash.
+def _labelled(base: pa.Array, ids: pa.Array, spans: pa.Array, x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, label, half, features) of a batch's candidates that have a label.
 
-    Half of them, by the hash's parity, set the thresholds.  So many rows at most reach the driver.
+    The half is a checksum of id and span, so it does not depend on how the rows are split or ordered.
     """
+    sizes = np.array([len(s) // 16 for s in spans.to_pylist()], dtype=int)
+    rows = np.frombuffer(b"".join(spans.to_pylist()), dtype=np.int32).reshape(-1, 4)
+    x = np.frombuffer(b"".join(x.to_pylist()), dtype=np.float32).reshape(-1, len(FEATURES))
+    of, known = np.repeat(np.arange(len(sizes)), sizes), rows[:, 3] >= 0
+    rows, of, x = rows[known], of[known], x[known]
+    names = ids.to_pylist()
+    half = np.array([zlib.crc32(f"{names[i]}:{r[0]}:{r[1]}:{r[2]}".encode()) & 1 for i, r in zip(of.tolist(), rows.tolist())], dtype=np.int32)
+    return rows[:, 0], rows[:, 3], half, x
+
+
+def _per_batch(found: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """``make`` over the labelled candidates of each batch: a list of columns."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = make(*_labelled(*(b.column(c) for c in ("base", "doc_id", "spans", "features"))))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return found.select("doc_id", "base", "spans", "features").mapInArrow(run, schema)
+
+
+def _values(kinds, labels, half, x):
+    """Each feature's values in the half that the trees are fitted on, counted."""
+    counted = [np.unique(x[half == 0, j], return_counts=True) for j in range(x.shape[1])]
+    sizes = [len(v) for v, _ in counted]
+    return [np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.concatenate([v for v, _ in counted]), np.concatenate([n for _, n in counted]).astype(np.int64)]
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _over(table: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """``make`` over the (kinds, bins, n, positive) of each batch of binned rows: a list of columns."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for base, spans, x in zip(*(b.column(c).to_pylist() for c in ("base", "spans", "features"))):
-                _, spans, x = _unpack(base, spans, x)
-                rows += [(int(s[0]), int(s[3]), r.tobytes()) for s, r in zip(spans, x) if s[3] >= 0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 3, (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "label", "x"])
-
-    rows = found.mapInArrow(explode, "kind int, label int, x binary").withColumn("h", F.xxhash64("x", F.monotonically_increasing_id()))
-    first = Window.partitionBy("kind", "label").orderBy("h", "x")
-    sample = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_rows).select("kind", "label", "x", "h").collect()
-    sample.sort(key=lambda r: (r.h, r.x))
-    x = np.frombuffer(b"".join(bytes(r.x) for r in sample), dtype=np.float32).reshape(-1, len(FEATURES))
-    kinds, labels, odd = (np.array(c, dtype=k) for c, k in zip(list(zip(*((r.kind, r.label, r.h % 2 == 1) for r in sample))) or [()] * 3, (int, int, bool)))
-    return fit(x, kinds, labels, odd)
+            if b.num_rows:
+                bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
+                columns = make(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "n", "positive")), bins)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return table.select("kind", "bins", "n", "positive").mapInArrow(run, schema)
+
+
+def _summed(table: DataFrame) -> Callable[[Boosted, int], np.ndarray]:
+    """The sums over a table of binned rows: one block of a fixed size from each task reaches the driver."""
+
+    def sums(model: Boosted, level: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for b in batches:
+                if b.num_rows:
+                    bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
+                    total = total + model.sums(bins, b.column("n").to_numpy(), b.column("positive").to_numpy(), level)
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        parts = table.select("bins", "n", "positive").mapInArrow(run, "sums binary").collect()
+        whole = sum(np.frombuffer(bytes(r.sums), dtype=np.int64) for r in parts)
+        return whole.reshape(2, 2 ** level, len(FEATURES), model.bins + 1)
+
+    return sums
+
+
+def train(found: DataFrame, precision: float = PRECISION) -> Redactor:
+    """Fit the trees on one half of all labelled candidates and set the thresholds on the other.
+
+    Candidates that agree in kind, half and bins are one row with its counts, which is all that the trees
+    see of them.  The sums of each level are made in Spark's tasks, the scores of the other half counted
+    there too; what reaches the driver does not grow with the candidates.
+    """
+    values = _per_batch(found, _values, "feature int, value float, n long").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    seen = sorted((r.feature, r.value, r.n) for r in values.collect())  # spans are short, so values are few
+    if not seen:
+        return Redactor(None, [np.inf] * len(KINDS))
+    known = [np.array([r[1:] for r in seen if r[0] == j], dtype=float).T for j in range(len(FEATURES))]
+    model = Boosted().cut_bins([(v, n.astype(int)) for v, n in known])
+
+    def to_bins(kinds, labels, half, x):
+        bins = pa.array([b.tobytes() for b in model.binned(x)], pa.binary())
+        return [kinds, half, bins, np.ones(len(kinds), dtype=np.int64), labels.astype(np.int64)]
+
+    rows = _per_batch(found, to_bins, "kind int, half int, bins binary, n long, positive long")
+    table = cut(rows.groupBy("kind", "half", "bins").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")))
+    halves = {r[0]: r[1:] for r in table.groupBy("half").agg(F.sum("n"), F.sum("positive")).collect()}
+    n, positive = halves[0]
+    count = sum(r[0] for r in halves.values())
+    if positive in (0, n):
+        drop_cut(table)
+        return Redactor(None, [np.inf] * len(KINDS), count)
+    model.grow(n, positive, _summed(table.filter("half = 0")))
+
+    def to_grid(kinds, n, positive, bins):
+        return [kinds, np.floor(model.predict_binned(bins) * GRID).astype(np.int32), n, positive]
+
+    scored = _over(table.filter("half = 1"), to_grid, "kind int, score int, n long, positive long")
+    counts = scored.groupBy("kind", "score").agg(F.sum("n"), F.sum("positive")).collect()  # at most GRID + 1 a kind
+    drop_cut(table)
+    thresholds = []
+    for k in range(len(KINDS)):
+        mine = np.array([r[1:] for r in counts if r[0] == k], dtype=float).reshape(-1, 3)
+        thresholds.append(threshold(mine[:, 0] / GRID, mine[:, 1], mine[:, 2], precision))
+    return Redactor(model, thresholds, count)
 
 
 def find_pii(docs: DataFrame, found: DataFrame | None = None, redactor: Redactor | None = None) -> DataFrame:
     """doc_id and ``spans``: array of (kind, start, end, score, base), in code points, end exclusive, by start and kind.
 
-    Every text is read once; its candidates are stored, the trees fitted on a bounded sample of them
+    Every text is read once; its candidates are stored, the trees fitted on all of them that have a label
     and applied to the stored ones.  Ids may be null or repeat: each row gets its own result.
     """
     found = found or cut(candidates(docs))

@@ -74,6 +74,21 @@ def test_boosted_trees_learn_an_interaction():
     assert (((pii.Boosted().fit(x[:2000], y[:2000]).predict(x[2000:]) > 0.5) == y[2000:]).mean()) > 0.99
 
 
+def test_pii_learns_from_all_candidates_however_they_are_split(spark):
+    texts = [f"{t} call a{i}@b.example or 10.0.{i % 256}.{i * 7 % 256}" for i, t in enumerate(pii_texts(3) * 12)]
+    labels = sum(int((pii.examine(t)[1][:, 3] >= 0).sum()) for t in texts)
+    assert (np.concatenate([pii.examine(t)[1] for t in texts])[:, 0] == pii.EMAIL).sum() > 2500
+    one, many = (pii.train(pii.candidates(docs(spark, texts, parts=n))) for n in (1, 5))
+    assert one.rows == many.rows == labels and one.thresholds == many.thresholds
+    assert all(np.array_equal(a, b) for s, t in zip(one.model.nodes, many.model.nodes, strict=True) for a, b in zip(s, t))
+
+
+def test_quantiles_of_counted_values():
+    x = np.random.default_rng(1).integers(0, 9, 500).astype(float)
+    q = np.linspace(0, 1, 32)
+    assert np.allclose(pii.quantiles(*np.unique(x, return_counts=True), q), np.quantile(x, q))
+
+
 # ----------------------------------------------------------------------------- 2: WARC
 def test_warc_round_trip_in_small_ranges(spark):
     body = ["x" * 150, None, "", "y" * 99, "é" * 60, "z" * 5000]
