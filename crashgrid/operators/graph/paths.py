@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from crashgrid.operators.graph.components import undirected
 from crashgrid.session import cut, drop_cut
 
-PATH = "a string, path array<string>"
-
 
 @dataclass
 class PathResult:
@@ -35,20 +33,17 @@ def next_level(links: DataFrame, level: DataFrame, before: DataFrame | None) ->
     return cut(reached.join(before, "id", "left_anti") if before is not None else reached)
 
 
-def distances(links: DataFrame, source: str, max_hops: int) -> DataFrame:
-    """(id, hops) of all vertices at most ``max_hops`` from ``source``."""
-    levels = [_start(links, source)]
-    while len(levels) <= max_hops:
-        level = next_level(links, levels[-1], levels[-2] if len(levels) > 1 else None)
-        if level.isEmpty():
-            break
-        levels.append(level)
-    found = levels[0].withColumn("hops", F.lit(0))
-    for hops, level in enumerate(levels[1:], 1):
-        found = found.unionByName(level.withColumn("hops", F.lit(hops)))
-    table = cut(found)
-    drop_cut(*levels)
-    return table
+def inner_links(edges: DataFrame, *ends: str) -> DataFrame:
+    """Neighbour pairs, without targets that one edge alone touches: no path leads through those, unless to ``ends``.
+
+    Targets are counted by a hash; where hashes meet, more edges stay than need to.
+    """
+    e = edges.filter("src <> dst").select("src", "dst")
+    touched = F.explode(F.array(F.struct(F.xxhash64("dst").alias("h"), F.lit(1).alias("k")), F.struct(F.xxhash64("src").alias("h"), F.lit(0).alias("k")))).alias("t")
+    counted = e.select(touched).groupBy("t.h").agg(F.sum("t.k").alias("k"), F.count("*").alias("n"))
+    kept = cut(counted.filter("k > 0 AND n > 1").select("h"))  # targets of several edges, or with edges of their own
+    inner = e.withColumn("h", F.xxhash64("dst")).join(kept, "h", "left_semi").select("src", "dst")
+    return cut(undirected(inner.unionByName(e.filter(F.col("dst").isin(*ends)))))
 
 
 def shortest_path(vertices: DataFrame, edges: DataFrame, a: str, b: str, links: DataFrame | None = None) -> PathResult:
@@ -63,7 +58,7 @@ def shortest_path(vertices: DataFrame, edges: DataFrame, a: str, b: str, links:
         return PathResult("not_found")
     if a == b:
         return PathResult("connected", 0, [a])
-    links = links if links is not None else cut(undirected(edges))
+    links = links if links is not None else inner_links(edges, a, b)
     sides, sizes = ([_start(links, a)], [_start(links, b)]), [1, 1]
     while True:
         k = 0 if sizes[0] <= sizes[1] else 1
@@ -93,14 +88,13 @@ def shortest_path(vertices: DataFrame, edges: DataFrame, a: str, b: str, links:
 def simple_paths(vertices: DataFrame, edges: DataFrame, a: str, b: str, slack: int = 2, cap: int = 10):
     """First ``cap`` simple paths of at most shortest + slack hops, by length then by node ids.
 
-    Paths of one length are made of two halves that grow from ``a`` and from ``b``, each pruned by the
-    distance to the other end, and join where they share their last vertex and no other.  From ``a``
-    only the smallest halves of each vertex are kept, which Spark ranks before it shuffles; what is
-    larger than a half that was left out is not known to be complete, so the search repeats with more
-    halves a vertex until the paths found lie below all of those.  At most ``cap`` paths of a length
-    reach the driver.
+    The beginnings of the paths of one length grow hop by hop from ``a``, over vertices from which a walk of
+    just the remaining hops leads to ``b``.  Of all beginnings only the smallest are kept, as paths are ordered
+    by their beginnings; what is larger than one that was left out is not known to be complete, so the search
+    repeats with more of them until the paths found lie below all of those.  At most ``cap`` paths of a
+    length reach the driver.
     """
-    links = cut(undirected(edges))
+    links = inner_links(edges, a, b)
     found = shortest_path(vertices, edges, a, b, links)
     spark = vertices.sparkSession
     schema = "length long, path array<string>"
@@ -109,56 +103,47 @@ def simple_paths(vertices: DataFrame, edges: DataFrame, a: str, b: str, slack: i
     if a == b:
         return spark.createDataFrame([(0, [a])], schema)
     limit = found.length + slack
-    guides = [cut(links.join(distances(links, end, limit).select(F.col("id").alias("b"), "hops"), "b")) for end in (a, b)]
+    walks = [_start(links, b)]  # walks[r]: from where r hops lead to b, with neither end on the way
+    for _ in range(limit - 1):
+        before = links.join(walks[-1].select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+        walks.append(cut(before.filter(~F.col("id").isin(a, b))))
     done: list[tuple[int, list[str]]] = []
     for length in range(found.length, limit + 1):
-        wanted, width = cap - len(done), cap
+        wanted, width = cap - len(done), 8 * cap
         if not wanted:
             break
-        back = _halves(guides[0], b, a, length, length // 2)
         while True:
-            paths, bounds = _joined(guides[1], back, a, b, length, width, wanted)
+            paths, bounds = _smallest(links, walks, a, length, width, wanted)
             if not bounds or len(paths) == wanted and all(paths[-1][: len(p)] < p for p in bounds):
                 break
             width *= 16
-        drop_cut(back)
         done += [(length, p) for p in paths]
+    drop_cut(links, *walks)
     return spark.createDataFrame(done, schema)
 
 
-def _grow(guide: DataFrame, front: DataFrame, end: str, remaining: int) -> DataFrame:
-    """Halves (a, path) one hop longer, of those that can still reach ``end`` in the remaining hops."""
-    onward = guide.filter((F.col("hops") <= remaining) & ((F.col("b") != end) if remaining else F.lit(True)))
-    grown = onward.join(front, "a").filter(~F.expr("array_contains(path, b)"))
-    return grown.select(F.col("b").alias("a"), F.concat("path", F.array("b")).alias("path"))
-
+def _smallest(links: DataFrame, walks: list[DataFrame], start: str, length: int, width: int, wanted: int):
+    """The smallest paths of ``length`` hops whose beginnings are kept, and per hop the smallest beginning left out.
 
-def _halves(guide: DataFrame, start: str, end: str, length: int, hops: int) -> DataFrame:
-    """All simple paths (a, path) of so many hops from ``start`` that may be part of one of ``length`` to ``end``."""
-    front = guide.sparkSession.createDataFrame([(start, [start])], PATH)
-    for hop in range(1, hops + 1):
-        longer = cut(_grow(guide, front, end, length - hop))
-        drop_cut(front)
-        front = longer
-    return front
-
-
-def _joined(guide: DataFrame, back: DataFrame, a: str, b: str, length: int, width: int, wanted: int):
-    """The smallest paths of ``length`` hops made of kept halves, and per hop the smallest half left out."""
-    front, bounds = guide.sparkSession.createDataFrame([(a, [a])], PATH), []
-    ranked = F.row_number().over(Window.partitionBy("a").orderBy("path"))
-    for hop in range(1, length - length // 2 + 1):
-        grown = cut(_grow(guide, front, b, length - hop).withColumn("place", ranked).filter(F.col("place") <= width + 1))
+    All beginnings that end in one vertex continue to the same neighbours, and each needs only as many of the
+    smallest as are kept, besides those on its own way; Spark ranks them before it shuffles.
+    """
+    front, bounds = links.sparkSession.createDataFrame([(start, [start])], "a string, path array<string>"), []
+    ranked = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    for hop in range(1, length + 1):
+        onward = links.join(F.broadcast(front.select("a").distinct()), "a").join(walks[length - hop].select(F.col("id").alias("b")), "b", "left_semi")
+        onward = onward.withColumn("place", ranked).filter(F.col("place") <= width + 1 + hop).select("a", "b")
+        grown = onward.join(F.broadcast(front), "a").filter(~F.expr("array_contains(path, b)"))
+        grown = grown.select(F.col("b").alias("a"), F.concat("path", F.array("b")).alias("path")).orderBy("path").limit(width + 1)
+        after = cut(grown)
         drop_cut(front)
-        least = grown.filter(F.col("place") > width).agg(F.min("path")).first()[0]
-        if least is not None:
-            bounds.append(least)
-        front = grown.filter(F.col("place") <= width).drop("place")
-        front._scratch = grown._scratch
-    rest = back.select("a", F.reverse("path").alias("rest"))
-    whole = front.join(rest, "a").filter(F.size(F.array_intersect("path", "rest")) == 1)
-    whole = whole.select(F.concat("path", F.slice("rest", 2, length)).alias("path"))
-    paths = [r["path"] for r in whole.orderBy("path").limit(wanted).collect()]
+        if after.count() > width:
+            bounds.append(after.agg(F.max("path")).first()[0])
+            front = after.filter(F.col("path") < F.array(*[F.lit(x) for x in bounds[-1]]))
+            front._scratch = after._scratch
+        else:
+            front = after
+    paths = [r["path"] for r in front.orderBy("path").limit(wanted).collect()]
     drop_cut(front)
     return paths, bounds
 

@@ -348,3 +348,46 @@ def test_report_entities_read_vehicles_only_for_typed_edges(spark, sample_graph)
     v, e = sample_graph
     all_of_them = {tuple(r) for r in relations.report_entities(v, e).collect()}
     assert {tuple(r) for r in relations.report_entities(v.filter("node_type = 'Vehicle'"), e).collect()} == all_of_them and len(all_of_them) == 13
+
+
+def test_paths_run_over_vertices_that_several_edges_touch(spark):
+    """Persons and vehicles that hang on one report take no part, except as ends; a chain of sources stays."""
+    rows = [("r1", "h"), ("r2", "h"), ("r1", "p1"), ("r2", "p2"), ("r2", "p2"), ("r2", "r3"), ("r3", "p3")]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    v = spark.createDataFrame(sorted({(x,) for r in rows for x in r}), "id string")
+    kept = {tuple(r) for r in paths.inner_links(e, "p1").collect()}
+    assert {(a, b) for a, b in kept if a < b} == {("h", "r1"), ("h", "r2"), ("p1", "r1"), ("p2", "r2"), ("r2", "r3")}
+    assert paths.shortest_path(v, e, "p1", "p3").path == ["p1", "r1", "h", "r2", "r3", "p3"]
+
+
+def test_simple_paths_through_hubs_match_plain_search(spark):
+    """Many dead beginnings sort first, so the search must widen."""
+    rows = [("a", "h1"), ("z", "h2"), ("z", "h3")] + [(f"m{i:03d}", h) for i in range(150) for h in ("h1", "h2")] + [("n1", "h1"), ("n1", "h3"), ("n2", "h2"), ("n2", "h3")]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    near = {}
+    for x, y in rows:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    v = spark.createDataFrame([(x,) for x in near], "id string")
+
+    def walk(path, most):
+        if path[-1] == "z":
+            yield len(path) - 1, path
+        elif len(path) <= most:
+            for x in near[path[-1]] - set(path):
+                yield from walk([*path, x], most)
+
+    for cap in (10, 200):
+        got = [(r["length"], r["path"]) for r in paths.simple_paths(v, e, "a", "z", cap=cap).collect()]
+        assert got == sorted(walk(["a"], 6))[:cap]
+
+
+def test_plans_of_degree_and_rank_shuffle_each_side_once(spark, sample_graph):
+    plan = centrality.degree(*sample_graph)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_pagerank_of_vertices_without_edges(spark):
+    v = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+    e = spark.createDataFrame([], "src string, dst string, weight double")
+    assert sorted((r.id, round(r.score, 9)) for r in centrality.pagerank(v, e, copies=True).collect()) == [("a", 0.333333333), ("b", 0.333333333), ("b", 0.333333333)]
