@@ -9,6 +9,7 @@ from crashgrid.functions.bands import lookup, risk_level
 from crashgrid.operators.graph.build import edge_sample
 from crashgrid.operators.graph.centrality import degree, pagerank, top_nodes
 from crashgrid.operators.ranking import concat_first
+from crashgrid.session import cut
 
 # fixed value: danger score that counts as full danger
 DANGER_SCALE = 30.0
@@ -18,7 +19,7 @@ def location_scores(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct reports, danger score and severity counts of every location with reports."""
     firs = vertices.filter("node_type = 'FIR'").select(F.col("id").alias("src"), "severity")
     locations = vertices.filter("node_type = 'Location'").select(F.col("id").alias("dst"), "area", "city", "lat", "lng")
-    pairs = edges.select("src", "dst").distinct().join(firs, "src")
+    pairs = edges.select("src", "dst").join(locations.select("dst"), "dst", "left_semi").distinct().join(firs, "src")
     severity = F.coalesce("severity", F.lit("Unknown"))
     scored = pairs.withColumn("severity", severity).groupBy("dst").agg(
         F.count("*").alias("fir_count"),
@@ -36,9 +37,14 @@ def hotspots(vertices: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
 
 def risk_scores(vertices: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
     """Composite 0-100 risk of every location with reports; the n riskiest are returned."""
-    deg = degree(vertices, edges).select(F.col("id").alias("location_id"), F.col("score").alias("_deg"))
+    found = cut(location_scores(vertices, edges))
+    places = found.select(F.col("location_id").alias("id"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).join(places, "id", "left_semi")
+    size = F.broadcast(vertices.agg(F.count("*").alias("_n")))
+    deg = ends.groupBy(F.col("id").alias("location_id")).agg(F.count("*").alias("_d")).join(size).select(
+        "location_id", F.when(F.col("_n") > 1, F.col("_d") / (F.col("_n") - 1)).otherwise(1.0).alias("_deg"))
     rank = pagerank(vertices, edges).select(F.col("id").alias("location_id"), F.col("score").alias("_rank"))
-    joined = location_scores(vertices, edges).join(deg, "location_id").join(rank, "location_id")
+    joined = found.join(deg, "location_id").join(rank, "location_id")
     fatal = F.coalesce(F.col("severity_breakdown")["Fatal"], F.lit(0)) / F.col("fir_count")
     score = F.col("danger_score") / DANGER_SCALE * 50 + F.col("_deg") * 20 + F.col("_rank") * 100 * 15 + fatal * 15
     return joined.withColumn("risk_score", F.least(F.round(score, 2), F.lit(100.0))).withColumns({
