@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crashgrid.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from crashgrid.llm.memory import exchange_few_rows
-from crashgrid.session import cut
+from crashgrid.session import cut, drop_cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each result written as Parquet and read again."""
+    """The stages in order, each result written as Parquet and read again, and deleted when the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        drop_cut(before)
     return STAGES[-1][1](spark, docs, sf_dir)

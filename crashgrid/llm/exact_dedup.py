@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crashgrid.llm.registry import query
+from crashgrid.llm.rows import numbered, without_rows
 from crashgrid.session import HOT_SHARE, cut, drop_cut
 
 
@@ -92,12 +93,13 @@ def exact_dedup(docs: DataFrame, row: str | None = None) -> DataFrame:
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """The documents that ``exact_dedup`` keeps, all columns.
 
-    The numbered rows are written once, so that a lost task cannot number them anew; only the
-    numbers of dropped rows are joined.
+    Only the numbers of dropped rows meet the documents, so no text is copied or shuffled.
     """
-    stored = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    dropped = exact_dedup(stored, "_row").filter("NOT kept").select("_row")
-    return stored.join(dropped, "_row", "left_anti").select(*docs.columns)
+    stored = numbered(docs)
+    decisions = exact_dedup(stored, "_row")
+    kept = without_rows(stored, decisions.filter("NOT kept"))
+    drop_cut(decisions)
+    return kept
 
 
 _SQL = f"""

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from crashgrid.llm.memory import hand_back, lean
 from crashgrid.llm.registry import query
+from crashgrid.llm.rows import numbered, without_rows
 from crashgrid.operators.graph.components import linked_components
 from crashgrid.session import HOT_SHARE, cut, drop_cut
 
@@ -336,11 +337,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with one of each component left: that of its smallest doc_id.
 
-    The numbered rows are written once, so that a lost task cannot number them anew.
+    Only the numbers of dropped rows meet the documents.
     """
-    stored = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    dropped = near_duplicates(stored).filter("_row <> _component_row").select("_row")
-    return stored.join(dropped, "_row", "left_anti").select(*docs.columns)
+    stored = numbered(docs)
+    found = near_duplicates(stored)
+    kept = without_rows(stored, found.filter("_row <> _component_row"))
+    drop_cut(found)
+    return kept
 
 
 @query("op6_minhash_near_dedup", "documents")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from crashgrid.llm.registry import query
+from crashgrid.llm.rows import numbered, repeat_rows
 from crashgrid.llm.sharding import number_rows
 from crashgrid.session import cut, drop_cut
 from crashgrid.sources.maintenance import number_rows as running_totals
@@ -135,10 +136,11 @@ def plan_mix(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, each as often as ``plan_mix`` deals it out."""
-    stored = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plan = plan_mix(stored, **options).filter("copies <> 1").select("_row", F.col("copies").alias("_copies"))
-    joined = stored.join(plan, "_row", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)).cast("int"))
-    return joined.filter("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    stored = numbered(docs)
+    plan = plan_mix(stored, **options)
+    dealt = repeat_rows(stored, plan.select("_row", F.col("copies").alias("_value")))
+    drop_cut(plan)
+    return dealt
 
 
 @query("op8_mix_sources", "documents")
