@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from crashgrid.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from crashgrid.llm.memory import exchange_few_rows
@@ -34,8 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding: doc_id, lang, source, ids, n_tokens, n_decoded."""
     exchange_few_rows(spark)
-    coded = bpe.encode(docs.select("doc_id", "text", "lang", "source"))
-    return bpe.decode(coded).withColumn("n_decoded", F.length("text").cast("long")).drop("text")
+    return bpe.encode(docs.select("doc_id", "text", "lang", "source"), decoded=True)
 
 
 STAGES = [

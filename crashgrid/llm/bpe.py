@@ -32,6 +32,8 @@ from crashgrid.session import cut, drop_cut
 LEXICON_WORDS = 50_000
 # Words of more bytes are merged one by one with a heap, shorter ones many at a time.
 LONG_WORD = 48
+# So many characters of text are split at once (or one text that is longer); words and ids remembered take so many bytes.
+SPLIT_CHARS, HELD_BYTES = 1 << 20, 1 << 22
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
@@ -261,19 +263,35 @@ class Lexicon:
         return self.ids[self.offsets[rank]:self.offsets[rank + 1]].astype(np.uint32)
 
 
+def few(texts: list[str], rows: int = 256) -> Iterator[list[str]]:
+    """The texts in order, at most ``rows`` at a time and SPLIT_CHARS characters, unless one alone is longer."""
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        if part and (len(part) == rows or size + len(t) > SPLIT_CHARS):
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 class Encoder:
-    """Texts to ids, with a memory of the words met lately (at most ``held``)."""
+    """Texts to ids, with a memory of the words met lately (at most ``held``, and HELD_BYTES, when texts are split)."""
 
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon, held: int = 100_000):
         self.tokenizer, self.lexicon, self.held = tokenizer, lexicon, held
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        for a in range(0, len(texts), 256):
-            split = [self.tokenizer.words(t) for t in texts[a:a + 256]]
-            if len(self.known) > self.held:
+        for part in few(texts):
+            split = [self.tokenizer.words(t) for t in part]
+            if len(self.known) > self.held or self.size > HELD_BYTES:
                 self.known.clear()
+                self.size = 0
             self._learn(sorted(set().union(*split) - self.known.keys()))
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
@@ -286,6 +304,7 @@ class Encoder:
         unseen = [w for w, r in zip(words, ranks) if r < 0]
         self.known.update((w, self.lexicon.of_rank(r).tobytes()) for w, r in zip(words, ranks) if r >= 0)
         self.known.update((w, i.tobytes()) for w, i in zip(unseen, self.tokenizer.merge(unseen)))
+        self.size += sum(len(w) + len(self.known[w]) for w in words)
 
 
 @lru_cache(maxsize=1)
@@ -358,29 +377,37 @@ def _texts(b: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in b.column(name).to_pylist()]
 
 
-def encode(docs: DataFrame, content: bytes | None = None, words: int = LEXICON_WORDS) -> DataFrame:
+def encode(docs: DataFrame, content: bytes | None = None, words: int = LEXICON_WORDS, decoded: bool = False) -> DataFrame:
     """The documents with ``ids`` (array of int) in place of ``text``, and ``n_tokens``.
 
     A null text counts as empty and has no ids.  Special tokens written in a text are encoded as
-    such, as the file's added tokens say; none are added.  Other columns pass unchanged, except any
-    called ids or n_tokens, which are replaced.
+    such, as the file's added tokens say; none are added.  With ``decoded`` the ids are decoded in the
+    same pass, so in the same worker, and ``n_decoded`` counts the characters.  Other columns pass
+    unchanged, except any called like the new ones, which are replaced.
     """
     content = content or read_tokenizer()
     file = ship_lexicon(docs, content, words)
-    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
+    new = ["ids", "n_tokens"] + ["n_decoded"] * decoded
+    rest = [c for c in docs.columns if c not in ("text", *new)]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 b = whole.slice(a, 1000)
-                ids = [np.frombuffer(x, dtype="<i4") for x in _encoder(content, file).encode(_texts(b, "text"))]
+                encoder, ids, back = _encoder(content, file), [], []
+                for x in encoder.encode(_texts(b, "text")):
+                    ids.append(np.frombuffer(x, dtype="<i4"))
+                    if decoded:
+                        back.append(len(encoder.tokenizer.decode(ids[-1].tolist()).decode()))
                 sizes = np.array([len(i) for i in ids])
                 flat = pa.array(np.concatenate(ids) if ids else np.array([], dtype=np.int32), pa.int32())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), lists, pa.array(sizes, pa.int64())], names=[*rest, "ids", "n_tokens"])
+                counts = [pa.array(n, pa.int64()) for n in (sizes, back)[:1 + decoded]]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), lists, *counts], names=[*rest, *new])
 
-    return docs.select(*rest, "text").mapInArrow(lean(run), f"{kinds}{', ' if kinds else ''}ids array<int>, n_tokens long")
+    added = "ids array<int>, n_tokens long" + ", n_decoded long" * decoded
+    return docs.select(*rest, "text").mapInArrow(lean(run), f"{kinds}{', ' if kinds else ''}{added}")
 
 
 def decode(encoded: DataFrame, content: bytes | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 22
 
 
 def hand_back() -> None:
@@ -34,6 +35,7 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
-def exchange_few_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """From now on the session gives Python workers at most ``rows`` rows at a time: whole texts make large batches."""
+def exchange_few_rows(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """From now on the session gives Python workers at most ``rows`` rows at a time, and about ``size`` bytes: whole texts make large batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
