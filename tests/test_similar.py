@@ -57,6 +57,26 @@ def test_frequent_entities_meet_only_where_they_decide(spark):
     assert Counter(r.x for r in first.collect())["C"] == 0
 
 
+def test_classes_that_differ_in_lone_entities_only_are_one_kind(spark, monkeypatch):
+    """Persons of one report alone are not stored, and pairs within a kind and of two kinds come from blocks of ids."""
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    edges = [(f"F{i:02}", x) for i in range(30) for x in ("L0", "C0", f"P{i}")]
+    edges += [(f"G{i:02}", x) for i in range(12) for x in ("L0", "C0", f"Q{i}", f"R{i}")] + [("H", "L0"), ("H", "C0"), ("I", "L1"), ("I", "S")]
+    own = {}
+    for a, b in edges:
+        own.setdefault(a, set()).add(b)
+    links = spark.createDataFrame([(a, b, "K") for a, b in edges], "src string, entity string, relation_type string")
+    sets = {r["src"]: (sorted(x["entity"] for x in r["own"]), r["lone"], r["n"]) for r in similar.report_sets(links, Fraction(1, 2)).collect()}
+    assert sets["F00"] == (["C0", "L0"], 1, 3) and sets["G00"] == (["C0", "L0"], 2, 4) and "I" not in sets
+    kind = {"F": "FIR", "G": "FIR", "H": "FIR", "I": "FIR", "L": "Location", "C": "CrimeType"}
+    v = spark.createDataFrame([(x, kind.get(x[0], "Person"), None) for x in {x for e in edges for x in e}], "id string, node_type string, vehicle_number string")
+    got = similar.similar_reports(v, spark.createDataFrame(edges, "src string, dst string"), 0.5).collect()
+    expected = {(a, b, round(len(own[a] & own[b]) / len(own[a] | own[b]), 4)) for a in own for b in own
+                if a > b and 2 * len(own[a] & own[b]) >= len(own[a] | own[b])}
+    assert len(got) == len(expected) and {(r["src"], r["dst"], r["similarity_score"]) for r in got} == expected
+    assert {r["relation_type"] for r in got} == {"SAME_CRIME_TYPE,SAME_LOCATION"}
+
+
 def test_bad_threshold(spark):
     v, e, _ = _graph(spark, 1, 3, 0.5)
     with pytest.raises(ValueError):
