@@ -43,9 +43,11 @@ def train_severity(df: DataFrame, max_depth: int = 10) -> SeverityModel:
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}  # at most three classes
     total = sum(sizes.values())
     weight = lookup(F.col("label"), {k: total / (len(sizes) * c) for k, c in sizes.items()}, 1.0)
+    # each row keeps its node in every tree, so that a level does not walk all trees from their roots again
     stages = [
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
-        RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=TREES, seed=SEED, maxDepth=max_depth),
+        RandomForestClassifier(
+            labelCol="label", weightCol="weight", numTrees=TREES, seed=SEED, maxDepth=max_depth, cacheNodeIds=True, checkpointInterval=-1),
     ]
     model = Pipeline(stages=stages).fit(train.withColumn("weight", weight))
     hits = None

@@ -234,6 +234,21 @@ def test_communities_beat_components_and_score_agrees(spark):
         assert modularity(edges, {k: a if x == b else x for k, x in part.items()}) <= got + 1e-9
 
 
+def test_measures_of_some_vertices_equal_those_of_all(spark):
+    """Reports that edges lead to, shared and missing vertex rows, parallel edges, loops and ids that are null."""
+    rows = [(i, "FIR") for i in ("f1", "f2", "f3", "f4", "f5")] + [(i, "X") for i in ("a", "b", "b", "p1", "p2", "p3", "p3", "p3", None, None)]
+    pairs = [("f1", "a"), ("f1", "b"), ("f1", "p1"), ("f1", "p1"), ("f2", "a"), ("f2", "b"), ("f2", "p2"), ("f3", "b"), ("f3", "p3"),
+             ("f4", "a"), ("f4", "gone"), ("p1", "f1"), ("p2", "f2"), ("f3", "f3"), ("f2", None), ("lost", "f4"), ("lost", "b")]
+    v = spark.createDataFrame(rows, "id string, node_type string")
+    e = spark.createDataFrame([(a, b, "R", None, 1.0) for a, b in pairs], "src string, dst string, rel_type string, role string, weight double")
+    of = v.filter("node_type = 'FIR'").select("id")
+    facts = centrality.end_facts(v, e, of)
+    firs = {f"f{i}" for i in range(1, 6)}
+    for measure in (centrality.degree, lambda *a, **k: centrality.degree(*a, True, **k), centrality.pagerank, centrality.betweenness):
+        every, some = scores(measure(v, e)), scores(measure(v, e, facts=facts))
+        assert set(some) == firs and some == pytest.approx({i: every[i] for i in firs}, abs=1e-8)
+
+
 def test_community_report_lists_are_capped(spark):
     nodes, edges = ["LOC"] + [f"F{i:02d}" for i in range(30)], [(f"F{i:02d}", "LOC") for i in range(30)]
     v, e = frames(spark, nodes, edges)
