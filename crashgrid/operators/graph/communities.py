@@ -25,14 +25,26 @@ def communities(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Vertices that hang on one source (``core``) join it before the first round: with weights W of all of
     them and D >= W of the source, both at most m, that gains at least W / m - (2 D W + W W) / (4 m m) > 0.
     """
+    return cut(_placed(vertices.select("id").distinct(), _resolved(edges)).select("id", "community"))
+
+
+def _placed(vertices: DataFrame, resolved: DataFrame | None) -> DataFrame:
+    """Add ``community`` to vertex rows: where the vertex went, or its own id."""
+    if resolved is None:
+        return vertices.withColumn("community", F.col("id"))
+    joined = vertices.join(resolved.withColumnRenamed("c", "id"), "id", "left")
+    return joined.withColumn("community", F.coalesce("t", "id")).drop("t")
+
+
+def _resolved(edges: DataFrame) -> DataFrame | None:
+    """(c, t): the community t of every vertex c that joined another one, none where there are no edges."""
     parts = core(edges)
     e = parts.links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "w")
     links = cut(e.groupBy("a", "b").agg(F.sum("w").cast("double").alias("w")))
-    nodes = vertices.select("id").distinct()
     hung = parts.leaves.groupBy(F.col("at").alias("c")).agg(F.sum("w").cast("double").alias("w"))
     m = links.select("w").unionByName(hung.select("w")).agg(F.sum("w")).first()[0]
     if not m:
-        return nodes.select("id", F.col("id").alias("community"))
+        return None
     ends = links.select(F.col("a").alias("c"), "w").unionByName(links.select(F.col("b").alias("c"), "w"))
     ends = ends.unionByName(hung.select("c", (2 * F.col("w")).alias("w")))
     mass = cut(ends.groupBy("c").agg((F.sum("w") / (2 * m)).alias("mass")))
@@ -50,10 +62,7 @@ def communities(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             later = resolved.select(F.col("c").alias("t"), F.col("t").alias("_final"))
             here = move.join(later, "t", "left").select("c", F.coalesce("_final", "t").alias("t"))
             resolved = here.unionByName(resolved)
-    if resolved is None:
-        return nodes.select("id", F.col("id").alias("community"))
-    return cut(nodes.join(resolved.withColumnRenamed("c", "id"), "id", "left").select(
-        "id", F.coalesce("t", "id").alias("community")))
+    return resolved
 
 
 def _round(links: DataFrame, mass: DataFrame, m: float) -> DataFrame:
@@ -107,8 +116,12 @@ def community_report(vertices: DataFrame, edges: DataFrame, parts: DataFrame | N
     The lists are cut by rank before they are collected, so a large community never
     gathers its members in one place.
     """
-    parts = parts if parts is not None else communities(vertices, edges)
-    attrs = vertices.select("id", "node_type", "severity", "cause", "area", "city").join(parts, "id")
+    rows = vertices.filter("id IS NOT NULL").select("id", "node_type", "severity", "cause", "area", "city")
+    # vertices meet their communities and are stored once, of persons and vehicles only what is counted
+    placed = _placed(rows, _resolved(edges)) if parts is None else rows.join(parts, "id")
+    listed = {"FIR": ("id", "severity", "cause"), "Location": ("id", "area", "city")}
+    kept = [F.when(F.col("node_type").isin([k for k, own in listed.items() if c in own]), F.col(c)).alias(c) for c in ("id", "severity", "cause", "area", "city")]
+    attrs = cut(placed.select("community", "node_type", *kept))
     sizes = attrs.groupBy("community", "node_type").agg(F.count("*").alias("n"))
     summary = sizes.groupBy("community").agg(
         F.sum("n").alias("size"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("node_type", "n")))).alias("node_type_breakdown"),

@@ -259,6 +259,27 @@ def test_community_report_lists_are_capped(spark):
     assert (r["size"], r["fir_count"], len(r["firs"]), len(r["key_locations"])) == (31, 30, 20, 1)
 
 
+def test_community_report_joins_vertices_once(spark, sample_graph):
+    """Of vertex rows that share an id each counts; the lists are read from the stored join."""
+    v, e = sample_graph
+    v = v.unionByName(v.filter("id = 'P_001'"))
+    report = communities.community_report(v, e)
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    rows = {r["community"]: r.asDict(recursive=True) for r in report.collect()}
+    assert rows == {r["community"]: r.asDict(recursive=True) for r in communities.community_report(v, e, communities.communities(v, e)).collect()}
+    assert sum(r["size"] for r in rows.values()) == v.count()
+
+
+def test_stored_tables_are_small(spark):
+    from pathlib import Path
+
+    from crashgrid.session import cut, drop_cut
+
+    table = cut(spark.range(10))
+    assert all(f.name.endswith(".zstd.parquet") for f in Path(table._scratch).glob("*.parquet")) and table.count() == 10
+    drop_cut(table)
+
+
 def test_previous_in_key_spans_partitions(spark):
     rows = [("hot", f"{i:04d}") for i in range(500)] + [("cold", "1"), ("cold", "2")]
     df = spark.createDataFrame(rows, "k string, o string").repartition(7)
