@@ -288,6 +288,45 @@ def test_previous_in_key_spans_partitions(spark):
     assert all(got[("hot", f"{i:04d}")] == f"{i - 1:04d}" for i in range(1, 500))
 
 
+def test_previous_row_brings_other_columns_over_tasks(spark):
+    rows = [("hot", f"{i:04d}", i) for i in range(300)] + [("a", "1", 7), ("z", "1", 8), (None, "1", 9), (None, "2", 10)]
+    df = spark.createDataFrame(rows, "k string, o string, n int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {(r["k"], r["o"]): (r["previous"], r["previous_n"], r["followed"]) for r in relations.previous_in_key(df, "k", "o", "n").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert len(got) == 304 and got[("a", "1")] == got[("z", "1")] == (None, None, False)
+    assert got[(None, "1")] == (None, None, True) and got[(None, "2")] == ("1", 9, False)
+    assert all(got[("hot", f"{i:04d}")] == (f"{i - 1:04d}" if i else None, i - 1 if i else None, i < 299) for i in range(300))
+
+
+@pytest.mark.parametrize("listed", [1000, 3, 0])
+def test_related_reports_of_many_entities_are_scored_apart(spark, monkeypatch, listed):
+    """Against plain counts, with reports on both sides of the bound."""
+    monkeypatch.setattr(relations, "LISTED", listed)
+    r = random.Random(5)
+    own = {f"F{i:02}": {f"P{i}"} | {f"L{r.randrange(6)}" for _ in range(r.randrange(0, 3))} | {f"C{r.randrange(3)}" for _ in range(r.randrange(0, 3))}
+           for i in range(25)}
+    kind = {"P": "SAME_PERSON", "L": "SAME_LOCATION", "C": "SAME_CRIME_TYPE"}
+    types = {"P": "INVOLVES_PERSON", "L": "OCCURRED_AT", "C": "CLASSIFIED_AS"}
+    e = spark.createDataFrame([(a, x, types[x[0]]) for a, s in own.items() for x in s], "src string, dst string, rel_type string")
+    v = spark.createDataFrame([], "id string, node_type string, vehicle_number string")
+    expected = set()
+    for x in {x for s in own.values() for x in s}:
+        firs = sorted(a for a in own if x in own[a])
+        expected |= {(b, a, x, kind[x[0]], round(len(own[a] & own[b]) / len(own[a] | own[b]), 4)) for a, b in zip(firs, firs[1:])}
+    got = [tuple(x) for x in relations.related_by_entity(v, e).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    pairs = {}
+    for b, a, _, k, score in expected:
+        pairs.setdefault((b, a, score), set()).add(k)
+    got = [tuple(x) for x in relations.related_reports(v, e).collect()]
+    assert len(got) == len(pairs) and set(got) == {(b, a, ",".join(sorted(k)), score) for (b, a, score), k in pairs.items()}
+
+
 def test_graph_from_tables_edge_cases(spark):
     acc = spark.sql("""SELECT * FROM VALUES (1L, 'A/1', 'Over Speeding', 'Fatal'), (2L, 'A/1', 'Rash', 'Grievous'), (3L, '', 'Under Investigation', NULL)
         AS t(id, fir_number, cause, severity)""").withColumns(
