@@ -242,8 +242,12 @@ def test_measures_of_some_vertices_equal_those_of_all(spark):
     v = spark.createDataFrame(rows, "id string, node_type string")
     e = spark.createDataFrame([(a, b, "R", None, 1.0) for a, b in pairs], "src string, dst string, rel_type string, role string, weight double")
     of = v.filter("node_type = 'FIR'").select("id")
-    facts = centrality.end_facts(v, e, of)
+    facts, of_all = centrality.end_facts(v, e, of), centrality.end_facts(v, e)
     firs = {f"f{i}" for i in range(1, 6)}
+    ranks = centrality.pagerank(v, e, facts=of_all, copies=True)
+    assert sorted(map(str, scores(centrality.degree(v, e)).items())) == sorted(map(str, scores(centrality.degree(v, e, facts=of_all)).items()))
+    assert ranks.count() == len(rows) and scores(ranks) == pytest.approx(scores(centrality.pagerank(v, e)), abs=1e-8)
+    assert scores(centrality.betweenness(v, e, facts=of_all)) == pytest.approx(scores(centrality.betweenness(v, e)), abs=1e-12)
     for measure in (centrality.degree, lambda *a, **k: centrality.degree(*a, True, **k), centrality.pagerank, centrality.betweenness):
         every, some = scores(measure(v, e)), scores(measure(v, e, facts=facts))
         assert set(some) == firs and some == pytest.approx({i: every[i] for i in firs}, abs=1e-8)
